@@ -1,0 +1,5 @@
+"""Intentionally empty.
+
+The modelled recommender workload is batch only: it has no stream source,
+watermark, time window or stateful operator, so nothing is built here.
+"""
