@@ -158,3 +158,160 @@ def user_truth_ranking(spark, sf_dir):
 def baseline_precision_at_k(spark, sf_dir):
     _, test = data.train_test(spark, sf_dir)
     return baseline.precision_at_k(test, _stats(spark, sf_dir), K_PRECISION).select(r6("precision"))
+
+
+# ---------------------------------------------------------------- neighbourhood
+
+from kinrank.operators import neighbors  # noqa: E402
+from kinrank.sources import ratings as src  # noqa: E402
+
+
+def nb_model(spark, sf_dir) -> neighbors.NeighborModel:
+    """Neighbour model on the full train split; the top-100 table is
+    materialised once per session (the saved similarity file)."""
+    train, _ = data.train_test(spark, sf_dir)
+    model = neighbors.fit(train, MAX_NEIGHBORS)
+    top = data.memo(spark, ("top", sf_dir), lambda: model.top)
+    return neighbors.with_top(model, top)
+
+
+def nb_test_predictions(spark, sf_dir, n=N_NEIGHBORS, frame="test"):
+    train, test = data.train_test(spark, sf_dir)
+    return neighbors.predict(nb_model(spark, sf_dir), test if frame == "test" else train, n)
+
+
+@query
+def user_mean(spark, sf_dir):
+    train, _ = data.train_test(spark, sf_dir)
+    return neighbors.user_mean(train).select(USER, r6("user_mean"))
+
+
+@query
+def center_ratings(spark, sf_dir):
+    train, _ = data.train_test(spark, sf_dir)
+    return neighbors.center(train).select(ITEM, USER, r6("rating_norm"))
+
+
+@query
+def user_similarity(spark, sf_dir):
+    train, _ = data.train_test(spark, sf_dir)
+    sim = neighbors.user_similarity(neighbors.center(train))
+    return sim.select("i", "j", r6("value"))
+
+
+@query
+def top_neighbors(spark, sf_dir):
+    top = nb_model(spark, sf_dir).top
+    return top.select("i", "j", r6("value"), F.col("row_number").cast("bigint").alias("row_number"))
+
+
+@query
+def active_neighbors(spark, sf_dir):
+    top = neighbors.active_neighbors(nb_model(spark, sf_dir).top, N_NEIGHBORS)
+    return top.select("i", "j", r6("value"), F.col("row_number").cast("bigint").alias("row_number"))
+
+
+@query
+def item_index(spark, sf_dir):
+    train, _ = data.train_test(spark, sf_dir)
+    return neighbors.item_index(train)
+
+
+@query
+def gap_user_defaults(spark, sf_dir):
+    train, _ = data.train_test(spark, sf_dir)
+    return neighbors.gap_user_defaults(train).select(USER, r6("default_rating"))
+
+
+@query
+def dedup_ratings(spark, sf_dir):
+    events = src.standin_rating_events(spark, sf_dir)
+    return neighbors.dedup_ratings(events).select(USER, ITEM, r6(RATING))
+
+
+@query
+def neighbor_predict(spark, sf_dir):
+    return nb_test_predictions(spark, sf_dir).select(USER, ITEM, RATING, r6("prediction"))
+
+
+@query
+def neighbor_refit(spark, sf_dir):
+    """Prediction with 10 neighbours from the saved similarity, no recompute."""
+    model = nb_model(spark, sf_dir)
+    _, test = data.train_test(spark, sf_dir)
+    return neighbors.predict(model, test, 10).select(USER, ITEM, RATING, r6("prediction"))
+
+
+@query
+def neighbor_predict_pairs(spark, sf_dir):
+    """Single lookups for every cleaned (user, item): nulls for items the
+    training catalogue lacks and for users without training ratings."""
+    clean = prepare.clean_ratings(data.ratings(spark, sf_dir), data.items(spark, sf_dir))
+    pred = neighbors.predict(nb_model(spark, sf_dir), clean.select(USER, ITEM), N_NEIGHBORS)
+    return pred.select(USER, ITEM, r6("prediction"))
+
+
+@query
+def recommend_top_k(spark, sf_dir):
+    train, _ = data.train_test(spark, sf_dir)
+    recs = neighbors.recommend(nb_model(spark, sf_dir), train, N_NEIGHBORS, K_PRECISION)
+    return recs.select(USER, F.col("rank").cast("bigint").alias("rank"), ITEM, r6("score"))
+
+
+@query
+def neighbor_rmse(spark, sf_dir):
+    return metrics.rmse(nb_test_predictions(spark, sf_dir)).select(r6("rmse"))
+
+
+@query
+def neighbor_rmse_train(spark, sf_dir):
+    return metrics.rmse(nb_test_predictions(spark, sf_dir, frame="train")).select(r6("rmse"))
+
+
+@query
+def rmse_by_user(spark, sf_dir):
+    return metrics.rmse_by(nb_test_predictions(spark, sf_dir), USER).select(USER, r6("rmse"))
+
+
+@query
+def rmse_by_item(spark, sf_dir):
+    return metrics.rmse_by(nb_test_predictions(spark, sf_dir), ITEM).select(ITEM, r6("rmse"))
+
+
+@query
+def precision_by_user(spark, sf_dir):
+    prec = neighbors.precision_by_user(nb_test_predictions(spark, sf_dir), K_PRECISION)
+    return prec.select(USER, r6("precision"))
+
+
+@query
+def neighbor_precision_at_k(spark, sf_dir):
+    prec = neighbors.precision_by_user(nb_test_predictions(spark, sf_dir), K_PRECISION)
+    return metrics.mean_of(prec, "precision").select(r6("precision"))
+
+
+@query
+def neighbor_coverage(spark, sf_dir):
+    _, test = data.train_test(spark, sf_dir)
+    return neighbors.coverage(nb_model(spark, sf_dir), test, N_NEIGHBORS, K_COVERAGE).select(r6("coverage"))
+
+
+@query
+def coverage(spark, sf_dir):
+    """MT4 on the training side: neighbour top-10 of every train user."""
+    train, _ = data.train_test(spark, sf_dir)
+    return neighbors.coverage(nb_model(spark, sf_dir), train, N_NEIGHBORS, K_COVERAGE).select(r6("coverage"))
+
+
+@query
+def neighbor_sweep(spark, sf_dir):
+    _, test = data.train_test(spark, sf_dir)
+    out = neighbors.sweep(nb_model(spark, sf_dir), test, SWEEP_MAX, K_PRECISION)
+    return out.select(F.col("n").cast("bigint").alias("n"), r6("rmse"), r6("precision"))
+
+
+@query
+def quantile_buckets(spark, sf_dir):
+    per_user = metrics.rmse_by(nb_test_predictions(spark, sf_dir), USER)
+    out = metrics.quantile_buckets(per_user, "rmse", USER, BUCKETS)
+    return out.select("bucket", r6("mean_value"))

@@ -157,3 +157,181 @@ SQL["baseline_precision_at_k"] = (
         """
     + f" SELECT {r6('avg(precision)', 'precision')} FROM per_user"
 )
+
+# ---------------------------------------------------------------- neighbourhood
+
+NB_MODEL = """
+means AS (SELECT user_id, avg(rating) AS user_mean FROM train GROUP BY user_id),
+centered AS (SELECT t.item_id, t.user_id, t.rating - m.user_mean AS x
+             FROM train t JOIN means m ON t.user_id = m.user_id),
+norms AS (SELECT user_id, sqrt(sum(x * x)) AS nrm FROM centered GROUP BY user_id),
+nz AS (SELECT c.item_id, c.user_id, c.x / n.nrm AS xn
+       FROM centered c JOIN norms n ON c.user_id = n.user_id WHERE c.x <> 0),
+sim AS (SELECT a.user_id AS i, b.user_id AS j, sum(a.xn * b.xn) AS value
+        FROM nz a JOIN nz b ON a.item_id = b.item_id AND a.user_id < b.user_id
+        GROUP BY a.user_id, b.user_id),
+ranked AS (SELECT i, j, value,
+                  row_number() OVER (PARTITION BY i ORDER BY round(value, 9) DESC, j) AS row_number
+           FROM sim),
+top AS (SELECT * FROM ranked WHERE row_number <= 100),
+catalog AS (SELECT DISTINCT item_id FROM train)"""
+
+
+def nb_pred(frame: str, n: int, name: str = "pred") -> str:
+    """Predictions for the rows of ``frame`` with ``n`` neighbours."""
+    return f"""
+{name}_c AS (SELECT p.user_id, p.item_id, sum(a.value * c.x) AS s
+             FROM (SELECT DISTINCT user_id, item_id FROM {frame}) p
+             JOIN top a ON a.i = p.user_id AND a.row_number <= {n}
+             JOIN centered c ON c.user_id = a.j AND c.item_id = p.item_id
+             GROUP BY p.user_id, p.item_id),
+{name} AS (SELECT p.*, CASE WHEN k.item_id IS NOT NULL THEN m.user_mean + coalesce(s.s, 0) END AS prediction
+           FROM {frame} p LEFT JOIN means m ON p.user_id = m.user_id
+           LEFT JOIN {name}_c s ON s.user_id = p.user_id AND s.item_id = p.item_id
+           LEFT JOIN catalog k ON k.item_id = p.item_id)"""
+
+
+_NB = split_ctes() + "," + NB_MODEL
+
+SQL["user_mean"] = _NB + f" SELECT user_id, {r6('user_mean', 'user_mean')} FROM means"
+SQL["center_ratings"] = _NB + f" SELECT item_id, user_id, {r6('x', 'rating_norm')} FROM centered"
+SQL["user_similarity"] = _NB + f" SELECT i, j, {r6('value', 'value')} FROM sim"
+SQL["top_neighbors"] = (
+    _NB + f" SELECT i, j, {r6('value', 'value')}, CAST(row_number AS BIGINT) AS row_number FROM top"
+)
+SQL["active_neighbors"] = (
+    _NB + f" SELECT i, j, {r6('value', 'value')}, CAST(row_number AS BIGINT) AS row_number"
+    " FROM top WHERE row_number <= 20"
+)
+SQL["item_index"] = (
+    _NB + " SELECT item_id, CAST(row_number() OVER (ORDER BY item_id) - 1 AS BIGINT) AS item_index FROM catalog"
+)
+SQL["gap_user_defaults"] = (
+    split_ctes()
+    + """ SELECT CAST(g.id AS BIGINT) AS user_id, 0.5::DOUBLE AS default_rating
+          FROM range(1, (SELECT max(user_id) FROM train) + 1) g(id)
+          WHERE g.id NOT IN (SELECT user_id FROM train)"""
+)
+SQL["dedup_ratings"] = f"""
+SELECT user_id, item_id, {r6('avg(rating)', 'rating')} FROM (
+  SELECT o_custkey AS user_id, l_partkey AS item_id,
+         CAST(least(10, 1 + CAST(l_quantity AS BIGINT) % 4 + p_size % 6
+              + CASE WHEN o_custkey % 4 = l_partkey % 4 THEN 3 ELSE 0 END) AS DOUBLE) / 2 AS rating
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey) e
+GROUP BY user_id, item_id"""
+
+SQL["neighbor_predict"] = (
+    _NB + "," + nb_pred("test", 20)
+    + f" SELECT user_id, item_id, rating, {r6('prediction', 'prediction')} FROM pred"
+)
+SQL["neighbor_refit"] = (
+    _NB + "," + nb_pred("test", 10)
+    + f" SELECT user_id, item_id, rating, {r6('prediction', 'prediction')} FROM pred"
+)
+SQL["neighbor_predict_pairs"] = (
+    _NB + ", asked AS (SELECT user_id, item_id FROM clean)," + nb_pred("asked", 20)
+    + f" SELECT user_id, item_id, {r6('prediction', 'prediction')} FROM pred"
+)
+
+
+def nb_recommend(users: str, n: int, k: int) -> str:
+    """Brute force: every user x catalogue item scored, then ranked."""
+    return f"""
+rec_c AS (SELECT a.i AS user_id, c.item_id, sum(a.value * c.x) AS s
+          FROM top a JOIN centered c ON c.user_id = a.j
+          WHERE a.row_number <= {n} GROUP BY a.i, c.item_id),
+rec_all AS (SELECT u.user_id, k.item_id, m.user_mean + coalesce(r.s, 0) AS score
+            FROM (SELECT DISTINCT user_id FROM {users}) u
+            JOIN means m ON m.user_id = u.user_id
+            CROSS JOIN catalog k
+            LEFT JOIN rec_c r ON r.user_id = u.user_id AND r.item_id = k.item_id),
+recs AS (SELECT * FROM (
+           SELECT user_id, item_id, score,
+                  row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id DESC) AS rank
+           FROM rec_all) x WHERE rank <= {k})"""
+
+
+SQL["recommend_top_k"] = (
+    _NB + "," + nb_recommend("train", 20, 5)
+    + f" SELECT user_id, CAST(rank AS BIGINT) AS rank, item_id, {r6('score', 'score')} FROM recs"
+)
+SQL["neighbor_rmse"] = (
+    _NB + "," + nb_pred("test", 20)
+    + f" SELECT {r6('sqrt(avg(power(rating - prediction, 2)))', 'rmse')} FROM pred WHERE prediction IS NOT NULL"
+)
+SQL["neighbor_rmse_train"] = (
+    _NB + "," + nb_pred("train", 20)
+    + f" SELECT {r6('sqrt(avg(power(rating - prediction, 2)))', 'rmse')} FROM pred WHERE prediction IS NOT NULL"
+)
+SQL["rmse_by_user"] = (
+    _NB + "," + nb_pred("test", 20)
+    + f" SELECT user_id, {r6('sqrt(avg(power(rating - prediction, 2)))', 'rmse')} FROM pred"
+    " WHERE prediction IS NOT NULL GROUP BY user_id"
+)
+SQL["rmse_by_item"] = (
+    _NB + "," + nb_pred("test", 20)
+    + f" SELECT item_id, {r6('sqrt(avg(power(rating - prediction, 2)))', 'rmse')} FROM pred"
+    " WHERE prediction IS NOT NULL GROUP BY item_id"
+)
+
+PREC = """
+prec_r AS (SELECT *,
+             row_number() OVER (PARTITION BY {g} ORDER BY rating DESC, item_id DESC) AS trank,
+             row_number() OVER (PARTITION BY {g} ORDER BY round(prediction, 9) DESC NULLS LAST,
+                                rating DESC, item_id DESC) AS prank
+           FROM {src}),
+prec AS (SELECT {g}, sum(CASE WHEN trank <= {k} AND prank <= {k} THEN 1 ELSE 0 END) / {k}.0 AS precision
+         FROM prec_r GROUP BY {g})"""
+
+SQL["precision_by_user"] = (
+    _NB + "," + nb_pred("test", 20) + "," + PREC.format(g="user_id", src="pred", k=5)
+    + f" SELECT user_id, {r6('precision', 'precision')} FROM prec"
+)
+SQL["neighbor_precision_at_k"] = (
+    _NB + "," + nb_pred("test", 20) + "," + PREC.format(g="user_id", src="pred", k=5)
+    + f" SELECT {r6('avg(precision)', 'precision')} FROM prec"
+)
+SQL["neighbor_coverage"] = (
+    _NB + "," + nb_recommend("test", 20, 10)
+    + f""" SELECT {r6('(SELECT count(DISTINCT item_id) FROM recs) * 1.0 / (SELECT count(DISTINCT item_id) FROM test)',
+                     'coverage')}"""
+)
+SQL["coverage"] = (
+    _NB + "," + nb_recommend("train", 20, 10)
+    + f""" SELECT {r6('(SELECT count(DISTINCT item_id) FROM recs) * 1.0 / (SELECT count(DISTINCT item_id) FROM train)',
+                     'coverage')}"""
+)
+
+SWEEP = """
+grid AS (SELECT t.user_id, t.item_id, t.rating, g.n FROM test t CROSS JOIN range(1, 31) g(n)),
+sweep_c AS (SELECT g.user_id, g.item_id, g.n, sum(a.value * c.x) AS s
+            FROM grid g JOIN top a ON a.i = g.user_id AND a.row_number <= g.n
+            JOIN centered c ON c.user_id = a.j AND c.item_id = g.item_id
+            GROUP BY g.user_id, g.item_id, g.n),
+sweep_p AS (SELECT g.*, CASE WHEN k.item_id IS NOT NULL THEN m.user_mean + coalesce(s.s, 0) END AS prediction
+            FROM grid g LEFT JOIN means m ON m.user_id = g.user_id
+            LEFT JOIN sweep_c s ON s.user_id = g.user_id AND s.item_id = g.item_id AND s.n = g.n
+            LEFT JOIN catalog k ON k.item_id = g.item_id)"""
+
+SQL["neighbor_sweep"] = (
+    _NB + "," + SWEEP + "," + PREC.format(g="n, user_id", src="sweep_p", k=5)
+    + f""", err AS (SELECT n, sqrt(avg(power(rating - prediction, 2))) AS rmse FROM sweep_p
+                   WHERE prediction IS NOT NULL GROUP BY n)
+        SELECT CAST(e.n AS BIGINT) AS n, {r6('e.rmse', 'rmse')}, {r6('p.precision', 'precision')}
+        FROM err e JOIN (SELECT n, avg(precision) AS precision FROM prec GROUP BY n) p ON e.n = p.n"""
+)
+
+QB = """
+qb_src AS ({metric}),
+qb_rn AS (SELECT key, value, row_number() OVER (ORDER BY value, key) AS rn, count(*) OVER () AS n
+          FROM qb_src WHERE value IS NOT NULL),
+qb AS (SELECT CAST(CASE WHEN n <= 1 THEN 0 ELSE greatest(0, ((rn - 1) * {q} + (n - 2)) // (n - 1) - 1) END AS BIGINT)
+              AS bucket, avg(value) AS mean_value
+       FROM qb_rn GROUP BY 1)"""
+
+SQL["quantile_buckets"] = (
+    _NB + "," + nb_pred("test", 20) + ","
+    + QB.format(metric="SELECT user_id AS key, sqrt(avg(power(rating - prediction, 2))) AS value FROM pred"
+                       " WHERE prediction IS NOT NULL GROUP BY user_id", q=10)
+    + f" SELECT bucket, {r6('mean_value', 'mean_value')} FROM qb"
+)

@@ -120,3 +120,24 @@ def standin_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("p_type"))
         .alias("genres"),
     )
+
+
+def standin_rating_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as a rating event, duplicates per (customer, part) kept.
+
+    Same rating rule as ``standin_ratings``; input for the duplicate-
+    averaging step of the neighbourhood model.
+    """
+    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    part = _table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    j = li.join(orders, li.l_orderkey == orders.o_orderkey).join(part, li.l_partkey == part.p_partkey)
+    user, item = F.col("o_custkey"), F.col("l_partkey")
+    taste = F.when(user % 4 == item % 4, 3).otherwise(0)
+    score = F.least(F.lit(10), 1 + F.col("l_quantity").cast("bigint") % 4 + F.col("p_size") % 6 + taste)
+    return j.select(
+        user.cast("bigint").alias(USER),
+        item.cast("bigint").alias(ITEM),
+        (score.cast("double") / 2).alias(RATING),
+        F.col("l_shipdate").alias(TS),
+    )
