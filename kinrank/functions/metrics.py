@@ -26,11 +26,15 @@ def rmse(df: DataFrame, label: str = RATING, pred: str = "prediction") -> DataFr
     )
 
 
-def rmse_by(df: DataFrame, key: str, label: str = RATING, pred: str = "prediction") -> DataFrame:
-    """MT2: ``(key, rmse)``; one partial aggregate instead of sum + count + join."""
+def rmse_by(df: DataFrame, key, label: str = RATING, pred: str = "prediction") -> DataFrame:
+    """MT2: ``(key, rmse)``; one partial aggregate instead of sum + count + join.
+
+    ``key`` is a column name or a list of them.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
     return (
         df.filter(F.col(pred).isNotNull())
-        .groupBy(key)
+        .groupBy(*keys)
         .agg(F.sqrt(F.avg(_sq_err(label, pred))).alias("rmse"))
     )
 

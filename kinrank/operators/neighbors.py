@@ -280,23 +280,24 @@ def coverage(model: NeighborModel, frame: DataFrame, n: int, k: int) -> DataFram
     return metrics.coverage(recs, frame)
 
 
-def sweep(model: NeighborModel, frame: DataFrame, max_n: int, k: int) -> DataFrame:
-    """EX1: RMSE and precision@k for every neighbour count 1..max_n, one job.
+def sweep_predictions(model: NeighborModel, frame: DataFrame, max_n: int) -> DataFrame:
+    """Predictions of every row of ``frame`` for each neighbour count 1..max_n.
 
     Each scored pair gets its per-neighbour contributions; a running sum
     over the neighbour number gives the prediction at every n (at n the
     last neighbour numbered <= n counts; none -> 0).  Each contribution row
     is expanded over the n values it holds for (up to the next neighbour
-    that contributes), then joined to the pairs x 1..max_n grid.
+    that contributes) and joined to the rows x 1..max_n grid.  Extra
+    columns of ``frame`` are carried along.
     """
+    from pyspark.sql import Window
+
     keys = frame.select(USER, ITEM).distinct()
     contrib = (
         keys.join(_active(model, max_n, keep_rank=True), USER)
         .join(_neighbor_ratings(model), ["_v", ITEM])
         .select(USER, ITEM, "_r", (F.col("_sim") * F.col("_x")).alias("_c"))
     )
-    from pyspark.sql import Window
-
     w = Window.partitionBy(USER, ITEM).orderBy("_r")
     spans = (
         contrib.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -308,15 +309,22 @@ def sweep(model: NeighborModel, frame: DataFrame, max_n: int, k: int) -> DataFra
     )
     known = model.catalogue.withColumn("_known", F.lit(True))
     grid = (
-        frame.select(USER, ITEM, RATING)
-        .withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(max_n))))
+        frame.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(max_n))))
         .join(model.means, USER, "left")
         .join(known, ITEM, "left")
     )
-    preds = grid.join(spans, [USER, ITEM, "n"], "left").select(
-        USER, ITEM, RATING, "n",
-        F.when(F.col("_known"), F.col("user_mean") + F.coalesce(F.col("_cum"), F.lit(0.0))).alias("prediction"),
+    pred = F.when(F.col("_known"), F.col("user_mean") + F.coalesce(F.col("_cum"), F.lit(0.0)))
+    return (
+        grid.join(spans, [USER, ITEM, "n"], "left")
+        .withColumn("prediction", pred)
+        .drop("user_mean", "_known", "_cum")
     )
+
+
+def sweep(model: NeighborModel, frame: DataFrame, max_n: int, k: int) -> DataFrame:
+    """EX1: RMSE and precision@k for every neighbour count 1..max_n, one job
+    (instead of max_n refits): ``(n, rmse, precision)``."""
+    preds = sweep_predictions(model, frame.select(USER, ITEM, RATING), max_n)
     err = metrics.rmse_by(preds, "n")
     prec = precision_by_user(preds, k, group=("n", USER)).groupBy("n").agg(
         F.avg("precision").alias("precision")

@@ -315,3 +315,163 @@ def quantile_buckets(spark, sf_dir):
     per_user = metrics.rmse_by(nb_test_predictions(spark, sf_dir), USER)
     out = metrics.quantile_buckets(per_user, "rmse", USER, BUCKETS)
     return out.select("bucket", r6("mean_value"))
+
+
+# ---------------------------------------------------------------- rankings on baseline scores
+
+from kinrank.operators import als  # noqa: E402
+from kinrank.plans import experiments  # noqa: E402
+from kinrank.sources import results  # noqa: E402
+
+
+def _baseline_scored(spark, sf_dir):
+    _, test = data.train_test(spark, sf_dir)
+    return baseline.predict(test, _stats(spark, sf_dir))
+
+
+@query
+def pred_rankings(spark, sf_dir):
+    """AL5 on the baseline's scores: full rankings by prediction and by rating."""
+    ranks = als.rankings(_baseline_scored(spark, sf_dir), pred="avg_rating")
+    return ranks.select(USER, ITEM, F.col("pred_rank").cast("bigint").alias("pred_rank"),
+                        F.col("truth_rank").cast("bigint").alias("truth_rank"))
+
+
+@query
+def rankings_top_k(spark, sf_dir):
+    """MT6: both rankings cut to k (null rank = beyond k on that list)."""
+    ranks = als.rankings(_baseline_scored(spark, sf_dir), pred="avg_rating", k=K_PRECISION)
+    return ranks.select(USER, ITEM, F.col("pred_rank").cast("bigint").alias("pred_rank"),
+                        F.col("truth_rank").cast("bigint").alias("truth_rank"))
+
+
+@query
+def precision_uncut(spark, sf_dir):
+    """AL7 on the baseline's scores."""
+    out = als.precision_uncut(_baseline_scored(spark, sf_dir), K_PRECISION, pred="avg_rating")
+    return out.select(r6("precision"))
+
+
+@query
+def ranked_coverage(spark, sf_dir):
+    """MT7: test rows joined to the user's cut (k) prediction ranking."""
+    _, test = data.train_test(spark, sf_dir)
+    ranks = als.rankings(_baseline_scored(spark, sf_dir), pred="avg_rating", k=K_PRECISION)
+    cut = ranks.filter(F.col("pred_rank").isNotNull()).select(USER, ITEM, F.col("pred_rank").alias("rank"))
+    return metrics.ranked_coverage(test, cut, K_PRECISION).select(r6("coverage"))
+
+
+@query
+def quantile_compare(spark, sf_dir):
+    """MT9: per-user RMSE buckets of three runs side by side."""
+    _, test = data.train_test(spark, sf_dir)
+    runs = {
+        "baseline": metrics.rmse_by(_baseline_scored(spark, sf_dir), USER, pred="avg_rating"),
+        "nb5": metrics.rmse_by(neighbors.predict(nb_model(spark, sf_dir), test, 5), USER),
+        "nb20": metrics.rmse_by(nb_test_predictions(spark, sf_dir), USER),
+    }
+    out = metrics.quantile_compare(runs, "rmse", USER, BUCKETS)
+    return out.select("bucket", r6("baseline"), r6("nb5"), r6("nb20"))
+
+
+# ---------------------------------------------------------------- experiments
+
+
+def _sizes(spark, sf_dir):
+    return [third_cap(spark, sf_dir, t) for t in (1, 2, 3)]
+
+
+@query
+def sample_size_sweep(spark, sf_dir):
+    out = experiments.sample_size_sweep(
+        data.ratings(spark, sf_dir), data.items(spark, sf_dir), _sizes(spark, sf_dir),
+        n=N_NEIGHBORS, k_precision=K_PRECISION, k_coverage=K_COVERAGE,
+    )
+    return out.select("model", "sample_size", *[r6(c) for c in experiments.SUMMARY_COLS])
+
+
+@query
+def fold_mean_curve(spark, sf_dir):
+    """EX4: neighbour RMSE per neighbour count, averaged over two test folds."""
+    _, test = data.train_test(spark, sf_dir)
+    curves = experiments.fold_curves(nb_model(spark, sf_dir), test, 2, SWEEP_MAX)
+    out = experiments.fold_mean_curve(curves, "n", "rmse")
+    return out.select(F.col("n").cast("bigint").alias("n"), r6("rmse"))
+
+
+@query
+def best_params(spark, sf_dir):
+    """EX5 on the neighbour sweep: best n by RMSE and by precision."""
+    _, test = data.train_test(spark, sf_dir)
+    curve = neighbors.sweep(nb_model(spark, sf_dir), test, SWEEP_MAX, K_PRECISION)
+    out = experiments.best_params(curve, "n", low="rmse", high="precision")
+    return out.select(F.col("best_n_rmse").cast("bigint").alias("best_n_rmse"), r6("min_rmse"),
+                      F.col("best_n_precision").cast("bigint").alias("best_n_precision"), r6("max_precision"))
+
+
+@query
+def similarity_roundtrip(spark, sf_dir):
+    """IO3 + IO4: write the ranked similarity (overwrite), read it back."""
+    path = data.scratch_path(spark, "similarity-sorted")
+    results.write_similarity(nb_model(spark, sf_dir).top, path)
+    back = results.read_similarity(spark, path)
+    return back.select("i", "j", r6("value"), F.col("row_number").cast("bigint").alias("row_number"))
+
+
+@query
+def run_summary(spark, sf_dir):
+    """EX6 + IO5 + IO6 + EX8: neighbour runs at three sample sizes, with fit
+    runtime, saved partitioned by model and size, read back ordered by size."""
+    summary = experiments.run_summary(
+        data.ratings(spark, sf_dir), data.items(spark, sf_dir), _sizes(spark, sf_dir),
+        n=N_NEIGHBORS, k_precision=K_PRECISION, k_coverage=K_COVERAGE,
+    )
+    path = data.scratch_path(spark, "run-summary")
+    results.save_results(summary, path, "neighbor")
+    cols = ["sample_size", "runtime", *experiments.SUMMARY_COLS]
+    return results.load_results(spark, path, model="neighbor", columns=cols).orderBy("sample_size")
+
+
+# ---------------------------------------------------------------- ALS
+
+ALS_RANK = 10
+ALS_ITER = 5
+ALS_REG = 0.1
+ALS_GRID = [0.05 + i * (0.3 - 0.05) / 9 for i in range(10)]  # linspace(0.05, 0.3, 10)
+
+
+def _als_fit(spark, sf_dir):
+    train, _ = data.train_test(spark, sf_dir)
+    return data.memo_obj(spark, ("als", sf_dir),
+                         lambda: als.fit(train, ALS_RANK, ALS_ITER, ALS_REG, SEED))
+
+
+def _als_scored(spark, sf_dir):
+    _, test = data.train_test(spark, sf_dir)
+    return als.predict(_als_fit(spark, sf_dir), test)
+
+
+@query
+def als_predict(spark, sf_dir):
+    return _als_scored(spark, sf_dir).select(USER, ITEM, RATING, r6("predicted_rating"))
+
+
+@query
+def als_rmse(spark, sf_dir):
+    return als.rmse(_als_scored(spark, sf_dir)).select(r6("rmse"))
+
+
+@query
+def als_rankings(spark, sf_dir):
+    ranks = als.rankings(_als_scored(spark, sf_dir))
+    return ranks.select(USER, ITEM, F.col("pred_rank").cast("bigint").alias("pred_rank"),
+                        F.col("truth_rank").cast("bigint").alias("truth_rank"))
+
+
+@query
+def als_grid_search(spark, sf_dir):
+    """AL2 + AL3 + EX3: 2-fold search over the regParam curve."""
+    train, _ = data.train_test(spark, sf_dir)
+    fitted = als.grid_search(train, [ALS_RANK], [ALS_ITER], ALS_GRID, num_folds=2,
+                             metric="rmse", parallelism=2, seed=SEED)
+    return fitted.results

@@ -39,6 +39,26 @@ def train_test(spark: SparkSession, sf_dir: str, n: int | None = None) -> tuple[
     return _memo[key]  # type: ignore[return-value]
 
 
+def memo_obj(spark: SparkSession, key: tuple, build):
+    """Build any object (e.g. a fitted model) once per session under ``key``."""
+    full = _key(spark, "obj", *key)
+    if full not in _memo:
+        _memo[full] = build()
+    return _memo[full]
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory for result sets."""
+    import uuid
+
+    from kinrank.plans.context import checkpoint_dir
+
+    base = checkpoint_dir(spark)
+    if base is None:
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder for result sets")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def memo(spark: SparkSession, key: tuple, build) -> DataFrame:
     """Materialise ``build()`` once per session under ``key``."""
     full = _key(spark, *key)

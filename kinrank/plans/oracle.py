@@ -335,3 +335,137 @@ SQL["quantile_buckets"] = (
                        " WHERE prediction IS NOT NULL GROUP BY user_id", q=10)
     + f" SELECT bucket, {r6('mean_value', 'mean_value')} FROM qb"
 )
+
+# ---------------------------------------------------------------- rankings on baseline scores
+
+BSCORED = """
+bscored AS (SELECT t.user_id, t.item_id, t.rating, s.avg_rating
+            FROM test t LEFT JOIN stats s ON t.item_id = s.item_id),
+branks AS (SELECT user_id, item_id,
+             row_number() OVER (PARTITION BY user_id ORDER BY round(avg_rating, 9) DESC NULLS LAST, item_id DESC)
+               AS pred_rank,
+             row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id DESC) AS truth_rank
+           FROM bscored)"""
+
+_BR = _BASE + "," + BSCORED
+
+SQL["pred_rankings"] = (
+    _BR + " SELECT user_id, item_id, CAST(pred_rank AS BIGINT) AS pred_rank,"
+    " CAST(truth_rank AS BIGINT) AS truth_rank FROM branks"
+)
+SQL["rankings_top_k"] = (
+    _BR + """ SELECT user_id, item_id,
+                     CAST(CASE WHEN pred_rank <= 5 THEN pred_rank END AS BIGINT) AS pred_rank,
+                     CAST(CASE WHEN truth_rank <= 5 THEN truth_rank END AS BIGINT) AS truth_rank
+              FROM branks WHERE pred_rank <= 5 OR truth_rank <= 5"""
+)
+SQL["precision_uncut"] = (
+    _BR + f""" SELECT {r6('avg(p)', 'precision')} FROM (
+                 SELECT user_id, sum(CASE WHEN pred_rank <= 5 THEN 1 ELSE 0 END) / 5.0 AS p
+                 FROM branks GROUP BY user_id) x"""
+)
+SQL["ranked_coverage"] = (
+    _BR + f""" SELECT {r6('''(SELECT count(DISTINCT b.item_id) FROM branks b
+                               WHERE b.pred_rank <= 5 AND b.user_id IN (SELECT user_id FROM test)) * 1.0
+                             / (SELECT count(DISTINCT item_id) FROM test
+                                WHERE user_id IN (SELECT user_id FROM branks WHERE pred_rank <= 5))''', 'coverage')}"""
+)
+
+
+def qb_named(name: str, metric: str, q: int = 10) -> str:
+    return QB.replace("qb_src", f"{name}_src").replace("qb_rn", f"{name}_rn").replace(
+        "qb AS", f"{name} AS").format(metric=metric, q=q)
+
+
+_RMSE_USER = ("SELECT user_id AS key, sqrt(avg(power(rating - {p}, 2))) AS value FROM {src}"
+              " WHERE {p} IS NOT NULL GROUP BY user_id")
+
+SQL["quantile_compare"] = (
+    _BR + "," + NB_MODEL + "," + nb_pred("test", 5, "p5") + "," + nb_pred("test", 20, "p20") + ","
+    + qb_named("qbase", _RMSE_USER.format(p="avg_rating", src="bscored")) + ","
+    + qb_named("qnb5", _RMSE_USER.format(p="prediction", src="p5")) + ","
+    + qb_named("qnb20", _RMSE_USER.format(p="prediction", src="p20"))
+    + f""" SELECT a.bucket, {r6('a.mean_value', 'baseline')}, {r6('b.mean_value', 'nb5')}, {r6('c.mean_value', 'nb20')}
+           FROM qbase a FULL JOIN qnb5 b ON a.bucket = b.bucket FULL JOIN qnb20 c ON coalesce(a.bucket, b.bucket) = c.bucket"""
+)
+
+# ---------------------------------------------------------------- experiments
+
+
+def pipeline_ctes(thirds: int | None) -> list[str]:
+    head = [RATINGS, ITEMS]
+    if thirds is None:
+        return [*head, CLEAN.format(src="ratings"), SPLIT]
+    return [*head, CAP_THIRD.format(thirds=thirds), CLEAN.format(src="capped"), SPLIT]
+
+
+def prec_named(name: str, g: str, src: str, k: int) -> str:
+    return (PREC.replace("prec_r", f"{name}_r").replace("prec AS", f"{name} AS")
+            .format(g=g, src=src, k=k))
+
+
+def _summary_select(model: str, thirds: int) -> str:
+    size = f"CAST((SELECT count(*) FROM ratings) * {thirds} // 3 AS BIGINT) AS sample_size"
+    if model == "baseline":
+        ctes = pipeline_ctes(thirds) + [STATS, POPULAR.format(k=5)]
+        bprec = """(SELECT avg(pr) FROM (
+            SELECT user_id, sum(CASE WHEN p.item_id IS NOT NULL THEN 1 ELSE 0 END) / 5.0 AS pr
+            FROM (SELECT user_id, item_id,
+                         row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id DESC) AS trank,
+                         count(*) OVER (PARTITION BY user_id) AS n FROM {f}) t
+            LEFT JOIN popular p ON t.item_id = p.item_id AND p.prank <= t.n + 1
+            WHERE t.trank <= 5 GROUP BY user_id) x)"""
+        brmse = """(SELECT sqrt(avg(power(f.rating - s.avg_rating, 2))) FROM {f} f JOIN stats s ON f.item_id = s.item_id)"""
+        body = f"""SELECT 'baseline' AS model, {size},
+            {r6(brmse.format(f='train'), 'rmse_train')}, {r6(brmse.format(f='test'), 'rmse_test')},
+            {r6(bprec.format(f='train'), 'top_k_precision_train')}, {r6(bprec.format(f='test'), 'top_k_precision_test')},
+            CAST(NULL AS DOUBLE) AS coverage_train, CAST(NULL AS DOUBLE) AS coverage_test"""
+        return "(" + with_(*ctes) + " " + body + ")"
+    ctes = pipeline_ctes(thirds) + [NB_MODEL, nb_pred("train", 20, "ptr"), nb_pred("test", 20, "pte"),
+                                    prec_named("prtr", "user_id", "ptr", 5),
+                                    prec_named("prte", "user_id", "pte", 5)]
+    cov = []
+    for side in ("train", "test"):
+        rec = nb_recommend(side, 20, 10).replace("rec_c", f"rc_{side}").replace(
+            "rec_all", f"ra_{side}").replace("recs AS", f"recs_{side} AS")
+        ctes.append(rec)
+        cov.append(f"(SELECT count(DISTINCT item_id) FROM recs_{side}) * 1.0 / "
+                   f"(SELECT count(DISTINCT item_id) FROM {side})")
+    nrmse = "(SELECT sqrt(avg(power(rating - prediction, 2))) FROM {p} WHERE prediction IS NOT NULL)"
+    body = f"""SELECT 'neighbor' AS model, {size},
+        {r6(nrmse.format(p='ptr'), 'rmse_train')}, {r6(nrmse.format(p='pte'), 'rmse_test')},
+        {r6('(SELECT avg(precision) FROM prtr)', 'top_k_precision_train')},
+        {r6('(SELECT avg(precision) FROM prte)', 'top_k_precision_test')},
+        {r6(cov[0], 'coverage_train')}, {r6(cov[1], 'coverage_test')}"""
+    return "(" + with_(*ctes) + " " + body + ")"
+
+
+SQL["sample_size_sweep"] = " UNION ALL ".join(
+    "SELECT * FROM " + _summary_select(m, t) + f" s{t}{m[0]}"
+    for t in (1, 2, 3) for m in ("baseline", "neighbor")
+)
+
+SQL["fold_mean_curve"] = (
+    _NB + "," + SWEEP.replace(
+        "SELECT t.user_id, t.item_id, t.rating, g.n FROM test t",
+        "SELECT t.user_id, t.item_id, t.rating, g.n, ('0x' || substr(md5(CAST(t.user_id AS VARCHAR) || ':' "
+        "|| CAST(t.item_id AS VARCHAR) || ':12347'), 1, 8))::BIGINT % 2 AS fold FROM test t")
+    + f""" SELECT CAST(n AS BIGINT) AS n, {r6('avg(rmse)', 'rmse')} FROM (
+             SELECT fold, n, sqrt(avg(power(rating - prediction, 2))) AS rmse FROM sweep_p
+             WHERE prediction IS NOT NULL GROUP BY fold, n) c GROUP BY n"""
+)
+
+SQL["best_params"] = (
+    _NB + "," + SWEEP + "," + PREC.format(g="n, user_id", src="sweep_p", k=5)
+    + """, err AS (SELECT n, sqrt(avg(power(rating - prediction, 2))) AS rmse FROM sweep_p
+                   WHERE prediction IS NOT NULL GROUP BY n),
+          curve AS (SELECT e.n, e.rmse, p.precision FROM err e
+                    JOIN (SELECT n, avg(precision) AS precision FROM prec GROUP BY n) p ON e.n = p.n),
+          lo AS (SELECT n, rmse FROM curve ORDER BY round(rmse, 9), n LIMIT 1),
+          hi AS (SELECT n, precision FROM curve ORDER BY round(precision, 9) DESC, n LIMIT 1)"""
+    + f""" SELECT CAST(lo.n AS BIGINT) AS best_n_rmse, {r6('lo.rmse', 'min_rmse')},
+                  CAST(hi.n AS BIGINT) AS best_n_precision, {r6('hi.precision', 'max_precision')}
+           FROM lo CROSS JOIN hi"""
+)
+
+SQL["similarity_roundtrip"] = SQL["top_neighbors"]
