@@ -134,7 +134,8 @@ def predict(fitted: AlsFit, frame: DataFrame) -> DataFrame:
 
 
 PRED_ORDER = lambda pred: (tie_key(pred).desc(), F.col(ITEM).desc())
-TRUTH_ORDER = (F.col(RATING).desc(), F.col(ITEM).desc())
+def truth_order():
+    return (F.col(RATING).desc(), F.col(ITEM).desc())
 
 
 def rankings(scored: DataFrame, pred: str = "predicted_rating", k: int | None = None) -> DataFrame:
@@ -149,12 +150,12 @@ def rankings(scored: DataFrame, pred: str = "predicted_rating", k: int | None =
     rows = scored.select(USER, ITEM, RATING, pred)
     if k is None:
         by_pred = group_row_number(rows, [USER], PRED_ORDER(pred), name="pred_rank")
-        by_truth = group_row_number(rows, [USER], TRUTH_ORDER, name="truth_rank")
+        by_truth = group_row_number(rows, [USER], truth_order(), name="truth_rank")
         return by_pred.select(USER, ITEM, "pred_rank").join(
             by_truth.select(USER, ITEM, "truth_rank"), [USER, ITEM]
         )
     by_pred = top_k_per_group(rows, [USER], PRED_ORDER(pred), k, name="pred_rank")
-    by_truth = top_k_per_group(rows, [USER], TRUTH_ORDER, k, name="truth_rank")
+    by_truth = top_k_per_group(rows, [USER], truth_order(), k, name="truth_rank")
     return by_pred.select(USER, ITEM, "pred_rank").join(
         by_truth.select(USER, ITEM, "truth_rank"), [USER, ITEM], "full"
     )

@@ -12,7 +12,9 @@ from kinrank import ITEM, RATING, USER
 from kinrank.functions import metrics
 from kinrank.functions.ranking import group_row_number, top_k_per_group
 
-TRUTH_ORDER = (F.col(RATING).desc(), F.col(ITEM).desc())
+
+def truth_order():
+    return (F.col(RATING).desc(), F.col(ITEM).desc())
 
 
 def item_stats(train: DataFrame) -> DataFrame:
@@ -50,8 +52,8 @@ def user_truth_ranking(frame: DataFrame, k: int | None = None) -> DataFrame:
     """
     rows = frame.select(USER, ITEM, RATING)
     if k is not None:
-        return top_k_per_group(rows, [USER], TRUTH_ORDER, k)
-    return group_row_number(rows, [USER], TRUTH_ORDER)
+        return top_k_per_group(rows, [USER], truth_order(), k)
+    return group_row_number(rows, [USER], truth_order())
 
 
 def precision_by_user(frame: DataFrame, stats: DataFrame, k: int, min_avg: float = 4.0) -> DataFrame:

@@ -247,7 +247,8 @@ def rmse_report(predictions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     )
 
 
-TRUTH_ORDER = (F.col(RATING).desc(), F.col(ITEM).desc())
+def truth_order():
+    return (F.col(RATING).desc(), F.col(ITEM).desc())
 
 
 def pred_order(pred: str = "prediction"):
@@ -263,7 +264,7 @@ def precision_by_user(predictions: DataFrame, k: int, group=(USER,), pred: str =
     fewer than k items.
     """
     g = list(group)
-    truth = top_k_per_group(predictions, g, TRUTH_ORDER, k).select(*g, ITEM)
+    truth = top_k_per_group(predictions, g, truth_order(), k).select(*g, ITEM)
     guess = top_k_per_group(predictions, g, pred_order(pred), k).select(*g, ITEM)
     hits = truth.join(guess, [*g, ITEM]).groupBy(*g).agg(F.count(F.lit(1)).alias("_h"))
     return (
