@@ -72,10 +72,12 @@ def coverage(recs: DataFrame, frame: DataFrame, item: str = ITEM, rec_item: str
     one row ``coverage`` (it may exceed 1 when recommendations come from a
     wider catalogue than the frame).
     """
-    n_rec = recs.select(F.col(rec_item).alias("_i")).distinct().agg(F.count(F.lit(1)).alias("_r"))
-    n_all = frame.select(F.col(item).alias("_i")).distinct().agg(F.count(F.lit(1)).alias("_a"))
-    return n_rec.crossJoin(n_all).select(
-        (F.col("_r").cast("double") / F.col("_a")).alias("coverage")
+    tagged = (
+        recs.select(F.col(rec_item).alias("_i"), F.lit(1).alias("_rec")).distinct()
+        .unionByName(frame.select(F.col(item).alias("_i"), F.lit(0).alias("_rec")).distinct())
+    )
+    return tagged.agg(
+        (F.sum(F.col("_rec")).cast("double") / F.sum(1 - F.col("_rec"))).alias("coverage")
     )
 
 
@@ -112,7 +114,7 @@ def quantile_buckets(
     """
     rows = metric.select(key, value).filter(F.col(value).isNotNull())
     numbered = global_row_number(rows, [F.col(value), F.col(key)], name="_rn")
-    total = numbered.agg(F.count(F.lit(1)).alias("_n"))
+    total = numbered.agg(F.count(F.lit(1))).scalar()  # scalar subquery
     b = F.when(F.col("_n") <= 1, F.lit(0)).otherwise(
         F.greatest(
             F.lit(0),
@@ -120,7 +122,7 @@ def quantile_buckets(
         )
     )
     return (
-        numbered.crossJoin(total)
+        numbered.withColumn("_n", total)
         .withColumn(bucket, b.cast("bigint"))
         .groupBy(bucket)
         .agg(F.avg(value).alias("mean_value"))

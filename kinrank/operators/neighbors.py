@@ -30,6 +30,7 @@ from kinrank import ITEM, RATING, USER
 from kinrank.functions import metrics
 from kinrank.functions.columns import tie_key
 from kinrank.functions.ranking import global_row_number, top_k_per_group
+from kinrank.plans.context import materialize
 
 # Default value the padded (absent) users of 1..max user id receive.
 GAP_USER_RATING = 0.5
@@ -60,17 +61,23 @@ def center(train: DataFrame, means: DataFrame | None = None) -> DataFrame:
     )
 
 
-def user_similarity(centered: DataFrame, salt_buckets: int = 1) -> DataFrame:
+def user_similarity(centered: DataFrame, salt_buckets: int | str = "auto",
+                    hot_raters: int = 20_000) -> DataFrame:
     """NB3: exact cosine similarity of user pairs, ``(i, j, value)``, i < j.
 
     Vectors are normalised first (norm over all of a user's centred
     ratings), zeros dropped, then a self-join on item with ``a.user <
     b.user`` and a sum per pair (partially aggregated before the shuffle).
-
-    ``salt_buckets > 1`` spreads each item's raters over that many buckets
-    per side, so a very popular item's co-rating products are computed by
-    buckets^2 tasks instead of one; AQE's skew-join split does the same
-    at run time when it detects a skewed item partition.
+    The output is by definition every co-rating pair; what must not
+    happen is one task owning a popular item's c^2 products.
+
+    Salting: an item with c raters is split into s = ceil(c / hot_raters)
+    blocks of raters (by user hash); each side is replicated over the
+    other side's s blocks and the join key is (item, block_a, block_b), so
+    the item's products are computed by s^2 tasks of (c/s)^2 each.  Items
+    below ``hot_raters`` keep s = 1 (no replication).  ``salt_buckets``:
+    "auto" (per item, as above), an int (same s for every item; 1 = off).
+    AQE's skew-join split remains on as a second line of defence.
     """
     norms = centered.groupBy(USER).agg(
         F.sqrt(F.sum(F.col("rating_norm") * F.col("rating_norm"))).alias("_norm")
@@ -80,14 +87,21 @@ def user_similarity(centered: DataFrame, salt_buckets: int = 1) -> DataFrame:
         .join(norms, USER)
         .select(ITEM, USER, (F.col("rating_norm") / F.col("_norm")).alias("_x"))
     )
-    if salt_buckets <= 1:
+    if salt_buckets == 1:
         a = nz.select(ITEM, F.col(USER).alias("i"), F.col("_x").alias("_xa"))
         b = nz.select(ITEM, F.col(USER).alias("j"), F.col("_x").alias("_xb"))
         pairs = a.join(b, ITEM).filter(F.col("i") < F.col("j"))
     else:
-        s = int(salt_buckets)
-        own = F.pmod(F.xxhash64(USER), F.lit(s))
-        other = F.explode(F.sequence(F.lit(0), F.lit(s - 1)))
+        if salt_buckets == "auto":
+            raters = nz.groupBy(ITEM).agg(F.count(F.lit(1)).alias("_c"))
+            blocks = raters.select(
+                ITEM, F.greatest(F.lit(1), F.ceil(F.col("_c") / F.lit(hot_raters))).cast("int").alias("_s")
+            )
+            nz = nz.join(blocks, ITEM)
+        else:
+            nz = nz.withColumn("_s", F.lit(int(salt_buckets)))
+        own = F.pmod(F.xxhash64(USER), F.col("_s")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("_s") - 1))
         a = nz.select(ITEM, F.col(USER).alias("i"), F.col("_x").alias("_xa"),
                       own.alias("_sa"), other.alias("_sb"))
         b = nz.select(ITEM, F.col(USER).alias("j"), F.col("_x").alias("_xb"),
@@ -112,7 +126,7 @@ def top_neighbors(sim: DataFrame, max_neighbors: int = 100, symmetric: bool = Fa
 
 
 def fit(train: DataFrame, max_neighbors: int = 100, symmetric: bool = False,
-        salt_buckets: int = 1) -> NeighborModel:
+        salt_buckets: int | str = "auto") -> NeighborModel:
     """NB1-NB4 as one lazy model (callers may materialise ``top``)."""
     means = user_mean(train)
     centered = center(train, means)
@@ -200,16 +214,19 @@ def recommend(model: NeighborModel, users: DataFrame, n: int, k: int) -> DataFra
 
     Every catalogue item is scored, seen items included.  Items no
     neighbour rated score exactly the user's mean; they are not
-    enumerated.  For a user with c candidates (items some neighbour rated)
-    the best non-candidates are the largest ids outside the candidate set,
-    all found among the first k + c catalogue positions in id-descending
-    order: those positions are generated per user, joined to the numbered
-    catalogue, the candidates removed.  Work is linear in the candidates;
-    there is no user x catalogue product.  Order: rounded score desc, then
-    item desc.
+    enumerated.  In id-descending catalogue order (position d = 1, 2, ...)
+    the best such "fill" items of a user are the first k positions not
+    taken by one of the user's c candidates (items some neighbour rated).
+    The k-th free position is at most P = k + (candidates at positions
+    <= k + c), so positions 1..P are generated per user, joined to the
+    numbered catalogue and the candidates among them removed.  Work is
+    linear in the candidates plus k per user; there is no user x catalogue
+    product.  Order: rounded score desc, then item desc.
     """
     who = users.select(USER).distinct().join(model.means, USER)
-    cand = (
+    # Read three times below (scores, counts, positions): written once to
+    # the checkpoint folder instead of re-running the join-aggregate.
+    cand = materialize(
         who.select(USER)
         .join(_active(model, n), USER)
         .join(_neighbor_ratings(model), "_v")
@@ -219,17 +236,26 @@ def recommend(model: NeighborModel, users: DataFrame, n: int, k: int) -> DataFra
     scored = cand.join(model.means, USER).select(
         USER, ITEM, (F.col("user_mean") + F.col("_s")).alias("score")
     )
-    counts = cand.groupBy(USER).agg(F.count(F.lit(1)).alias("_c"))
+    # Catalogue numbered by id desc: one row per item (AQE broadcasts it
+    # when its measured size allows, else a shuffle join on item).
     positions = global_row_number(model.catalogue, [F.col(ITEM).desc()], name="_d")
+    cand_pos = cand.select(USER, ITEM).join(positions, ITEM)
+    counts = cand.groupBy(USER).agg(F.count(F.lit(1)).alias("_c"))
+    near = (
+        cand_pos.join(counts, USER)
+        .filter(F.col("_d") <= F.col("_c") + k)
+        .select(USER, "_d")
+    )
+    bound = near.groupBy(USER).agg(F.count(F.lit(1)).alias("_m"))
     fill = (
-        who.join(counts, USER, "left")
+        who.join(bound, USER, "left")
         .select(
             USER, "user_mean",
             F.explode(F.sequence(F.lit(1).cast("bigint"),
-                                 (F.coalesce(F.col("_c"), F.lit(0)) + k).cast("bigint"))).alias("_d"),
+                                 (F.coalesce(F.col("_m"), F.lit(0)) + k).cast("bigint"))).alias("_d"),
         )
+        .join(near, [USER, "_d"], "left_anti")
         .join(positions, "_d")
-        .join(cand.select(USER, ITEM), [USER, ITEM], "left_anti")
         .select(USER, ITEM, F.col("user_mean").alias("score"))
     )
     ranked = top_k_per_group(

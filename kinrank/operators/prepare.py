@@ -80,7 +80,11 @@ def split(
     train by test users; train by test items; test by the new train users;
     test by the new train items.  One pass, not a fixpoint.
     """
-    flagged = assign_split(clean, seed, train_tenths, user, item)
+    return split_flagged(assign_split(clean, seed, train_tenths, user, item), user, item)
+
+
+def split_flagged(flagged: DataFrame, user: str = USER, item: str = ITEM) -> tuple[DataFrame, DataFrame]:
+    """PR8 on rows already carrying ``is_train``."""
     train0 = flagged.filter("is_train").drop("is_train")
     test0 = flagged.filter(~F.col("is_train")).drop("is_train")
     train = train0.join(_keys(test0, user), user, "left_semi").join(_keys(test0, item), item, "left_semi")

@@ -12,6 +12,7 @@ from __future__ import annotations
 import logging
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 log = logging.getLogger(__name__)
@@ -45,7 +46,13 @@ def materialize(df: DataFrame) -> DataFrame:
     if checkpoint_dir(spark) is None:
         log.warning("spark.checkpoint.dir is not set; frame left unmaterialised")
         return df
-    return df.checkpoint(eager=True)
+    # Cached while being written, so the checkpoint job reads the computed
+    # rows instead of re-running the last stage; dropped right after.
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
 
 
 def configure(spark: SparkSession) -> SparkSession:

@@ -34,11 +34,25 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def train_test(spark: SparkSession, sf_dir: str, n: int | None = None) -> tuple[DataFrame, DataFrame]:
     key = _key(spark, "split", sf_dir, n)
     if key not in _memo:
-        train, test = prepare.prepare_data(ratings(spark, sf_dir), items(spark, sf_dir), n)
-        _memo[key] = (materialize(train), materialize(test))
+        _memo[key] = materialized_split(ratings(spark, sf_dir), items(spark, sf_dir), n)
     return _memo[key]  # type: ignore[return-value]
 
 
+def materialized_split(ratings_df: DataFrame, items_df: DataFrame, n: int | None = None,
+                       seed: int = 12345) -> tuple[DataFrame, DataFrame]:
+    """PR1-PR8 written twice: the flagged clean rows (so the join, dedup and
+    cleaning run once), then train and test together in one table."""
+    from pyspark.sql import functions as F
+
+    flagged = materialize(prepare.assign_split(prepare.clean_ratings(ratings_df, items_df, n), seed))
+    train, test = prepare.split_flagged(flagged)
+    both = materialize(
+        train.withColumn("_part", F.lit(0)).unionByName(test.withColumn("_part", F.lit(1)))
+    )
+    return (both.filter(F.col("_part") == 0).drop("_part"),
+            both.filter(F.col("_part") == 1).drop("_part"))
+
+
 def memo_obj(spark: SparkSession, key: tuple, build):
     """Build any object (e.g. a fitted model) once per session under ``key``."""
     full = _key(spark, "obj", *key)

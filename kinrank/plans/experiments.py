@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinrank import ITEM, RATING, USER
@@ -17,6 +17,7 @@ from kinrank.functions import metrics
 from kinrank.functions.columns import split_hash, tie_key
 from kinrank.operators import baseline, neighbors, prepare
 from kinrank.plans.context import materialize
+from kinrank.plans.data import materialized_split
 
 SUMMARY_COLS = (
     "rmse_train", "rmse_test", "top_k_precision_train", "top_k_precision_test",
@@ -24,15 +25,15 @@ SUMMARY_COLS = (
 )
 
 
-def _one(df: DataFrame, col: str, alias: str) -> DataFrame:
-    return df.select(F.col(col).alias(alias))
+def _one(df: DataFrame, col: str, alias: str):
+    """A one-row metric frame as a scalar-subquery column."""
+    return df.select(F.col(col)).scalar().alias(alias)
 
 
-def _row(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)  # one-row frames only
-    return out
+def _row(parts: list) -> DataFrame:
+    """One summary row whose values are scalar subqueries over the data."""
+    spark = SparkSession.getActiveSession()
+    return spark.range(1).select(*parts)
 
 
 def neighbor_summary(train: DataFrame, test: DataFrame, n: int = 20, k_precision: int = 5,
@@ -72,8 +73,7 @@ def sample_size_sweep(ratings: DataFrame, items: DataFrame, sizes: list[int],
     """EX2 (without runtime): one row per (model, sample size)."""
     rows = []
     for size in sizes:
-        train, test = prepare.prepare_data(ratings, items, size)
-        train, test = materialize(train), materialize(test)
+        train, test = materialized_split(ratings, items, size)
         for m in models:
             if m == "baseline":
                 r = baseline_summary(train, test, k_precision)
@@ -96,8 +96,7 @@ def run_summary(ratings: DataFrame, items: DataFrame, sizes: list[int], n: int =
     """
     rows = []
     for size in sizes:
-        train, test = prepare.prepare_data(ratings, items, size)
-        train, test = materialize(train), materialize(test)
+        train, test = materialized_split(ratings, items, size)
         start = time.perf_counter()
         model = neighbors.fit(train)
         model = neighbors.with_top(model, materialize(model.top))

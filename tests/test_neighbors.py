@@ -104,3 +104,12 @@ def test_gap_user_defaults(spark):
     train = spark.createDataFrame([(1, 1, 3.0), (4, 1, 2.0)], "user_id bigint, item_id bigint, rating double")
     got = {r.user_id: r.default_rating for r in neighbors.gap_user_defaults(train).collect()}
     assert got == {2: 0.5, 3: 0.5}
+
+
+def test_auto_salting_splits_hot_items(tiny):
+    plain = neighbors.user_similarity(neighbors.center(tiny), salt_buckets=1)
+    # every item is "hot" at threshold 1: each is split into c blocks
+    hot = neighbors.user_similarity(neighbors.center(tiny), salt_buckets="auto", hot_raters=1)
+    a = {(r.i, r.j): round(r.value, 12) for r in plain.collect()}
+    b = {(r.i, r.j): round(r.value, 12) for r in hot.collect()}
+    assert a == b
