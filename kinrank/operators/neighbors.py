@@ -350,10 +350,20 @@ def sweep_predictions(model: NeighborModel, frame: DataFrame, max_n: int) -> Dat
 
 def sweep(model: NeighborModel, frame: DataFrame, max_n: int, k: int) -> DataFrame:
     """EX1: RMSE and precision@k for every neighbour count 1..max_n, one job
-    (instead of max_n refits): ``(n, rmse, precision)``."""
-    preds = sweep_predictions(model, frame.select(USER, ITEM, RATING), max_n)
+    (instead of max_n refits): ``(n, rmse, precision)``.
+
+    The truth top-k does not depend on n: it is cut once per user and
+    joined to the per-(n, user) predicted top-k.
+    """
+    rows = frame.select(USER, ITEM, RATING)
+    preds = sweep_predictions(model, rows, max_n)
     err = metrics.rmse_by(preds, "n")
-    prec = precision_by_user(preds, k, group=("n", USER)).groupBy("n").agg(
-        F.avg("precision").alias("precision")
+    truth = top_k_per_group(rows, [USER], truth_order(), k).select(USER, ITEM)
+    guess = top_k_per_group(preds, ["n", USER], pred_order(), k).select("n", USER, ITEM)
+    hits = guess.join(truth, [USER, ITEM]).groupBy("n").agg(F.count(F.lit(1)).alias("_h"))
+    n_users = rows.select(USER).distinct().agg(F.count(F.lit(1))).scalar()
+    prec = hits.select("n", (F.col("_h") / (F.lit(float(k)) * n_users)).alias("precision"))
+    # n values with no hit at all still get a row (precision 0)
+    return err.join(prec, "n", "left").select(
+        "n", "rmse", F.coalesce(F.col("precision"), F.lit(0.0)).alias("precision")
     )
-    return err.join(prec, "n")
