@@ -113,3 +113,40 @@ def test_auto_salting_splits_hot_items(tiny):
     a = {(r.i, r.j): round(r.value, 12) for r in plain.collect()}
     b = {(r.i, r.j): round(r.value, 12) for r in hot.collect()}
     assert a == b
+
+
+def test_similarity_matches_mllib_column_similarities(spark):
+    """NB3 against MLlib's exact columnSimilarities on a random sparse matrix."""
+    import random
+
+    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
+
+    rnd = random.Random(7)
+    rows = sorted({(u, i) for u in range(1, 25) for i in range(15) if rnd.random() < 0.4})
+    data = [(u, i, float(rnd.randint(1, 10)) / 2) for u, i in rows]
+    df = spark.createDataFrame(data, "user_id bigint, item_id bigint, rating double")
+    centered = neighbors.center(df)
+    ours = {(r.i, r.j): r.value for r in neighbors.user_similarity(centered).collect()}
+    entries = centered.rdd.map(lambda r: MatrixEntry(r.item_id, r.user_id, r.rating_norm))
+    ref = CoordinateMatrix(entries).toRowMatrix().columnSimilarities().entries.collect()
+    theirs = {(e.i, e.j): e.value for e in ref if e.value != 0}
+    ours_nz = {k: v for k, v in ours.items() if abs(v) > 1e-12}
+    assert set(ours_nz) == set(theirs)
+    for k, v in theirs.items():
+        assert ours[k] == pytest.approx(v, abs=1e-9)
+
+
+def test_results_independent_of_partitioning(tiny):
+    a = neighbors.predict(neighbors.fit(tiny), tiny, 2)
+    b = neighbors.predict(neighbors.fit(tiny.repartition(7)), tiny.repartition(3), 2)
+    key = lambda df: sorted((r.user_id, r.item_id, round(r.prediction, 9)) for r in df.collect())
+    assert key(a) == key(b)
+
+
+def test_similarity_in_range_and_i_lt_j(spark):
+    from kinrank.plans import data
+
+    train, _ = data.train_test(spark, "/root/testdata/sf0.001")
+    sim = neighbors.user_similarity(neighbors.center(train))
+    bad = sim.filter((sim.i >= sim.j) | (sim.value > 1 + 1e-9) | (sim.value < -1 - 1e-9)).count()
+    assert bad == 0 and sim.count() > 0
