@@ -129,9 +129,8 @@ def test_similarity_matches_mllib_column_similarities(spark):
     ours = {(r.i, r.j): r.value for r in neighbors.user_similarity(centered).collect()}
     entries = centered.rdd.map(lambda r: MatrixEntry(r.item_id, r.user_id, r.rating_norm))
     ref = CoordinateMatrix(entries).toRowMatrix().columnSimilarities().entries.collect()
-    theirs = {(e.i, e.j): e.value for e in ref if e.value != 0}
-    ours_nz = {k: v for k, v in ours.items() if abs(v) > 1e-12}
-    assert set(ours_nz) == set(theirs)
+    theirs = {(e.i, e.j): e.value for e in ref}
+    assert set(ours) == set(theirs)
     for k, v in theirs.items():
         assert ours[k] == pytest.approx(v, abs=1e-9)
 
