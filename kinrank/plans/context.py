@@ -62,3 +62,16 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition ``df`` on ``keys`` into ``spark.sql.shuffle.partitions``.
+
+    For the inputs of joins whose output is much larger than their input
+    (co-rating pairs, neighbour x rating contributions): AQE sizes shuffle
+    partitions by *input* bytes and would coalesce such a join into a few
+    tasks; an explicit partition count is kept as is.  Both sides must be
+    spread on exactly the join keys so the join reuses the partitioning.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

@@ -62,6 +62,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _parallel(df: DataFrame) -> DataFrame:
+    """Spread a scan that arrives in fewer partitions than the cluster has
+    cores (e.g. one large row group), so the join and partial aggregate
+    that follow are not run by one task.  A scan of many files already has
+    enough partitions and is left alone (no extra shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def standin_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IO1 on the driver tables: ``(user_id, item_id, rating, ts)``.
 
@@ -72,10 +81,10 @@ def standin_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     the line items is pre-reduced before the shuffle instead of being sorted
     in one window task.
     """
-    li = _table(spark, sf_dir, "lineitem").select(
+    li = _parallel(_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_quantity", "l_extendedprice", "l_shipdate",
-    )
+    ))
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_size")
 
@@ -128,7 +137,7 @@ def standin_rating_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     Same rating rule as ``standin_ratings``; input for the duplicate-
     averaging step of the neighbourhood model.
     """
-    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
+    li = _parallel(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate"))
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_size")
     j = li.join(orders, li.l_orderkey == orders.o_orderkey).join(part, li.l_partkey == part.p_partkey)
