@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from kinrank import ITEM, RATING, USER
 from kinrank.functions.columns import split_hash, tie_key
 from kinrank.functions.ranking import global_row_number, group_row_number, top_k_per_group
+from kinrank.operators.prepare import drop_time
 
 INT_MAX = 2**31 - 1
 INT_MIN = -(2**31)
@@ -83,6 +84,7 @@ class AlsFit(NamedTuple):
 
 def fit(train: DataFrame, rank: int = 10, max_iter: int = 5, reg_param: float = 0.1,
         seed: int = 12345) -> AlsFit:
+    train = drop_time(train)
     codec = id_codec(train)
     model = estimator(rank, max_iter, reg_param, seed).fit(encode(train, codec))
     return AlsFit(model, codec)
@@ -98,6 +100,7 @@ def grid_search(
     Sub-models are not kept by default: each holds its factor tables and
     nothing downstream reads them.
     """
+    train = drop_time(train)
     codec = id_codec(train)
     als = estimator(seed=seed)
     grid = (
@@ -129,7 +132,7 @@ def grid_search(
 
 def predict(fitted: AlsFit, frame: DataFrame) -> DataFrame:
     """AL4: ``frame`` + ``predicted_rating``; cold-start rows dropped."""
-    scored = fitted.model.transform(encode(frame, fitted.codec))
+    scored = fitted.model.transform(encode(drop_time(frame), fitted.codec))
     return scored.drop(f"_{USER}_int", f"_{ITEM}_int").withColumnRenamed("prediction", "predicted_rating")
 
 

@@ -475,3 +475,27 @@ def als_grid_search(spark, sf_dir):
     fitted = als.grid_search(train, [ALS_RANK], [ALS_ITER], ALS_GRID, num_folds=2,
                              metric="rmse", parallelism=2, seed=SEED)
     return fitted.results
+
+
+@query
+def als_sample_size_sweep(spark, sf_dir):
+    """EX2, ALS part: grid search, RMSE, cut precision and coverage per size."""
+    out = experiments.als_sample_size_sweep(
+        data.ratings(spark, sf_dir), data.items(spark, sf_dir), _sizes(spark, sf_dir), ALS_GRID,
+        rank=ALS_RANK, max_iter=ALS_ITER, num_folds=2, k=K_PRECISION, seed=SEED,
+    )
+    return out.select("model", "sample_size", *[r6(c) for c in experiments.SUMMARY_COLS])
+
+
+@query
+def summary_at_size(spark, sf_dir):
+    """EX7 via IO5/IO6: the neighbour summary at the middle sample size is
+    saved, read back with a partition filter, and its test metrics kept."""
+    size = third_cap(spark, sf_dir, 2)
+    train, test = data.materialized_split(data.ratings(spark, sf_dir), data.items(spark, sf_dir), size)
+    summary = experiments.neighbor_summary(train, test, N_NEIGHBORS, K_PRECISION, K_COVERAGE)
+    path = data.scratch_path(spark, "summary")
+    results.save_results(summary, path, "neighbor", size)
+    back = results.load_results(spark, path, sample_size=size, model="neighbor",
+                                columns=["rmse_test", "top_k_precision_test"])
+    return back.select(r6("rmse_test"), r6("top_k_precision_test"))

@@ -1,9 +1,9 @@
 """Prepared inputs shared by the registered queries.
 
-Train and test are built once per (session, data folder, cap) and
-materialised with a reliable checkpoint, as the neighbourhood model's
-similarity table is: each later query starts from files instead of
-re-running the three-way join, the dedup and the split.
+The stand-in ratings, and train/test per (session, data folder, cap), are
+built once and written as tables in the shared checkpoint folder, as the
+neighbourhood model's similarity table is: each later query starts from
+files instead of re-running the three-way join, the dedup and the split.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ def _key(spark: SparkSession, *parts) -> tuple:
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in ratings, built once per session and written as a table."""
     configure(spark)
-    return src.standin_ratings(spark, sf_dir)
+    return memo(spark, ("ratings", sf_dir), lambda: src.standin_ratings(spark, sf_dir))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kinrank import ITEM, RATING, USER
 from kinrank.functions import metrics
 from kinrank.functions.columns import split_hash, tie_key
-from kinrank.operators import baseline, neighbors, prepare
+from kinrank.operators import als, baseline, neighbors, prepare
 from kinrank.plans.context import materialize
 from kinrank.plans.data import materialized_split
 
@@ -121,6 +121,41 @@ def run_summary(ratings: DataFrame, items: DataFrame, sizes: list[int], n: int =
     return out
 
 
+def als_summary(train: DataFrame, test: DataFrame, reg_params, rank: int = 10, max_iter: int = 5,
+                num_folds: int = 2, k: int = 5, seed: int = 12345) -> DataFrame:
+    """EX2 for ALS: grid search on train, then RMSE, precision@k of the cut
+    rankings (MT6 + MT3) and coverage of the cut predicted lists joined to
+    the frame (MT7), on both sides.  One row (runtime excluded)."""
+    fitted = als.grid_search(train, [rank], [max_iter], reg_params, num_folds=num_folds, seed=seed)
+    parts = []
+    for side, frame in (("train", train), ("test", test)):
+        scored = als.predict(fitted, frame)
+        cut = als.rankings(scored, k=k)
+        truth = cut.filter(F.col("truth_rank").isNotNull()).select(USER, ITEM)
+        guess = cut.filter(F.col("pred_rank").isNotNull()).select(USER, ITEM, F.col("pred_rank").alias("rank"))
+        prec = metrics.mean_of(metrics.list_precision(truth, guess, k), "precision")
+        parts += [
+            _one(metrics.rmse(scored, pred="predicted_rating"), "rmse", f"rmse_{side}"),
+            _one(prec, "precision", f"top_k_precision_{side}"),
+            _one(metrics.ranked_coverage(frame, guess, k), "coverage", f"coverage_{side}"),
+        ]
+    return _row(parts).select(*SUMMARY_COLS)
+
+
+def als_sample_size_sweep(ratings: DataFrame, items: DataFrame, sizes: list[int], reg_params,
+                          **kw) -> DataFrame:
+    """EX2 (ALS part): one row per sample size."""
+    rows = []
+    for size in sizes:
+        train, test = materialized_split(ratings, items, size)
+        rows.append(als_summary(train, test, reg_params, **kw).select(
+            F.lit("als").alias("model"), F.lit(size).cast("bigint").alias("sample_size"), *SUMMARY_COLS))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def fold_curves(model: neighbors.NeighborModel, frame: DataFrame, folds: int, max_n: int,
                 seed: int = 12345) -> DataFrame:
     """Neighbour RMSE curve 1..max_n on each hash fold of ``frame``:

@@ -469,3 +469,7 @@ SQL["best_params"] = (
 )
 
 SQL["similarity_roundtrip"] = SQL["top_neighbors"]
+
+SQL["summary_at_size"] = (
+    "SELECT rmse_test, top_k_precision_test FROM " + _summary_select("neighbor", 2) + " s"
+)
