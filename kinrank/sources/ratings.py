@@ -67,8 +67,12 @@ def _parallel(df: DataFrame) -> DataFrame:
     cores (e.g. one large row group), so the join and partial aggregate
     that follow are not run by one task.  A scan of many files already has
     enough partitions and is left alone (no extra shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()  # plans the scan; runs no job
+    except Exception:  # noqa: BLE001 -- e.g. a client session without RDD access
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def standin_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:

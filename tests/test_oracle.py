@@ -35,7 +35,9 @@ def con():
     return c
 
 
-FAST = [n for n in E.oracle_sql() if n not in ("sample_size_sweep",)]
+# The sample-size experiments rebuild the whole pipeline three times; they
+# are compared at sf0.01 by tools/compare.py instead.
+FAST = [n for n in E.oracle_sql() if n not in ("sample_size_sweep", "summary_at_size")]
 
 
 @pytest.mark.parametrize("name", FAST)
