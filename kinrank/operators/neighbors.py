@@ -136,6 +136,16 @@ def fit(train: DataFrame, max_neighbors: int = 100, symmetric: bool = False,
     return NeighborModel(means, centered, top, train.select(ITEM).distinct())
 
 
+def fit_materialized(train: DataFrame, max_neighbors: int = 100, symmetric: bool = False,
+                     salt_buckets: int | str = "auto") -> NeighborModel:
+    """NB1-NB4 with the means and centred ratings written first, so the
+    similarity is computed from them rather than re-aggregated."""
+    means = materialize(user_mean(train))
+    centered = materialize(center(train, means))
+    top = materialize(top_neighbors(user_similarity(centered, salt_buckets), max_neighbors, symmetric))
+    return NeighborModel(means, centered, top, materialize(train.select(ITEM).distinct()))
+
+
 def with_top(model: NeighborModel, top: DataFrame) -> NeighborModel:
     """NB11: the same model over a saved / reloaded similarity table."""
     return model._replace(top=top)

@@ -167,12 +167,11 @@ from kinrank.sources import ratings as src  # noqa: E402
 
 
 def nb_model(spark, sf_dir) -> neighbors.NeighborModel:
-    """Neighbour model on the full train split; the top-100 table is
-    materialised once per session (the saved similarity file)."""
+    """Neighbour model on the full train split, written once per session
+    (means, centred ratings, top-100 table, catalogue)."""
     train, _ = data.train_test(spark, sf_dir)
-    model = neighbors.fit(train, MAX_NEIGHBORS)
-    top = data.memo(spark, ("top", sf_dir), lambda: model.top)
-    return neighbors.with_top(model, top)
+    return data.memo_obj(spark, ("nb_model", sf_dir),
+                         lambda: neighbors.fit_materialized(train, MAX_NEIGHBORS))
 
 
 def nb_test_predictions(spark, sf_dir, n=N_NEIGHBORS, frame="test"):

@@ -39,8 +39,7 @@ def _row(parts: list) -> DataFrame:
 def neighbor_summary(train: DataFrame, test: DataFrame, n: int = 20, k_precision: int = 5,
                      k_coverage: int = 10, max_neighbors: int = 100) -> DataFrame:
     """Train/test RMSE, precision@k and coverage of one neighbour model (one row)."""
-    model = neighbors.fit(train, max_neighbors)
-    model = neighbors.with_top(model, materialize(model.top))
+    model = neighbors.fit_materialized(train, max_neighbors)
     p_train = neighbors.predict(model, train, n)
     p_test = neighbors.predict(model, test, n)
     return _row([
@@ -98,8 +97,7 @@ def run_summary(ratings: DataFrame, items: DataFrame, sizes: list[int], n: int =
     for size in sizes:
         train, test = materialized_split(ratings, items, size)
         start = time.perf_counter()
-        model = neighbors.fit(train)
-        model = neighbors.with_top(model, materialize(model.top))
+        model = neighbors.fit_materialized(train)
         runtime = time.perf_counter() - start
         p_train = neighbors.predict(model, train, n)
         p_test = neighbors.predict(model, test, n)
