@@ -108,5 +108,3 @@ def drop_time(df: DataFrame, ts: str = TS) -> DataFrame:
     """PR9."""
     return df.drop(ts)
 
-
-RATING_COLS = (USER, ITEM, RATING, TS)

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from kinrank import ITEM, RATING, USER
 from kinrank.functions import metrics
 from kinrank.functions.columns import split_hash, tie_key
-from kinrank.operators import als, baseline, neighbors, prepare
-from kinrank.plans.context import materialize
+from kinrank.operators import als, baseline, neighbors
 from kinrank.plans.data import materialized_split
 
 SUMMARY_COLS = (
@@ -183,7 +182,3 @@ def best_params(curve: DataFrame, param: str, low: str | None = None, high: str
         m = F.max(F.struct(tie_key(high).alias("v"), (-F.col(param)).alias("p"), F.col(high).alias("raw")))
         aggs += [(-m.getField("p")).alias(f"best_{param}_{high}"), m.getField("raw").alias(f"max_{high}")]
     return curve.agg(*aggs)
-
-
-def rating_rows(frame: DataFrame) -> DataFrame:
-    return frame.select(USER, ITEM, RATING)

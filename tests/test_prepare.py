@@ -67,3 +67,11 @@ def test_item_year_and_genre_filter(spark):
         "item_id bigint, title string, genres string")
     got = [(r.item_id, r.year) for r in prepare.items_with_genre(items).collect()]
     assert got == [(1, "1999")]
+
+
+def test_standin_schemas(spark):
+    def shape(schema):
+        return [(f.name, f.dataType.simpleString()) for f in schema.fields]
+
+    assert shape(data.ratings(spark, SF).schema)[:3] == shape(src.RATINGS_SCHEMA)[:3]
+    assert shape(data.items(spark, SF).schema) == shape(src.ITEMS_SCHEMA)
