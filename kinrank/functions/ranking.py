@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinrank.plans.context import materialize
+from kinrank.plans.context import materialize, partition_count
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -53,8 +53,7 @@ def global_row_number(
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Exact row number 1..N over ``order`` (which must be a total order)."""
-    spark = df.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = num_partitions or partition_count(df.sparkSession)
     order_cols = _cols(order)
     tagged = materialize(
         df.repartitionByRange(parts, *order_cols)

@@ -61,8 +61,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def partition_count(spark: SparkSession) -> int:
+    """Partitions for an explicitly partitioned step: two tasks per core of
+    the cluster, never more than ``spark.sql.shuffle.partitions``."""
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 -- client sessions have no SparkContext
+        return configured
+    return max(1, min(configured, 2 * cores))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition ``df`` on ``keys`` into ``spark.sql.shuffle.partitions``.
+    """Hash-partition ``df`` on ``keys`` into ``partition_count`` partitions.
 
     For the inputs of joins whose output is much larger than their input
     (co-rating pairs, neighbour x rating contributions): AQE sizes shuffle
@@ -70,5 +81,4 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     tasks; an explicit partition count is kept as is.  Both sides must be
     spread on exactly the join keys so the join reuses the partitioning.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+    return df.repartition(partition_count(df.sparkSession), *keys)
