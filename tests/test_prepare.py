@@ -75,3 +75,27 @@ def test_standin_schemas(spark):
 
     assert shape(data.ratings(spark, SF).schema)[:3] == shape(src.RATINGS_SCHEMA)[:3]
     assert shape(data.items(spark, SF).schema) == shape(src.ITEMS_SCHEMA)
+
+
+def test_csv_end_to_end(spark, tmp_path):
+    """MovieLens-style CSVs through cleaning, split, baseline and neighbours."""
+    from kinrank.functions import metrics
+    from kinrank.operators import baseline, neighbors
+
+    lines = ["userId,movieId,rating,timestamp"]
+    for u in range(1, 31):
+        for m in range(1, 13):
+            if (u * 7 + m * 3) % 4 != 0:
+                lines.append(f"{u},{m},{((u + m) % 10 + 1) / 2},{1_000_000 + u * 100 + m}")
+    (tmp_path / "r.csv").write_text("\n".join(lines) + "\n")
+    movies = ["movieId,title,genres"] + [
+        f"{m},Film {m} (19{60 + m}),{src.NO_GENRE if m == 12 else 'Drama'}" for m in range(1, 13)]
+    (tmp_path / "m.csv").write_text("\n".join(movies) + "\n")
+    r = src.read_ratings_csv(spark, str(tmp_path / "r.csv"))
+    m = src.read_items_csv(spark, str(tmp_path / "m.csv"))
+    train, test = prepare.prepare_data(r, m)
+    assert train.filter("item_id = 12").count() == 0  # no-genre movie removed
+    assert test.count() > 0
+    b = baseline.rmse(baseline.predict(test, baseline.item_stats(train))).first()["rmse"]
+    n = metrics.rmse(neighbors.predict(neighbors.fit(train), test, 5)).first()["rmse"]
+    assert b > 0 and n > 0
