@@ -30,7 +30,7 @@ from kinrank import ITEM, RATING, USER
 from kinrank.functions import metrics
 from kinrank.functions.columns import tie_key
 from kinrank.functions.ranking import global_row_number, top_k_per_group
-from kinrank.plans.context import materialize, spread
+from kinrank.plans.context import materialize
 
 # Default value the padded (absent) users of 1..max user id receive.
 GAP_USER_RATING = 0.5
@@ -88,7 +88,6 @@ def user_similarity(centered: DataFrame, salt_buckets: int | str = "auto",
         .select(ITEM, USER, (F.col("rating_norm") / F.col("_norm")).alias("_x"))
     )
     if salt_buckets == 1:
-        nz = spread(nz, ITEM)
         a = nz.select(ITEM, F.col(USER).alias("i"), F.col("_x").alias("_xa"))
         b = nz.select(ITEM, F.col(USER).alias("j"), F.col("_x").alias("_xb"))
         pairs = a.join(b, ITEM).filter(F.col("i") < F.col("j"))
@@ -108,7 +107,7 @@ def user_similarity(centered: DataFrame, salt_buckets: int | str = "auto",
         b = nz.select(ITEM, F.col(USER).alias("j"), F.col("_x").alias("_xb"),
                       other.alias("_sa"), own.alias("_sb"))
         keys = [ITEM, "_sa", "_sb"]
-        pairs = spread(a, *keys).join(spread(b, *keys), keys).filter(F.col("i") < F.col("j"))
+        pairs = a.join(b, keys).filter(F.col("i") < F.col("j"))
     return pairs.groupBy("i", "j").agg(F.sum(F.col("_xa") * F.col("_xb")).alias("value"))
 
 
@@ -207,8 +206,8 @@ def predict(model: NeighborModel, pairs: DataFrame, n: int) -> DataFrame:
     keys = pairs.select(USER, ITEM).distinct()
     asked = keys.join(_active(model, n), USER)
     contrib = (
-        spread(asked, "_v", ITEM)
-        .join(spread(_neighbor_ratings(model), "_v", ITEM), ["_v", ITEM])
+        asked
+        .join(_neighbor_ratings(model), ["_v", ITEM])
         .groupBy(USER, ITEM)
         .agg(F.sum(F.col("_sim") * F.col("_x")).alias("_s"))
     )
@@ -241,8 +240,8 @@ def recommend(model: NeighborModel, users: DataFrame, n: int, k: int) -> DataFra
     # Read three times below (scores, counts, positions): written once to
     # the checkpoint folder instead of re-running the join-aggregate.
     cand = materialize(
-        spread(lists, "_v")
-        .join(spread(_neighbor_ratings(model), "_v"), "_v")
+        lists
+        .join(_neighbor_ratings(model), "_v")
         .groupBy(USER, ITEM)
         .agg(F.sum(F.col("_sim") * F.col("_x")).alias("_s"))
     )
@@ -335,8 +334,8 @@ def sweep_predictions(model: NeighborModel, frame: DataFrame, max_n: int) -> Dat
     keys = frame.select(USER, ITEM).distinct()
     asked = keys.join(_active(model, max_n, keep_rank=True), USER)
     contrib = (
-        spread(asked, "_v", ITEM)
-        .join(spread(_neighbor_ratings(model), "_v", ITEM), ["_v", ITEM])
+        asked
+        .join(_neighbor_ratings(model), ["_v", ITEM])
         .select(USER, ITEM, "_r", (F.col("_sim") * F.col("_x")).alias("_c"))
     )
     w = Window.partitionBy(USER, ITEM).orderBy("_r")

@@ -1,84 +1,76 @@
-"""Session helpers: shuffle sizing and lineage cutting.
+"""Session helpers: lineage cutting and shuffle sizing.
 
-Lineage is cut by writing parquet tables into the shared directory the
-cluster names in ``spark.checkpoint.dir``.  Only when no directory is
-configured *and* the master is local (tests, the bench) do we create one
-under the system temp folder; on a cluster with no checkpoint directory
-the frame is returned unmaterialised (correct, only recomputed).
+Lineage is cut by writing parquet tables into the shared folder that the
+cluster names in ``spark.checkpoint.dir``.  The library never picks a folder
+of its own: where none is set, ``shared_dir`` raises, because a table that
+only one machine sees gives wrong results on a cluster.
 """
 
 from __future__ import annotations
 
-import logging
-import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
-log = logging.getLogger(__name__)
+_tables: dict[str, set[str]] = {}
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share; raises where the session names none."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None
+    folder = (
+        sc.getCheckpointDir()
+        or spark.conf.get("spark.checkpoint.dir", None)
+        or sc.getConf().get("spark.checkpoint.dir", None)
     )
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return sc.getCheckpointDir()
-    if sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kinrank-ckpt-"))
-        return sc.getCheckpointDir()
-    return None
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as parquet under the shared checkpoint folder and
-    read it back: the lineage is cut and the result survives executor loss
-    (unlike ``localCheckpoint``), in one job.  Reading parquet (rather than
-    a checkpointed RDD) keeps column pruning and filter pushdown for the
-    many later readers, and gives AQE real sizes for its join choices.
+    """Write ``df`` once as parquet under the shared folder and read it back.
+
+    Runs one job.  The lineage is cut and the table survives executor loss
+    (unlike ``localCheckpoint``); later readers get column pruning, filter
+    pushdown and real sizes for AQE.  ``discard`` removes one such table,
+    ``drop_tables`` all of the session.
     """
     spark = df.sparkSession
-    base = checkpoint_dir(spark)
-    if base is None:
-        log.warning("spark.checkpoint.dir is not set; frame left unmaterialised")
-        return df
-    path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    _tables.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _path_of[back] = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the tables behind frames that ``materialize`` returned."""
+    for df in frames:
+        if path := _path_of.pop(df, None):
+            _delete(df.sparkSession, path)
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Runtime settings the library relies on (all are SQL confs)."""
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark
+def drop_tables(spark: SparkSession) -> int:
+    """Remove every table this session materialised; returns their number.
+    Frames that still read them fail afterwards, so call it at the end."""
+    paths = list(_tables.get(spark.sparkContext.applicationId, ()))
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
+    _tables.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
 def partition_count(spark: SparkSession) -> int:
-    """Partitions for an explicitly partitioned step: two tasks per core of
-    the cluster, never more than ``spark.sql.shuffle.partitions``."""
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        cores = spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 -- client sessions have no SparkContext
-        return configured
-    return max(1, min(configured, 2 * cores))
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition ``df`` on ``keys`` into ``partition_count`` partitions.
-
-    For the inputs of joins whose output is much larger than their input
-    (co-rating pairs, neighbour x rating contributions): AQE sizes shuffle
-    partitions by *input* bytes and would coalesce such a join into a few
-    tasks; an explicit partition count is kept as is.  Both sides must be
-    spread on exactly the join keys so the join reuses the partitioning.
-    """
-    return df.repartition(partition_count(df.sparkSession), *keys)
+    """Partitions for an explicitly partitioned step: the session's own
+    ``spark.sql.shuffle.partitions``, which the user sizes to the data."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

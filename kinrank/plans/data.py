@@ -8,10 +8,12 @@ files instead of re-running the three-way join, the dedup and the split.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from kinrank.operators import prepare
-from kinrank.plans.context import configure, materialize
+from kinrank.plans.context import materialize, shared_dir
 from kinrank.sources import ratings as src
 
 _memo: dict[tuple, object] = {}
@@ -23,12 +25,10 @@ def _key(spark: SparkSession, *parts) -> tuple:
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in ratings, built once per session and written as a table."""
-    configure(spark)
     return memo(spark, ("ratings", sf_dir), lambda: src.standin_ratings(spark, sf_dir))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
     return src.standin_items(spark, sf_dir)
 
 
@@ -64,14 +64,7 @@ def memo_obj(spark: SparkSession, key: tuple, build):
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory for result sets."""
-    import uuid
-
-    from kinrank.plans.context import checkpoint_dir
-
-    base = checkpoint_dir(spark)
-    if base is None:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder for result sets")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def memo(spark: SparkSession, key: tuple, build) -> DataFrame:
