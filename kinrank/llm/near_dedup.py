@@ -44,7 +44,7 @@ from kinrank.plans.context import discard, materialize
 BINS = 128
 BANDS = 32
 SIMILAR_PCT = 80
-BLOCK = 256
+BLOCK = 2048
 PRUNE = 0.6
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
