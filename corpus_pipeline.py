@@ -9,18 +9,48 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinrank.llm import quality
+from kinrank.llm import decontaminate, mixing, near_dedup, quality, token_files
 from kinrank.plans.context import shared_dir
 
+#: The vocabulary file, as every worker finds it.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; kept ones lose their boilerplate lines."""
     return quality.clean(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five-word shingles, 0.8)."""
+    return near_dedup.dedup(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are sampled so that sources, languages and topics meet their targets."""
+    return mixing.sample(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files are written; returned is what they read back as, per document."""
+    return token_files.encode(docs, f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}", TOKENIZER)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+    ("token_output", token_output),
+]
 
 #: Raking is iterative and tokenizing is no SQL: tested against brute force in tests/llm.
 ORACLE_SQL = None

@@ -6,12 +6,15 @@ and returns the columns that its contract names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinrank.llm import decontaminate, near_dedup, quality
+from kinrank.llm import decontaminate, mixing, near_dedup, quality, token_files
+from kinrank.plans.context import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,3 +48,19 @@ def op1_minhash_dedup(spark, sf_dir):
 def op8_decontaminate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_source_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return mixing.assign(docs).select(
+        "doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("weight"),
+        F.round("probability", 9).alias("probability"), F.round("loss_weight", 9).alias("loss_weight"), "sampled",
+    )
+
+
+@query
+def op4_token_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    return token_files.encode(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
