@@ -13,8 +13,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinrank.llm import decontaminate, mixing, near_dedup, quality, token_files
-from kinrank.plans.context import shared_dir
+from kinrank.llm import chat, decontaminate, line_dedup, mixing, near_dedup, quality, sharding, token_files
+from kinrank.plans.context import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,3 +64,30 @@ def op4_token_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     return token_files.encode(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+#: A conversation with control strings in its texts, added to the table by the contract.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+@query
+def op3_chat_formatting(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    return chat.digest(materialize(chat.examples(rows.unionByName(control))))
+
+
+@query
+def op7_sharding(spark, sf_dir):
+    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.assess(docs).select(
+        "doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines",
+        F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"),
+    )
