@@ -13,7 +13,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinrank.llm import chat, decontaminate, line_dedup, mixing, near_dedup, quality, sharding, token_files
+from kinrank.llm import (
+    chat, decontaminate, line_dedup, mixing, near_dedup, pii, quality, sharding, token_files, url_filter,
+)
 from kinrank.plans.context import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +93,33 @@ def op10_line_dedup(spark, sf_dir):
         "doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines",
         F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"),
     )
+
+
+@query
+def op2_pii(spark, sf_dir):
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.count_of("base", kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), *counts,
+        F.sha2(pii.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+#: The rules of the contract.
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+]
+
+
+@query
+def op6_url_filter(spark, sf_dir):
+    """A page's url carries the number of its document; toxic or low-quality
+    documents label their urls as block."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = table(spark, sf_dir, "labels").groupBy("doc_id").agg(
+        F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("label"))
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), "/([0-9]{1,18})", 1).try_cast("long")
+    labelled = pages.withColumn("doc_id", number).join(bad, "doc_id").select("url", "label")
+    return url_filter.judge(pages, labelled, URL_RULES).withColumn("score", F.round("score", 6))
