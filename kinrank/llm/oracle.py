@@ -1,3 +1,120 @@
-"""DuckDB SQL of the training-data queries."""
+"""DuckDB SQL of the training-data queries, written from their definitions.
+
+Near-duplicates are found by comparing all documents that share a shingle.
+Queries with trained models, raking, heap schedules, corpus thresholds on
+floats or tokenizers have no SQL; tests/llm checks them by brute force.
+"""
+
+from __future__ import annotations
+
+_WHITE = r"[\x20\x09-\x0D]+"
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {}
+
+SQL["op1_minhash_dedup"] = rf"""
+with recursive d as (
+  select row_number() over (order by doc_id) as uid, doc_id,
+         regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') as w
+  from documents),
+s as (
+  select distinct uid, array_to_string(list_slice(w, i, i + 3), ' ') as g
+  from (select uid, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from d where len(w) > 0) t),
+n as (select uid, count(*) as n from s group by uid),
+c as (select a.uid as a, b.uid as b, count(*) as shared from s a join s b on a.g = b.g and a.uid <> b.uid group by all),
+e as (
+  select a, b from c join n na on na.uid = a join n nb on nb.uid = b
+  where 100 * shared >= 80 * (na.n + nb.n - shared)),
+reach(uid, other) as (
+  select uid, uid from d union select r.uid, e.b from reach r join e on e.a = r.other),
+m as (select r.uid, min(d.doc_id) as component_id from reach r join d on d.uid = r.other group by r.uid)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id, d.doc_id = m.component_id as kept
+from d join m on m.uid = d.uid left join n on n.uid = d.uid
+"""
+
+SQL["op3_chat_formatting"] = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o as (
+  select *, row_number() over w as i, count(*) over (partition by conv_id) as n,
+         length('<turn>') + length('</turn>') + 2 + length(replace(replace(replace(replace(role,
+           '\', '\\'), '</turn>', '<\/turn>'), '<turn>', '<\turn>'), chr(10), '<\nl>'))
+         + length(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '<turn>', '<\turn>')) as size
+  from t window w as (partition by conv_id order by turn nulls first, role, text)),
+p as (select *, sum(size) over (partition by conv_id order by i) as upto from o)
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by i) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(upto) filter (where role = 'assistant' or i = n)::bigint as formatted_chars
+from p group by conv_id
+"""
+
+SQL["op9_quality_rules"] = rf"""
+with d as (
+  select row_number() over (order by doc_id) as uid, doc_id, source as host, coalesce(text, '') as text,
+         regexp_extract_all(coalesce(text, ''), '{_WORD}') as w
+  from documents),
+g as (
+  select uid, i, array_to_string(list_slice(w, i, i + 4), ' ') as win
+  from (select uid, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5) t),
+twice as (select uid, i from (select uid, i, count(*) over (partition by uid, win) as c from g) t where c > 1),
+rep as (
+  select uid, count(distinct p) as n from (select uid, unnest(range(i, i + 5)) as p from twice) t group by uid),
+l as (
+  select uid, host, line from (select uid, host, unnest(string_split(text, chr(10))) as line from d) t
+  where regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup as (select uid, count(*) - count(distinct line) as n from l group by uid),
+norm as (
+  select uid, host, trim(regexp_replace({_LOWER.format('line')}, '{_WHITE}', ' ', 'g'), ' ') as line from l),
+h as (select uid, host, substr(md5(line), 1, 15) as h, len(string_split(line, ' ')) as n from norm),
+low as (
+  select uid, min(h) filter (where r = 1) as m1, min(h) filter (where r = 2) as m2
+  from (select uid, h, row_number() over (partition by uid order by h) as r from (select distinct uid, h from h) x) y
+  group by uid),
+seen as (
+  select distinct host, h, case when h <> m1 then m1 else coalesce(m2, m1) end as context
+  from h join low using (uid)),
+hosts as (select host, count(distinct uid) as n from l group by host),
+often as (
+  select s.host, s.h from seen s join hosts t on t.host is not distinct from s.host
+  group by s.host, s.h, t.n having count(*) > greatest(20.0, 0.02 * t.n)),
+gone as (
+  select uid, sum(n) as n from h join often o on o.host is not distinct from h.host and o.h = h.h group by uid),
+f as (
+  select d.doc_id, len(w)::bigint as n_words,
+         length(regexp_replace(text, '{_WHITE}', '', 'g'))::bigint as word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+         coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words,
+         coalesce(gone.n, 0)::bigint as removed_words
+  from d left join dup using (uid) left join rep using (uid) left join gone using (uid)),
+r as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from f)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not (removed_words > 0 and n_words - removed_words < 0.25 * n_words) as kept, removed_words
+from r
+"""
+
+SQL["op10_line_dedup"] = r"""
+with d as (select row_number() over (order by doc_id) as uid, doc_id, string_split(text, chr(10)) as lines from documents),
+l as (select uid, doc_id, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as i, len(lines) as n from d),
+h as (select *, md5(line) as h from l),
+e as (
+  select *, substr(md5(coalesce(lag(h) over (partition by uid order by i), '') || h), 1, 1) < '4' or i = n as last
+  from h),
+k as (
+  select *, coalesce(sum(last::int) over (partition by uid order by i rows between unbounded preceding and 1 preceding), 0) as idx
+  from e),
+c as (
+  select uid, doc_id, idx, count(*) as len, string_agg(line, chr(10) order by i) as chunk from k group by uid, doc_id, idx),
+r as (
+  select *, case when len >= 2 then row_number() over (partition by len >= 2, chunk order by doc_id nulls first, uid, idx)
+            else 1 end as seen from c)
+select d.doc_id, coalesce(len(any_value(d.lines)), 0)::bigint as n_lines, count(idx)::bigint as n_chunks,
+       count(*) filter (where seen > 1)::bigint as removed_chunks,
+       coalesce(sum(r.len) filter (where seen > 1), 0)::bigint as removed_lines,
+       sha256(coalesce(string_agg(chunk, chr(10) order by idx) filter (where seen = 1), '')) as clean_sha256
+from d left join r on r.uid = d.uid group by d.uid, d.doc_id
+"""
