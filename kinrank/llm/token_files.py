@@ -26,6 +26,7 @@ empty table writes no file and reads back as no rows.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -41,6 +42,7 @@ from kinrank.plans.context import partition_count
 
 FRAME_IDS = 1 << 19
 LEVEL = 3
+PORTION_CHARS = 2_000_000
 # Fixed values of the public zstandard seekable format.
 SKIPPABLE_SEEK = 0x184D2A5E
 SKIPPABLE_DOCS = 0x184D2A5D
@@ -52,43 +54,60 @@ _MANIFEST = "file string, part int, docs bigint, ids bigint"
 _READ = "doc_id bigint, part int, position bigint, before bigint, n_tokens bigint, ids_crc32 bigint"
 
 
+_TWO_SPACES = re.compile(r"\s\s")
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     A space between two other non-space characters always starts a new piece
     of the tokenizer's own splitting, so a text without runs of white space
     is the sequence of its pieces, and each different piece is encoded once
-    per worker.  Other texts are encoded whole.
+    per worker: new pieces of a batch go through the tokenizer together, one
+    a line (a line break before a space is always a token of its own).  Texts
+    with runs of white space are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[str, bytes] = {}
         self._limit = limit
+        self._line = self._ids(["\n"])[0]
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def __call__(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if any(x == "" or x[0].isspace() or x[-1].isspace() for x in rest) or first[-1:].isspace():
-            return self._whole(text)
-        pieces = [first, *[" " + x for x in rest]]
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember the ids of pieces, each with the space before it."""
         known = self._known
-        fresh = {x for x in pieces if x not in known}
+        if len(known) + len(pieces) > self._limit:
+            known.clear()
+        plain = [x for x in pieces if x.split() == [x]]
+        ids = np.frombuffer(self._ids(["\n".join([" " + x for x in plain])])[0], "<u4")
+        ends = np.flatnonzero(ids == np.frombuffer(self._line, "<u4")[0])
+        if len(plain) and len(ends) == len(plain) - 1:
+            starts = [0, *(ends + 1).tolist()]
+            for piece, start, end in zip(plain, starts, [*ends.tolist(), len(ids)]):
+                known[piece] = ids[start:end].tobytes()
+            rest = [x for x in pieces if x not in known]
+        else:
+            rest = list(pieces)
+        for piece, coded in zip(rest, self._ids([" " + x for x in rest])):
+            known[piece] = coded
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [None if _TWO_SPACES.search(text) else text.split(" ") for text in texts]
+        fresh = set().union(*[x[1:] for x in split if x]) - self._known.keys()
         if fresh:
-            if len(known) + len(fresh) > self._limit:
-                known.clear()
-                fresh = set(pieces)
-            for piece, coded in zip(fresh, self._tokenizer.encode_batch_fast(list(fresh), add_special_tokens=False)):
-                known[piece] = np.array(coded.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, pieces))
-
-    @property
-    def vocabulary(self) -> int:
-        return self._tokenizer.get_vocab_size()
+            if len(self._known) + len(fresh) > self._limit:
+                fresh = set().union(*[x[1:] for x in split if x])
+            self._learn(fresh)
+        firsts = iter(self._ids([text if x is None else x[0] for text, x in zip(texts, split)]))
+        ids_of = self._known.__getitem__
+        return [next(firsts) if x is None else next(firsts) + b"".join(map(ids_of, x[1:])) for x in split]
 
 
 def _filesystem(folder: str):
@@ -196,6 +215,21 @@ def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """(doc_ids, texts), about ``PORTION_CHARS`` characters at a time."""
+    for batch in batches:
+        doc_ids, texts, size = [], [], 0
+        for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+            doc_ids.append(doc_id.as_py())
+            texts.append(text.as_py())
+            size += len(texts[-1])
+            if size >= PORTION_CHARS:
+                yield doc_ids, texts
+                doc_ids, texts, size = [], [], 0
+        if texts:
+            yield doc_ids, texts
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, dtype: str | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into files under ``folder``, which all
     executors reach; returns the manifest (file, part, docs, ids), written
@@ -207,19 +241,21 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, dtype:
     dealt = slim.withColumn("h", F.xxhash64("text")).repartitionByRange(
         partition_count(spark), "doc_id", "h").sortWithinPartitions(*order)
 
+    end = np.array([end_id], "<u4").tobytes()
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        target, writer, sink, n_docs, n_ids = _filesystem(folder), None, None, 0, 0
-        system, root = target
+        system, root = _filesystem(folder)
+        writer, sink, n_docs, n_ids = None, None, 0, 0
         name = f"part-{part:05d}.tok"
         draft = f"{root}/.{name}-{uuid.uuid4().hex}"
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                if writer is None:
-                    coder = _encoder(tokenizer)
-                    sink = system.open_output_stream(draft)
-                    writer = FrameWriter(sink, width)
-                ids = np.append(np.frombuffer(coder(text), "<u4"), np.uint32(end_id))
+        for doc_ids, texts in _portions(batches):
+            if writer is None:
+                coder = _encoder(tokenizer)
+                sink = system.open_output_stream(draft)
+                writer = FrameWriter(sink, width)
+            for doc_id, coded in zip(doc_ids, coder(texts)):
+                ids = np.frombuffer(coded + end, "<u4")
                 writer.add(doc_id, ids)
                 n_docs, n_ids = n_docs + 1, n_ids + len(ids)
         if writer is not None:
