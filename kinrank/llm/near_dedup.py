@@ -10,14 +10,16 @@ and about t ln t hashes, with concentration as for t independent min-hashes.
 2. The sketch is cut into ``bands`` of ``t / bands`` coordinates; classes that
    share a band are candidates.  At similarity 0.8, 32 bands of 4 miss a pair
    with probability (1 - 0.8^4)^32 = 5e-8.
-3. Star: every class of a bucket is checked against the bucket's smallest
-   class on full shingle sets; components of the confirmed links follow.
+3. Star: the centre of a bucket is the class that meets the most others over
+   all bands (for edited copies, usually their original).  Every class of the
+   bucket is checked against it on full shingle sets; components of the
+   confirmed links follow.
 4. Rest: buckets whose other classes still lie in several components are cut
-   into blocks of about ``BLOCK`` classes; each pair of blocks is one task
-   group that compares sketches and passes on only pairs of different
-   components whose sketches agree in ``PRUNE`` of the coordinates (0.6: 5.6
-   standard deviations under 0.8) and first meet in this band.  They are
-   checked on full sets too.  No bucket is collected whole, none is capped.
+   into blocks of about ``BLOCK`` shingles.  Each pair of blocks is one task
+   group: pairs of different components that first meet in this band and
+   whose sketches agree in ``PRUNE`` of the coordinates (0.6: 5.6 standard
+   deviations under 0.8) are checked there on full sets, and only links leave
+   it.  No bucket is collected whole, none is capped.
 5. Components of all confirmed links; the smallest doc_id names each one.
 
 Defined results: a null or empty text, or one without words, has no shingles
@@ -44,7 +46,7 @@ from kinrank.plans.context import discard, materialize
 BINS = 128
 BANDS = 32
 SIMILAR_PCT = 80
-BLOCK = 2048
+BLOCK = 1_000_000
 PRUNE = 0.6
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -129,48 +131,74 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, words: int, pct: int) -> DataF
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint")
 
 
-def _blocked_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components inside the blocks of a bucket.
-    ``members``: (band, h, uid, root)."""
-    sizes = members.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+def _with_sets(members: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(uid, sketch, shingles as bytes, n_shingles) of the classes in ``members``."""
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            sets = [shingle_set(hasher(text), words).tobytes() for text in batch.column("text").to_pylist()]
+            yield batch.drop_columns(["text"]).append_column("shingles", pa.array(sets, pa.binary()))
+
+    wanted = rows.join(members.select("uid").distinct(), "uid", "left_semi")
+    return wanted.select("uid", "n_shingles", "sketch", "text").mapInArrow(
+        full, "uid bigint, n_shingles bigint, sketch array<int>, shingles binary")
+
+
+def _blocked_links(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Confirmed links (a, b) between different components inside the blocks
+    of a bucket.  ``members``: (band, h, uid, root)."""
+    known = members.join(sets.select("uid", "n_shingles"), "uid")
+    sizes = known.groupBy("band", "h").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("s"))
     own = F.pmod(F.xxhash64("uid"), F.col("s")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("s") - 1))
     dealt = (
-        members.join(sizes.select("band", "h", blocks.alias("s")), ["band", "h"])
-        .join(sketches.select("uid", "sketch"), "uid")
-        .select("band", "h", "uid", "root", "sketch", own.alias("own"), other.alias("other"))
+        members.join(sizes, ["band", "h"])
+        .select("band", "h", "uid", "root", own.alias("own"), other.alias("other"))
         .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+        .join(sets, "uid").select("band", "h", "i", "j", "own", "uid", "root", "sketch", "shingles")
     )
 
     def compare(group: pa.Table) -> pa.Table:
         uid, root, own = (group.column(c).to_numpy() for c in ("uid", "root", "own"))
         band, i, j = (group.column(c)[0].as_py() for c in ("band", "i", "j"))
-        marks = np.array(group.column("sketch").to_pylist(), np.int32)
-        out_a, out_b = [], []
+        marks = group.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, BINS)
+        sets_ = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("shingles")]
+        ends = np.cumsum([len(x) for x in sets_])
+        values, dense = np.unique(np.concatenate(sets_), return_inverse=True)
+        ids = np.split(dense, ends[:-1])
+        held, links = np.zeros(len(values), bool), []
         for x in np.flatnonzero(own == i):
             ys = np.flatnonzero((own == j) & (root != root[x]) & ((uid > uid[x]) if i == j else True))
             same = marks[ys] == marks[x]
             first = same.reshape(len(ys), BANDS, BINS // BANDS).all(2).argmax(1)
-            ys = ys[(same.mean(1) >= PRUNE) & (first == band)]
-            out_a += [uid[x]] * len(ys)
-            out_b += uid[ys].tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+            held[ids[x]] = True
+            for y in ys[(same.mean(1) >= PRUNE) & (first == band)]:
+                common = int(np.count_nonzero(held[ids[y]]))
+                if 100 * common >= pct * (len(ids[x]) + len(ids[y]) - common):
+                    links.append((uid[x], uid[y]))
+            held[ids[x]] = False
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return dealt.groupBy("band", "h", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    return dealt.groupBy("band", "h", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def _linked(rows: DataFrame, classes: DataFrame, words: int, pct: int) -> DataFrame:
     """(node, root) of classes that have confirmed links."""
     sketches = rows.join(classes.select(F.col("cid").alias("uid")), "uid", "left_semi").select("uid", "sketch")
     buckets = materialize(_buckets(sketches))
-    shared = materialize(
-        buckets.groupBy("band", "h").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").select("band", "h", "a")
-    )
-    crowded = materialize(buckets.join(shared, ["band", "h"]).filter("uid <> a"))
+    sizes = buckets.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = materialize(buckets.join(sizes, ["band", "h"]))
     discard(buckets)
-    star = crowded.select("a", F.col("uid").alias("b")).distinct()
+    degrees = shared.groupBy("uid").agg(F.sum("n").alias("degree"))
+    ranked = shared.select("band", "h", "uid").join(degrees, "uid")
+    centres = ranked.groupBy("band", "h").agg(F.max(F.struct("degree", "uid")).alias("most"))
+    crowded = materialize(
+        shared.select("band", "h", "uid").join(centres.select("band", "h", F.col("most.uid").alias("a")), ["band", "h"])
+        .filter("uid <> a")
+    )
+    discard(shared)
+    star = crowded.select(F.least("a", "uid").alias("a"), F.greatest("a", "uid").alias("b")).distinct()
     links = materialize(_confirmed(star, rows, words, pct))
     first = materialize(components(links))
     members = crowded.join(first, crowded["uid"] == first["node"], "left").select(
@@ -178,8 +206,9 @@ def _linked(rows: DataFrame, classes: DataFrame, words: int, pct: int) -> DataFr
     )
     open_ = members.groupBy("band", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     rest = materialize(members.join(open_.select("band", "h"), ["band", "h"]))
-    found = materialize(_confirmed(_blocked_pairs(rest, sketches), rows, words, pct))
-    discard(shared, crowded, rest)
+    sets = materialize(_with_sets(rest, rows, words))
+    found = materialize(_blocked_links(rest, sets, pct))
+    discard(crowded, rest, sets)
     if found.isEmpty():
         return first
     joined = materialize(components(links.unionByName(found)))

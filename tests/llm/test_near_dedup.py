@@ -41,7 +41,7 @@ def test_matches_all_pairs(spark, docs_of, monkeypatch):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
             rows.append((len(rows), " ".join(copy)))
     rows += [(900 + i, t) for i, (_, t) in enumerate(AWKWARD)]
-    monkeypatch.setattr(near_dedup, "BLOCK", 2)  # several blocks per bucket
+    monkeypatch.setattr(near_dedup, "BLOCK", 100)  # several blocks per bucket
     got = near_dedup.assign(docs_of(rows, clash=True), words=4).select("doc_id", "n_shingles", "component_id")
     key = lambda r: (r[0], r[1], str(r[2]))
     assert sorted(map(tuple, got.collect()), key=key) == sorted(brute(rows, 4), key=key)
