@@ -12,7 +12,6 @@ Layout:
   operators/  cleaning and splitting, baseline, neighbourhood, ALS
   functions/  column expressions, ranking helpers, metrics
   plans/      experiments, the registered query catalogue and its oracle SQL
-  streaming/  (empty: the modelled workload has no streaming part)
 """
 
 __version__ = "0.1.0"

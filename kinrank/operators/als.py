@@ -24,6 +24,7 @@ from kinrank import ITEM, RATING, USER
 from kinrank.functions.columns import split_hash, tie_key
 from kinrank.functions.ranking import global_row_number, group_row_number, top_k_per_group
 from kinrank.operators.prepare import drop_time
+from kinrank.plans.context import partition_count
 
 INT_MAX = 2**31 - 1
 INT_MIN = -(2**31)
@@ -60,19 +61,21 @@ def encode(df: DataFrame, codec: IdCodec) -> DataFrame:
     out = df
     for key, mapping in ((USER, codec.users), (ITEM, codec.items)):
         if mapping is None:
-            out = out.withColumn(f"_{key}_int", F.col(key).cast("int"))
+            out = out.withColumn(f"_{key}_int", F.col(key).try_cast("int"))
         else:
-            # Unknown ids get a null index and are dropped as cold starts.
+            # Unknown ids get a null code; ``predict`` drops them as cold starts.
             out = out.join(mapping, key, "left")
     return out
 
 
-def estimator(rank: int = 10, max_iter: int = 5, reg_param: float = 0.1, seed: int = 12345) -> ALS:
-    """AL1: explicit-feedback ALS dropping cold-start rows."""
+def estimator(rank: int = 10, max_iter: int = 5, reg_param: float = 0.1, seed: int = 12345,
+              blocks: int = 10) -> ALS:
+    """AL1: explicit-feedback ALS dropping cold-start rows, in ``blocks`` user and item blocks."""
     return ALS(
         userCol=f"_{USER}_int", itemCol=f"_{ITEM}_int", ratingCol=RATING,
         coldStartStrategy="drop",
         rank=rank, maxIter=max_iter, regParam=reg_param, seed=seed,
+        numUserBlocks=blocks, numItemBlocks=blocks,
     )
 
 
@@ -86,7 +89,7 @@ def fit(train: DataFrame, rank: int = 10, max_iter: int = 5, reg_param: float =
         seed: int = 12345) -> AlsFit:
     train = drop_time(train)
     codec = id_codec(train)
-    model = estimator(rank, max_iter, reg_param, seed).fit(encode(train, codec))
+    model = estimator(rank, max_iter, reg_param, seed, partition_count(train.sparkSession)).fit(encode(train, codec))
     return AlsFit(model, codec)
 
 
@@ -102,7 +105,7 @@ def grid_search(
     """
     train = drop_time(train)
     codec = id_codec(train)
-    als = estimator(seed=seed)
+    als = estimator(seed=seed, blocks=partition_count(train.sparkSession))
     grid = (
         ParamGridBuilder()
         .addGrid(als.rank, list(ranks))
@@ -132,7 +135,8 @@ def grid_search(
 
 def predict(fitted: AlsFit, frame: DataFrame) -> DataFrame:
     """AL4: ``frame`` + ``predicted_rating``; cold-start rows dropped."""
-    scored = fitted.model.transform(encode(drop_time(frame), fitted.codec))
+    coded = encode(drop_time(frame), fitted.codec).dropna(subset=[f"_{USER}_int", f"_{ITEM}_int"])
+    scored = fitted.model.transform(coded)
     return scored.drop(f"_{USER}_int", f"_{ITEM}_int").withColumnRenamed("prediction", "predicted_rating")
 
 

@@ -77,7 +77,7 @@ def user_similarity(centered: DataFrame, salt_buckets: int | str = "auto",
     the item's products are computed by s^2 tasks of (c/s)^2 each.  Items
     below ``hot_raters`` keep s = 1 (no replication).  ``salt_buckets``:
     "auto" (per item, as above), an int (same s for every item; 1 = off).
-    AQE's skew-join split remains on as a second line of defence.
+    The joins shuffle as the planner sees fit, so AQE can still split what is skewed.
     """
     norms = centered.groupBy(USER).agg(
         F.sqrt(F.sum(F.col("rating_norm") * F.col("rating_norm"))).alias("_norm")
@@ -164,21 +164,20 @@ def item_index(train: DataFrame) -> DataFrame:
 
 
 def gap_user_defaults(train: DataFrame) -> DataFrame:
-    """NB7: user ids in 1..max(user) with no rating, and their default.
+    """NB7: ranges of user ids in 1..max(user) with no rating, and their default.
 
     A dense user x item matrix needs every id in 1..max; an absent user
-    was padded with one 0.5 rating, so its prediction is 0.5 everywhere.
-    Here that becomes a table of default predictions.  The id range is a
-    distributed ``range``, anti-joined with the known users.
+    was padded with one 0.5 rating, so its prediction is 0.5 everywhere
+    (``predict`` answers that).  Here the gaps between neighbouring ids are
+    listed, (first_id, last_id, default_rating), never the ids themselves.
     """
-    spark: SparkSession = train.sparkSession
-    top_id = train.agg(F.max(USER).alias("m")).first()["m"]
-    if top_id is None or top_id < 1:
-        return spark.range(0).select(F.col("id").alias(USER), F.lit(GAP_USER_RATING).alias("default_rating"))
-    ids = spark.range(1, int(top_id) + 1).select(F.col("id").alias(USER))
-    return ids.join(train.select(USER).distinct(), USER, "left_anti").withColumn(
-        "default_rating", F.lit(GAP_USER_RATING)
-    )
+    ids = train.select(USER).filter(F.col(USER) >= 1).distinct()
+    numbered = global_row_number(ids, [F.col(USER)], name="_rn")
+    before = numbered.select((F.col("_rn") + 1).alias("_rn"), F.col(USER).alias("_before"))
+    first = F.coalesce("_before", F.lit(0)) + 1
+    gaps = numbered.join(before, "_rn", "left").filter(first < F.col(USER))
+    return gaps.select(
+        first.alias("first_id"), (F.col(USER) - 1).alias("last_id"), F.lit(GAP_USER_RATING).alias("default_rating"))
 
 
 def dedup_ratings(ratings: DataFrame) -> DataFrame:
@@ -187,7 +186,8 @@ def dedup_ratings(ratings: DataFrame) -> DataFrame:
 
 
 def _neighbor_ratings(model: NeighborModel) -> DataFrame:
-    return model.centered.select(F.col(USER).alias("_v"), ITEM, F.col("rating_norm").alias("_x"))
+    """Centred ratings of the prediction side, duplicates of a (user, item) averaged."""
+    return model.centered.groupBy(F.col(USER).alias("_v"), ITEM).agg(F.avg("rating_norm").alias("_x"))
 
 
 def _active(model: NeighborModel, n: int, keep_rank: bool = False) -> DataFrame:
@@ -202,6 +202,8 @@ def predict(model: NeighborModel, pairs: DataFrame, n: int) -> DataFrame:
 
     Only the asked pairs are scored: pairs x active neighbours, joined on
     (neighbour, item) to the neighbours' centred ratings, summed per pair.
+    A user without training ratings, but with an id up to the largest one,
+    counts as padded with one low rating: ``GAP_USER_RATING`` for known items.
     """
     keys = pairs.select(USER, ITEM).distinct()
     asked = keys.join(_active(model, n), USER)
@@ -217,7 +219,10 @@ def predict(model: NeighborModel, pairs: DataFrame, n: int) -> DataFrame:
         .join(contrib, [USER, ITEM], "left")
         .join(known, ITEM, "left")
     )
-    pred = F.when(F.col("_known"), F.col("user_mean") + F.coalesce(F.col("_s"), F.lit(0.0)))
+    top_id = model.means.agg(F.max(USER)).scalar()
+    padded = F.when(F.col(USER).between(F.lit(1), top_id), F.lit(GAP_USER_RATING))
+    own = F.col("user_mean") + F.coalesce(F.col("_s"), F.lit(0.0))
+    pred = F.when(F.col("_known"), F.coalesce(own, padded))
     return out.withColumn("prediction", pred).drop("user_mean", "_s", "_known")
 
 

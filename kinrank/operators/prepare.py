@@ -15,19 +15,13 @@ from kinrank.functions.columns import in_train
 from kinrank.functions.ranking import global_row_number
 from kinrank.sources.ratings import NO_GENRE
 
-# Up to this many rows the cap is a plain ``orderBy().limit()`` (planned as
-# TakeOrderedAndProject: each task keeps n rows, one task merges them).
-# Beyond it the n rows would not fit one task, so the cap becomes a filter
-# on an exact distributed row number.
-TOP_K_CAP_MAX = 1_000_000
-
 
 def cap_sample(ratings: DataFrame, n: int | None, order=(TS, USER, ITEM)) -> DataFrame:
-    """PR1: the first ``n`` rows in a fixed order (repeatable), or all if None."""
+    """PR1: the first ``n`` rows in a fixed order (repeatable), or all if None.
+
+    A filter on an exact distributed row number: no task merges the n rows."""
     if n is None:
         return ratings
-    if n <= TOP_K_CAP_MAX:
-        return ratings.orderBy(*order).limit(n)
     return global_row_number(ratings, list(order), name="_rn").filter(F.col("_rn") <= n).drop("_rn")
 
 

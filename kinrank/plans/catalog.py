@@ -71,14 +71,15 @@ def sample_cap(spark, sf_dir):
 
 @query
 def drop_singleton_users(spark, sf_dir):
-    capped = prepare.cap_sample(data.ratings(spark, sf_dir), third_cap(spark, sf_dir))
-    return capped.join(prepare.singleton_keys(capped, USER), USER, "left_anti")
+    """PR2 over every line item, orders as users."""
+    rows = src.standin_line_ratings(spark, sf_dir)
+    return rows.join(prepare.singleton_keys(rows, USER), USER, "left_anti")
 
 
 @query
 def drop_singleton_items(spark, sf_dir):
-    capped = prepare.cap_sample(data.ratings(spark, sf_dir), third_cap(spark, sf_dir))
-    return prepare.drop_singletons(capped)
+    """PR2 + PR3 over every line item, orders as items."""
+    return prepare.drop_singletons(src.standin_line_ratings(spark, sf_dir, "l_partkey", "l_orderkey"))
 
 
 @query
@@ -219,7 +220,7 @@ def item_index(spark, sf_dir):
 @query
 def gap_user_defaults(spark, sf_dir):
     train, _ = data.train_test(spark, sf_dir)
-    return neighbors.gap_user_defaults(train).select(USER, r6("default_rating"))
+    return neighbors.gap_user_defaults(train).select("first_id", "last_id", r6("default_rating"))
 
 
 @query
@@ -244,7 +245,7 @@ def neighbor_refit(spark, sf_dir):
 @query
 def neighbor_predict_pairs(spark, sf_dir):
     """Single lookups for every cleaned (user, item): nulls for items the
-    training catalogue lacks and for users without training ratings."""
+    training catalogue lacks, 0.5 for absent users in the id range."""
     clean = prepare.clean_ratings(data.ratings(spark, sf_dir), data.items(spark, sf_dir))
     pred = neighbors.predict(nb_model(spark, sf_dir), clean.select(USER, ITEM), N_NEIGHBORS)
     return pred.select(USER, ITEM, r6("prediction"))

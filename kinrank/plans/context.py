@@ -54,10 +54,15 @@ def discard(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def drop_tables(spark: SparkSession) -> int:
-    """Remove every table this session materialised; returns their number.
-    Frames that still read them fail afterwards, so call it at the end."""
-    paths = list(_tables.get(spark.sparkContext.applicationId, ()))
+def tables(spark: SparkSession) -> frozenset[str]:
+    """The paths of the tables this session has materialised and not removed."""
+    return frozenset(_tables.get(spark.sparkContext.applicationId, ()))
+
+
+def drop_tables(spark: SparkSession, only: frozenset[str] | None = None) -> int:
+    """Remove the tables this session materialised (those in ``only``); returns
+    their number.  Frames that still read them fail afterwards."""
+    paths = tables(spark) if only is None else tables(spark) & only
     for path in paths:
         _delete(spark, path)
     return len(paths)

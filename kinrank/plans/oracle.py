@@ -91,16 +91,21 @@ SQL: dict[str, str] = {}
 SQL["ratings_scan"] = with_(RATINGS) + " SELECT user_id, item_id, rating, ts FROM ratings"
 SQL["items_scan"] = with_(ITEMS) + " SELECT item_id, title, genres FROM items"
 SQL["sample_cap"] = with_(RATINGS, CAP_THIRD.format(thirds=1)) + " SELECT * FROM capped"
+LINE_RATINGS = """
+lines AS (
+  SELECT {user} AS user_id, {item} AS item_id,
+         CAST(1 + CAST(l_quantity AS BIGINT) % 10 AS DOUBLE) / 2 AS rating, l_shipdate AS ts FROM lineitem)"""
+
 SQL["drop_singleton_users"] = (
-    with_(RATINGS, CAP_THIRD.format(thirds=1))
-    + """ SELECT * FROM capped c WHERE user_id NOT IN
-          (SELECT user_id FROM capped GROUP BY user_id HAVING count(*) = 1)"""
+    with_(LINE_RATINGS.format(user="l_orderkey", item="l_partkey"))
+    + """ SELECT * FROM lines WHERE user_id NOT IN
+          (SELECT user_id FROM lines GROUP BY user_id HAVING count(*) = 1)"""
 )
 SQL["drop_singleton_items"] = (
-    with_(RATINGS, CAP_THIRD.format(thirds=1))
-    + """ SELECT * FROM capped c
-          WHERE user_id NOT IN (SELECT user_id FROM capped GROUP BY user_id HAVING count(*) = 1)
-            AND item_id NOT IN (SELECT item_id FROM capped GROUP BY item_id HAVING count(*) = 1)"""
+    with_(LINE_RATINGS.format(user="l_partkey", item="l_orderkey"))
+    + """ SELECT * FROM lines
+          WHERE user_id NOT IN (SELECT user_id FROM lines GROUP BY user_id HAVING count(*) = 1)
+            AND item_id NOT IN (SELECT item_id FROM lines GROUP BY item_id HAVING count(*) = 1)"""
 )
 SQL["items_with_genre"] = (
     with_(ITEMS) + " SELECT item_id, title, genres FROM items WHERE genres <> '(no genres listed)'"
@@ -185,7 +190,8 @@ def nb_pred(frame: str, n: int, name: str = "pred") -> str:
              JOIN top a ON a.i = p.user_id AND a.row_number <= {n}
              JOIN centered c ON c.user_id = a.j AND c.item_id = p.item_id
              GROUP BY p.user_id, p.item_id),
-{name} AS (SELECT p.*, CASE WHEN k.item_id IS NOT NULL THEN m.user_mean + coalesce(s.s, 0) END AS prediction
+{name} AS (SELECT p.*, CASE WHEN k.item_id IS NOT NULL THEN coalesce(m.user_mean + coalesce(s.s, 0),
+                  CASE WHEN p.user_id BETWEEN 1 AND (SELECT max(user_id) FROM train) THEN 0.5 END) END AS prediction
            FROM {frame} p LEFT JOIN means m ON p.user_id = m.user_id
            LEFT JOIN {name}_c s ON s.user_id = p.user_id AND s.item_id = p.item_id
            LEFT JOIN catalog k ON k.item_id = p.item_id)"""
@@ -208,9 +214,10 @@ SQL["item_index"] = (
 )
 SQL["gap_user_defaults"] = (
     split_ctes()
-    + """ SELECT CAST(g.id AS BIGINT) AS user_id, 0.5::DOUBLE AS default_rating
-          FROM range(1, (SELECT max(user_id) FROM train) + 1) g(id)
-          WHERE g.id NOT IN (SELECT user_id FROM train)"""
+    + """, known AS (SELECT DISTINCT user_id FROM train WHERE user_id >= 1),
+          gaps AS (SELECT user_id, coalesce(lag(user_id) OVER (ORDER BY user_id), 0) AS before FROM known)
+          SELECT before + 1 AS first_id, user_id - 1 AS last_id, 0.5::DOUBLE AS default_rating
+          FROM gaps WHERE before + 1 < user_id"""
 )
 SQL["dedup_ratings"] = f"""
 SELECT user_id, item_id, {r6('avg(rating)', 'rating')} FROM (
@@ -308,7 +315,8 @@ sweep_c AS (SELECT g.user_id, g.item_id, g.n, sum(a.value * c.x) AS s
             FROM grid g JOIN top a ON a.i = g.user_id AND a.row_number <= g.n
             JOIN centered c ON c.user_id = a.j AND c.item_id = g.item_id
             GROUP BY g.user_id, g.item_id, g.n),
-sweep_p AS (SELECT g.*, CASE WHEN k.item_id IS NOT NULL THEN m.user_mean + coalesce(s.s, 0) END AS prediction
+sweep_p AS (SELECT g.*, CASE WHEN k.item_id IS NOT NULL THEN coalesce(m.user_mean + coalesce(s.s, 0),
+                  CASE WHEN p.user_id BETWEEN 1 AND (SELECT max(user_id) FROM train) THEN 0.5 END) END AS prediction
             FROM grid g LEFT JOIN means m ON m.user_id = g.user_id
             LEFT JOIN sweep_c s ON s.user_id = g.user_id AND s.item_id = g.item_id AND s.n = g.n
             LEFT JOIN catalog k ON k.item_id = g.item_id)"""

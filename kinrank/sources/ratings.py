@@ -36,43 +36,32 @@ ITEMS_SCHEMA = T.StructType(
 )
 
 # Fixed values of the MovieLens CSV layout.
-_CSV_RATINGS = "userId INT, movieId INT, rating DOUBLE, timestamp LONG"
-_CSV_MOVIES = "movieId INT, title STRING, genres STRING"
+_CSV_RATINGS = "userId BIGINT, movieId BIGINT, rating DOUBLE, timestamp LONG"
+_CSV_MOVIES = "movieId BIGINT, title STRING, genres STRING"
 NO_GENRE = "(no genres listed)"
 
 
 def read_ratings_csv(spark: SparkSession, path: str) -> DataFrame:
-    """IO1: ratings CSV with a header, fixed schema, epoch-second timestamps."""
-    raw = spark.read.schema(_CSV_RATINGS).option("header", True).csv(path)
+    """IO1: ratings CSV with a header, fixed schema, epoch-second timestamps.
+    A malformed row fails the read (FAILFAST) rather than turning into nulls."""
+    raw = _csv(spark, _CSV_RATINGS, path)
     return raw.select(
-        F.col("userId").cast("bigint").alias(USER),
-        F.col("movieId").cast("bigint").alias(ITEM),
-        F.col("rating").cast("double").alias(RATING),
+        F.col("userId").alias(USER), F.col("movieId").alias(ITEM), F.col("rating").alias(RATING),
         F.timestamp_seconds("timestamp").alias(TS),
     )
 
 
 def read_items_csv(spark: SparkSession, path: str) -> DataFrame:
-    """IO2: movies CSV with a header and a fixed schema."""
-    raw = spark.read.schema(_CSV_MOVIES).option("header", True).csv(path)
-    return raw.select(F.col("movieId").cast("bigint").alias(ITEM), "title", "genres")
+    """IO2: movies CSV with a header and a fixed schema; malformed rows fail the read."""
+    return _csv(spark, _CSV_MOVIES, path).select(F.col("movieId").alias(ITEM), "title", "genres")
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _csv(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
-def _parallel(df: DataFrame) -> DataFrame:
-    """Spread a scan that arrives in fewer partitions than the cluster has
-    cores (e.g. one large row group), so the join and partial aggregate
-    that follow are not run by one task.  A scan of many files already has
-    enough partitions and is left alone (no extra shuffle)."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()  # plans the scan; runs no job
-    except Exception:  # noqa: BLE001 -- e.g. a client session without RDD access
-        return df
-    return df.repartition(cores) if splits < cores else df
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def standin_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,10 +74,10 @@ def standin_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     the line items is pre-reduced before the shuffle instead of being sorted
     in one window task.
     """
-    li = _parallel(_table(spark, sf_dir, "lineitem").select(
+    li = _table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_quantity", "l_extendedprice", "l_shipdate",
-    ))
+    )
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_size")
 
@@ -141,7 +130,7 @@ def standin_rating_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     Same rating rule as ``standin_ratings``; input for the duplicate-
     averaging step of the neighbourhood model.
     """
-    li = _parallel(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate"))
+    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_size")
     j = li.join(orders, li.l_orderkey == orders.o_orderkey).join(part, li.l_partkey == part.p_partkey)
@@ -154,3 +143,14 @@ def standin_rating_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (score.cast("double") / 2).alias(RATING),
         F.col("l_shipdate").alias(TS),
     )
+
+
+def standin_line_ratings(spark: SparkSession, sf_dir: str, user: str = "l_orderkey", item: str = "l_partkey") -> DataFrame:
+    """Every line item as a rating with orders and parts in the two roles:
+    a long-tailed table, with users (or items) that occur once."""
+    li = _table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col(user).cast("bigint").alias(USER), F.col(item).cast("bigint").alias(ITEM),
+        ((1 + F.col("l_quantity").cast("bigint") % 10).cast("double") / 2).alias(RATING),
+        F.col("l_shipdate").alias(TS),
+    )

@@ -48,3 +48,9 @@ def test_rankings_and_uncut_precision(spark):
     assert r[(1, 2)] == (1, 2) and r[(1, 1)] == (3, 1) and r[(2, 4)] == (1, 1)
     # degenerate: mean(min(k, n_u) / k) = (2/2 + 1/2) / 2
     assert als.precision_uncut(scored, 2).first()["precision"] == pytest.approx(0.75)
+
+
+def test_unknown_ids_are_dropped(spark, tiny):
+    fitted = als.fit(tiny, rank=2, max_iter=2)
+    asked = spark.createDataFrame([(1, 10, 5.0), (99, 10, 5.0), (2**40, 10, 5.0)], tiny.schema)
+    assert [r.user_id for r in als.predict(fitted, asked).collect()] == [1]

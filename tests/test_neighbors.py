@@ -102,8 +102,26 @@ def test_upper_triangle_and_symmetric(tiny):
 
 def test_gap_user_defaults(spark):
     train = spark.createDataFrame([(1, 1, 3.0), (4, 1, 2.0)], "user_id bigint, item_id bigint, rating double")
-    got = {r.user_id: r.default_rating for r in neighbors.gap_user_defaults(train).collect()}
-    assert got == {2: 0.5, 3: 0.5}
+    assert [tuple(r) for r in neighbors.gap_user_defaults(train).collect()] == [(2, 3, 0.5)]
+
+
+def test_absent_users_in_the_id_range_get_the_padded_rating(spark):
+    schema = "user_id bigint, item_id bigint, rating double"
+    train = spark.createDataFrame([(1, 1, 3.0), (1, 2, 1.0), (5, 1, 2.0)], schema)
+    model = neighbors.fit(train)
+    asked = spark.createDataFrame([(3, 1), (3, 9), (6, 1), (-1, 1), (5, 2)], "user_id bigint, item_id bigint")
+    got = {(r.user_id, r.item_id): r.prediction for r in neighbors.predict(model, asked, 20).collect()}
+    assert got == {(3, 1): 0.5, (3, 9): None, (6, 1): None, (-1, 1): None, (5, 2): 2.0}
+
+
+def test_duplicate_ratings_are_averaged_for_prediction(spark):
+    schema = "user_id bigint, item_id bigint, rating double"
+    centred = spark.createDataFrame([(2, 1, 0.5), (2, 1, 0.0)], "user_id bigint, item_id bigint, rating_norm double")
+    means = spark.createDataFrame([(1, 4.0), (2, 3.0)], "user_id bigint, user_mean double")
+    top = spark.createDataFrame([(1, 2, 0.5, 1)], "i bigint, j bigint, value double, row_number int")
+    model = neighbors.NeighborModel(means, centred, top, spark.createDataFrame([(1,)], "item_id bigint"))
+    asked = spark.createDataFrame([(1, 1, 5.0)], schema)
+    assert neighbors.predict(model, asked, 1).first().prediction == 4.0 + 0.5 * 0.25
 
 
 def test_auto_salting_splits_hot_items(tiny):

@@ -34,14 +34,24 @@ def test_singletons_counted_before_removal(spark):
     assert got == [(1, 1), (1, 2), (3, 1)]
 
 
-def test_cap_is_ordered_and_large_caps_are_exact(spark, monkeypatch):
+def test_cap_is_ordered_and_no_task_merges_it(spark):
     r = data.ratings(spark, SF)
-    small = prepare.cap_sample(r, 100)
-    monkeypatch.setattr(prepare, "TOP_K_CAP_MAX", 10)
-    big = prepare.cap_sample(r, 100)
+    capped = prepare.cap_sample(r, 100)
+    assert "TakeOrdered" not in capped._jdf.queryExecution().executedPlan().toString()
     key = lambda df: sorted((x.user_id, x.item_id) for x in df.collect())
-    assert key(small) == key(big)
-    assert small.count() == 100
+    assert key(capped) == key(r.orderBy("ts", "user_id", "item_id").limit(100))
+
+
+def test_csv_ids_beyond_32_bits_and_malformed_rows(spark, tmp_path):
+    from kinrank.sources import ratings as src
+
+    good = tmp_path / "good.csv"
+    good.write_text("userId,movieId,rating,timestamp\n3000000000,7,4.5,1\n")
+    assert src.read_ratings_csv(spark, str(good)).first().user_id == 3_000_000_000
+    bad = tmp_path / "bad.csv"
+    bad.write_text("userId,movieId,rating,timestamp\nx,7,4.5,1\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        src.read_ratings_csv(spark, str(bad)).collect()
 
 
 def test_ratings_in_range(spark):
