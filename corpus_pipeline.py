@@ -7,13 +7,15 @@ next stage's documents.  ``run`` applies them to the documents table.
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kinrank.llm import decontaminate, mixing, near_dedup, quality, token_files
-from kinrank.plans.context import shared_dir
+from kinrank.plans.context import drop_tables, shared_dir, tables
 
 #: The vocabulary file, as every worker finds it.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,12 +46,31 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return token_files.encode(docs, f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}", TOKENIZER)
 
 
+_left: dict[str, frozenset[str]] = {}
+
+
+def _tidy(stage: Callable) -> Callable:
+    """A stage's result is written before the next stage begins, so the tables
+    that the stage before left in the shared folder can go."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        drop_tables(spark, _left.pop(app, frozenset()))
+        before = tables(spark)
+        out = stage(spark, docs, sf_dir)
+        _left[app] = tables(spark) - before
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("source_mixing", source_mixing),
-    ("token_output", token_output),
+    ("quality_rules", _tidy(quality_rules)),
+    ("near_duplicates", _tidy(near_duplicates)),
+    ("decontamination", _tidy(decontamination)),
+    ("source_mixing", _tidy(source_mixing)),
+    ("token_output", _tidy(token_output)),
 ]
 
 #: Raking is iterative and tokenizing is no SQL: tested against brute force in tests/llm.

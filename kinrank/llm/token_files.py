@@ -68,7 +68,7 @@ class Encoder:
     with runs of white space are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
