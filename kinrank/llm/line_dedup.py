@@ -7,9 +7,9 @@ its first boundary.  Chunks of two lines or more that occur more than once in
 the corpus keep their first occurrence, in (doc_id, position) order; the other
 occurrences are removed after comparing bytes.
 
-Chunk hashes (128 bits) are counted first, by partial aggregates; only chunks
-with a repeated hash carry their text on.  There, grouping and joining by
-(hash, text) is the byte comparison.  A hot chunk costs one row per task in
+Chunk hashes (128 bits) are counted first, by partial aggregates over (row,
+place, hash) without texts; only chunks with a repeated hash get their text
+again.  There, grouping and joining by (hash, text) is the byte comparison.  A hot chunk costs one row per task in
 the aggregates, and the join back has one unique side, which AQE can split.
 
 Only DataFrame functions are used.  Defined results: a null text stays null
@@ -50,22 +50,27 @@ def _joined(start: str, length: str):
     return F.array_join(F.slice("lines", F.col(start), F.col(length)), "\n")
 
 
+def _pieces(rows: DataFrame) -> DataFrame:
+    """(uid, doc_id, idx, len, chunk) of the chunks of ``MIN_LINES`` lines or more."""
+    each = rows.withColumn("lines", lines(F.col("text"))).select(
+        "uid", "doc_id", "lines", F.explode("chunks").alias("c")).filter(F.col("c.len") >= MIN_LINES)
+    return each.select("uid", "doc_id", F.col("c.idx").alias("idx"), F.col("c.len").alias("len"),
+                       _joined("c.start", "c.len").alias("chunk"))
+
+
 def assess(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``row`` (its columns but ``text``),
     ``doc_id``, ``text``, ``clean_text``, ``n_lines``, ``n_chunks``,
     ``removed_chunks`` and ``removed_lines``.  Runs jobs when called."""
     base = docs.select(packed(docs, "text"), "doc_id", "text")
     rows = materialize(_chunked(base).drop("lines").withColumn("uid", F.monotonically_increasing_id()))
-    flat = rows.withColumn("lines", lines(F.col("text"))).select(
-        "uid", "doc_id", "lines", F.explode("chunks").alias("c")
-    ).filter(F.col("c.len") >= MIN_LINES)
-    flat = flat.select("uid", "doc_id", F.col("c.idx").alias("idx"), F.col("c.len").alias("len"),
-                       _joined("c.start", "c.len").alias("chunk"))
-    keyed = flat.select("uid", "doc_id", "idx", "len", "chunk", *row_key(F.col("chunk")))
-    again = materialize(
-        keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    )
-    found = materialize(keyed.join(again, ["k1", "k2"]))
+    keys = ["k1", "k2"]
+    places = materialize(_pieces(rows).select("uid", "idx", *row_key(F.col("chunk"))))
+    again = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys)
+    repeated = places.join(again, keys, "left_semi").groupBy("uid").agg(F.collect_list("idx").alias("repeated"))
+    suspects = rows.join(repeated, "uid").withColumn("chunks", F.transform("repeated", lambda i: F.get("chunks", i)))
+    found = materialize(_pieces(suspects).select("*", *row_key(F.col("chunk"))))
+    discard(places)
     keepers = found.groupBy("k1", "k2", "chunk").agg(F.min(F.struct("doc_id", "uid", "idx")).alias("first"))
     place = F.struct("doc_id", "uid", "idx")
     removed = (
@@ -73,7 +78,6 @@ def assess(docs: DataFrame) -> DataFrame:
         .groupBy("uid").agg(F.collect_set("idx").alias("gone"), F.sum("len").alias("removed_lines"))
     )
     gone = F.coalesce("gone", F.array().cast("array<int>"))
-    discard(again)
     joined = rows.join(removed, "uid", "left").withColumn("lines", lines(F.col("text"))).withColumn("gone", gone)
     kept = F.flatten(F.transform(
         F.filter("chunks", lambda c: ~F.array_contains("gone", c["idx"])),
