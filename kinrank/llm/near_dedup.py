@@ -48,9 +48,24 @@ BANDS = 32
 SIMILAR_PCT = 80
 BLOCK = 1_000_000
 PRUNE = 0.6
+BATCH = 500  # rows of an Arrow batch where texts go through Python
+REMEMBERED = 500_000  # shingles of recent sets that the check of links keeps
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _in_small_batches(df: DataFrame) -> DataFrame:
+    """``materialize`` with Arrow batches of ``BATCH`` rows: a batch of whole
+    texts is held by the JVM and by Python at once."""
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH_ROWS)
+    conf.set(_BATCH_ROWS, min(BATCH, int(before)) if int(before) > 0 else BATCH)
+    try:
+        return materialize(df)
+    finally:
+        conf.set(_BATCH_ROWS, before)
+
+
 def sketch(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
     """The fast similarity sketch of a non-empty set of 64-bit hashes."""
     filled = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
@@ -69,8 +84,8 @@ def _sketched(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
     hasher = WordHasher()
     for batch in batches:
         sizes, keys, sketches = [], ([], []), []
-        for text in batch.column("text").to_pylist():
-            found = shingle_set(hasher(text), words)
+        for text in batch.column("text"):
+            found = shingle_set(hasher(text.as_py()), words)
             sizes.append(len(found))
             if len(found) == 0:
                 sketches.append(None)
@@ -106,17 +121,21 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, words: int, pct: int) -> DataF
     """Pairs (a, b) of classes with ``100 |A n B| >= pct |A u B|`` on full sets."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, last = WordHasher(), {}
+        hasher, last, held = WordHasher(), {}, 0
 
-        def of(uid: int, text: str) -> np.ndarray:
+        def of(uid: int, text: pa.StringScalar) -> np.ndarray:
+            nonlocal held
             if uid not in last:
-                if len(last) >= 64:
+                if held >= REMEMBERED:
                     last.clear()
-                last[uid] = shingle_set(hasher(text), words)
+                    held = 0
+                last[uid] = shingle_set(hasher(text.as_py()), words)
+                held += len(last[uid])
             return last[uid]
 
         for batch in batches:
-            a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
+            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
+            ta, tb = batch.column("ta"), batch.column("tb")
             good = []
             for i in range(batch.num_rows):
                 x, y = of(a[i], ta[i]), of(b[i], tb[i])
@@ -137,7 +156,7 @@ def _with_sets(members: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            sets = [shingle_set(hasher(text), words).tobytes() for text in batch.column("text").to_pylist()]
+            sets = [shingle_set(hasher(text.as_py()), words).tobytes() for text in batch.column("text")]
             yield batch.drop_columns(["text"]).append_column("shingles", pa.array(sets, pa.binary()))
 
     wanted = rows.join(members.select("uid").distinct(), "uid", "left_semi")
@@ -199,14 +218,14 @@ def _linked(rows: DataFrame, classes: DataFrame, words: int, pct: int) -> DataFr
     )
     discard(shared)
     star = crowded.select(F.least("a", "uid").alias("a"), F.greatest("a", "uid").alias("b")).distinct()
-    links = materialize(_confirmed(star, rows, words, pct))
+    links = _in_small_batches(_confirmed(star, rows, words, pct))
     first = materialize(components(links))
     members = crowded.join(first, crowded["uid"] == first["node"], "left").select(
         "band", "h", "uid", F.coalesce("root", "uid").alias("root")
     )
     open_ = members.groupBy("band", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     rest = materialize(members.join(open_.select("band", "h"), ["band", "h"]))
-    sets = materialize(_with_sets(rest, rows, words))
+    sets = _in_small_batches(_with_sets(rest, rows, words))
     found = materialize(_blocked_links(rest, sets, pct))
     discard(crowded, rest, sets)
     if found.isEmpty():
@@ -225,7 +244,7 @@ def assign(docs: DataFrame, words: int = 4, pct: int = SIMILAR_PCT) -> DataFrame
         *named.schema.fields, *[StructField(c, LongType()) for c in ("n_shingles", "k1", "k2")],
         StructField("sketch", ArrayType(IntegerType())),
     ])
-    rows = materialize(
+    rows = _in_small_batches(
         named.mapInArrow(lambda batches: _sketched(batches, words), schema)
         .withColumn("uid", F.monotonically_increasing_id())
     )
