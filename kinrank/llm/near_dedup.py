@@ -31,6 +31,7 @@ not kept; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ SIMILAR_PCT = 80
 BLOCK = 1_000_000
 PRUNE = 0.6
 BATCH = 500  # rows of an Arrow batch where texts go through Python
+WANTED = 2_000_000  # row numbers broadcast at once when texts are looked up
 REMEMBERED = 500_000  # shingles of recent sets that the check of links keeps
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -108,16 +110,42 @@ def _set_hash(found: np.ndarray, seed: int) -> np.int64:
     return mix(np.array([total + np.uint64(len(found))], np.uint64)).view(np.int64)[0]
 
 
-def _buckets(sketches: DataFrame) -> DataFrame:
-    """(band, h, uid) of every class."""
-    rows = BINS // BANDS
+def _buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(band, h, uid) of every class; only band hashes, half as long as the sketches, are shuffled."""
+    width = BINS // BANDS
     hashes = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.slice("sketch", i * rows + 1, rows))
+        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.slice("sketch", i * width + 1, width))
     )
-    return sketches.select("uid", F.posexplode(hashes).alias("band", "h"))
-
-
-def _confirmed(pairs: DataFrame, rows: DataFrame, words: int, pct: int) -> DataFrame:
+    hashed = rows.select(F.col("uid").alias("cid"), hashes.alias("hashes"))
+    return hashed.join(classes.select("cid"), "cid").select(
+        F.col("cid").alias("uid"), F.posexplode("hashes").alias("band", "h"))
+
+
+def _looked_up(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(uid, n_shingles, sketch, text) of the rows in ``wanted`` (uid), written
+    as a table without shuffling any text.
+
+    The upper bits of a uid number the task that wrote the row, so a range of
+    uids is a range of files.  ``wanted`` is cut at task borders into ranges of
+    about ``WANTED`` (beyond it only if one task wrote more); each is broadcast
+    to the files of its own range, so every text is read once at any size.
+    """
+    per_task = wanted.groupBy(F.shiftright("uid", 33).alias("task")).count().orderBy("task").collect()
+    starts, held = [0], 0
+    for task, n in per_task:  # one row per task of the scan
+        if held and held + n > WANTED:
+            starts.append(task << 33)
+            held = 0
+        held += n
+    parts = []
+    for low, high in zip(starts, [*starts[1:], 1 << 62]):
+        inside = (F.col("uid") >= low) & (F.col("uid") < high)
+        ids = F.broadcast(wanted.filter(inside))
+        parts.append(rows.filter(inside).select("uid", "n_shingles", "sketch", "text").join(ids, "uid", "left_semi"))
+    return materialize(reduce(DataFrame.unionByName, parts))
+
+
+def _confirmed(pairs: DataFrame, near: DataFrame, words: int, pct: int) -> DataFrame:
     """Pairs (a, b) of classes with ``100 |A n B| >= pct |A u B|`` on full sets."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,13 +172,13 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, words: int, pct: int) -> DataF
                     good.append(i)
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    texts = rows.select("uid", "text")
+    texts = near.select("uid", "text")
     with_a = pairs.join(texts.withColumnsRenamed({"uid": "a", "text": "ta"}), "a")
     both = with_a.join(texts.withColumnsRenamed({"uid": "b", "text": "tb"}), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint")
 
 
-def _with_sets(members: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+def _with_sets(members: DataFrame, near: DataFrame, words: int) -> DataFrame:
     """(uid, sketch, shingles as bytes, n_shingles) of the classes in ``members``."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +187,7 @@ def _with_sets(members: DataFrame, rows: DataFrame, words: int) -> DataFrame:
             sets = [shingle_set(hasher(text.as_py()), words).tobytes() for text in batch.column("text")]
             yield batch.drop_columns(["text"]).append_column("shingles", pa.array(sets, pa.binary()))
 
-    wanted = rows.join(members.select("uid").distinct(), "uid", "left_semi")
+    wanted = near.join(members.select("uid").distinct(), "uid", "left_semi")
     return wanted.select("uid", "n_shingles", "sketch", "text").mapInArrow(
         full, "uid bigint, n_shingles bigint, sketch array<int>, shingles binary")
 
@@ -204,8 +232,7 @@ def _blocked_links(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
 
 def _linked(rows: DataFrame, classes: DataFrame, words: int, pct: int) -> DataFrame:
     """(node, root) of classes that have confirmed links."""
-    sketches = rows.join(classes.select(F.col("cid").alias("uid")), "uid", "left_semi").select("uid", "sketch")
-    buckets = materialize(_buckets(sketches))
+    buckets = materialize(_buckets(rows, classes))
     sizes = buckets.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialize(buckets.join(sizes, ["band", "h"]))
     discard(buckets)
@@ -217,15 +244,19 @@ def _linked(rows: DataFrame, classes: DataFrame, words: int, pct: int) -> DataFr
         .filter("uid <> a")
     )
     discard(shared)
-    star = crowded.select(F.least("a", "uid").alias("a"), F.greatest("a", "uid").alias("b")).distinct()
-    links = _in_small_batches(_confirmed(star, rows, words, pct))
+    star = materialize(crowded.select(F.least("a", "uid").alias("a"), F.greatest("a", "uid").alias("b")).distinct())
+    wanted = materialize(star.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
+    near = _looked_up(rows, wanted)
+    links = _in_small_batches(_confirmed(star, near, words, pct))
+    discard(star, wanted)
     first = materialize(components(links))
     members = crowded.join(first, crowded["uid"] == first["node"], "left").select(
         "band", "h", "uid", F.coalesce("root", "uid").alias("root")
     )
     open_ = members.groupBy("band", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     rest = materialize(members.join(open_.select("band", "h"), ["band", "h"]))
-    sets = _in_small_batches(_with_sets(rest, rows, words))
+    sets = _in_small_batches(_with_sets(rest, near, words))
+    discard(near)
     found = materialize(_blocked_links(rest, sets, pct))
     discard(crowded, rest, sets)
     if found.isEmpty():
