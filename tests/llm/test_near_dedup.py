@@ -77,3 +77,16 @@ def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
+
+
+def test_lookup_in_several_ranges(spark, docs_of, monkeypatch):
+    """Every wanted row is found once, in however many ranges the row numbers are cut."""
+    rows = docs_of([(i, f"text {i}") for i in range(60)]).repartition(6).selectExpr(
+        "monotonically_increasing_id() AS uid", "1L AS n_shingles", "array(1) AS sketch", "text")
+    rows = near_dedup.materialize(rows)
+    wanted = rows.filter("text LIKE '%3%'").select("uid")
+    expected = sorted(r.text for r in rows.filter("text LIKE '%3%'").collect())
+    for limit in (1, 4, 1000):
+        monkeypatch.setattr(near_dedup, "WANTED", limit)
+        assert sorted(r.text for r in near_dedup._looked_up(rows, wanted).collect()) == expected
+    assert near_dedup._looked_up(rows, wanted.filter("false")).collect() == []
