@@ -19,10 +19,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinrank import ITEM, RATING, USER
+from kinrank import ITEM, RATING, TS, USER
 from kinrank.functions import metrics
 from kinrank.operators import baseline, prepare
 from kinrank.plans import data
+from kinrank.sources import ratings as sources
 
 SEED = 12345
 K_PRECISION = 5
@@ -64,6 +65,26 @@ def items_scan(spark, sf_dir):
     return data.items(spark, sf_dir)
 
 
+@query
+def ratings_csv(spark, sf_dir):
+    """IO1: the ratings as a MovieLens-style CSV, written and scanned again."""
+    path = data.scratch_path(spark, "ratings-csv")
+    seconds = F.unix_date(F.col(TS).cast("date")).cast("bigint") * 86400
+    data.ratings(spark, sf_dir).select(
+        F.col(USER).alias("userId"), F.col(ITEM).alias("movieId"), RATING, seconds.alias("timestamp"),
+    ).write.mode("overwrite").option("header", True).csv(path)
+    back = sources.read_ratings_csv(spark, path)
+    return back.select(USER, ITEM, RATING, F.unix_seconds(TS).alias("seconds"))
+
+
+@query
+def items_csv(spark, sf_dir):
+    """IO2: the items as a CSV, written and scanned again."""
+    path = data.scratch_path(spark, "items-csv")
+    data.items(spark, sf_dir).withColumnRenamed(ITEM, "movieId").write.mode("overwrite").option("header", True).csv(path)
+    return sources.read_items_csv(spark, path)
+
+
 @query
 def sample_cap(spark, sf_dir):
     return prepare.cap_sample(data.ratings(spark, sf_dir), third_cap(spark, sf_dir))
@@ -432,6 +453,13 @@ def run_summary(spark, sf_dir):
     return results.load_results(spark, path, model="neighbor", columns=cols).orderBy("sample_size")
 
 
+@query
+def run_summary_metrics(spark, sf_dir):
+    """EX6 with its metrics to compare and, for the seconds, whether they were recorded."""
+    recorded = (F.col("runtime") > 0).alias("runtime_recorded")
+    return run_summary(spark, sf_dir).select("sample_size", recorded, *[r6(c) for c in experiments.SUMMARY_COLS])
+
+
 # ---------------------------------------------------------------- ALS
 
 ALS_RANK = 10
@@ -472,9 +500,51 @@ def als_rankings(spark, sf_dir):
 def als_grid_search(spark, sf_dir):
     """AL2 + AL3 + EX3: 2-fold search over the regParam curve."""
     train, _ = data.train_test(spark, sf_dir)
-    fitted = als.grid_search(train, [ALS_RANK], [ALS_ITER], ALS_GRID, num_folds=2,
-                             metric="rmse", parallelism=2, seed=SEED)
-    return fitted.results
+    return data.memo_obj(spark, ("als_grid", sf_dir), lambda: als.grid_search(
+        train, [ALS_RANK], [ALS_ITER], ALS_GRID, num_folds=2, metric="rmse", parallelism=2, seed=SEED)).results
+
+
+@query
+def als_grid_points(spark, sf_dir):
+    """AL3, EX3: the searched settings, and whether each one's error lies inside the rating range."""
+    sound = ((F.col("rmse") > 0) & (F.col("rmse") < 4.5)).alias("sound")
+    return als_grid_search(spark, sf_dir).select("reg_param", "rank", "max_iter", sound)
+
+
+@query
+def als_scored_keys(spark, sf_dir):
+    """AL4: every asked pair is scored once, none without a prediction."""
+    lost = F.col("predicted_rating").isNull() | F.isnan("predicted_rating")
+    return _als_scored(spark, sf_dir).select(USER, ITEM, RATING, lost.alias("lost"))
+
+
+@query
+def als_rank_sums(spark, sf_dir):
+    """AL5: truth ranks by item, and per user the sum and maximum of the predicted ranks."""
+    ranks = als_rankings(spark, sf_dir)
+    sums = ranks.groupBy(USER).agg(F.sum("pred_rank").alias("pred_sum"), F.max("pred_rank").alias("pred_max"))
+    return ranks.drop("pred_rank").join(sums, USER)
+
+
+@query
+def als_rmse_agrees(spark, sf_dir):
+    """AL6 against MT1: the evaluator's RMSE and the SQL aggregate's on the same predictions."""
+    scored = _als_scored(spark, sf_dir)
+    own = metrics.rmse(scored, pred="predicted_rating").select("rmse").scalar()
+    n = scored.agg(F.count(F.lit(1))).scalar()
+    agrees = (F.abs(F.col("rmse") - own) < 1e-6).alias("agrees")
+    return als.rmse(scored).select(agrees, n.alias("n"))
+
+
+@query
+def als_refit_equal(spark, sf_dir):
+    """AL1: pairs whose prediction differs by more than 1e-4 after a second fit with the same seed."""
+    train, test = data.train_test(spark, sf_dir)
+    again = als.predict(als.fit(train, ALS_RANK, ALS_ITER, ALS_REG, SEED), test)
+    both = _als_scored(spark, sf_dir).join(
+        again.select(USER, ITEM, F.col("predicted_rating").alias("again")), [USER, ITEM])
+    differs = F.abs(F.col("predicted_rating") - F.col("again")) > 1e-4
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(differs).alias("n_different"))
 
 
 @query

