@@ -12,6 +12,13 @@ place, hash) without texts; only chunks with a repeated hash get their text
 again.  There, grouping and joining by (hash, text) is the byte comparison.  A hot chunk costs one row per task in
 the aggregates, and the join back has one unique side, which AQE can split.
 
+``assess`` is that rule, as the SQL of the registered query defines it.  It
+misses most short passages: one needs two boundaries inside itself.
+``passages`` and ``clean`` miss none: every pair of neighbouring lines that
+occurred before, in the same order, loses both its lines, so a repeated run of
+two lines or more goes whole wherever it is cut.  The first occurrence of
+every line stays.  Pairs of two blank lines are no passage.
+
 Only DataFrame functions are used.  Defined results: a null text stays null
 and has no lines; an empty text is one empty line; rows are separate documents
 even if equal (later ones lose the repeated chunks; ties of doc_id go by the
@@ -21,10 +28,10 @@ gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinrank.llm.common import lines, packed, row_key, unpacked
+from kinrank.llm.common import NOT_WHITE, lines, packed, row_key, unpacked
 from kinrank.plans.context import discard, materialize
 
 CUT = "4"  # of 16 first digits: an end after one line in four
@@ -91,6 +98,52 @@ def assess(docs: DataFrame) -> DataFrame:
     )
 
 
+def _pairs(rows: DataFrame, numbers: Column | None = None) -> DataFrame:
+    """(uid, doc_id, idx, pair) of neighbouring lines, ``idx`` (1-based) that
+    of the first; of all lines or those with the ``numbers``."""
+    if numbers is None:
+        numbers = F.when(F.size("lines") > 1, F.sequence(F.lit(1), F.size("lines") - 1))
+    pairs = F.transform(numbers, lambda i: F.struct(
+        i.alias("idx"), F.concat_ws("\n", F.get("lines", i - 1), F.get("lines", i)).alias("pair")))
+    return rows.withColumn("lines", lines(F.col("text"))).filter("text is not null").select(
+        "uid", "doc_id", F.explode(pairs).alias("p")).select(
+        "uid", "doc_id", "p.idx", "p.pair").filter(F.col("pair").rlike(NOT_WHITE))
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: ``row`` (its columns but ``text``),
+    ``doc_id``, ``text``, ``clean_text``, ``n_lines`` and ``removed_lines``:
+    every repeated run of ``MIN_LINES`` lines or more keeps its first
+    occurrence only.  Runs jobs when called."""
+    base = docs.select(packed(docs, "text"), "doc_id", "text")
+    rows = materialize(base.withColumn("uid", F.monotonically_increasing_id()))
+    keys = ["k1", "k2"]
+    places = materialize(_pairs(rows).select("uid", "idx", *row_key(F.col("pair"))))
+    again = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys)
+    repeated = places.join(again, keys, "left_semi").groupBy("uid").agg(F.collect_set("idx").alias("repeated"))
+    suspects = rows.select("uid", "doc_id", "text").join(repeated, "uid")
+    wanted = _pairs(suspects, F.col("repeated"))
+    found = materialize(wanted.select("uid", "doc_id", "idx", "pair", *row_key(F.col("pair"))))
+    discard(places)
+    place = F.struct("doc_id", "uid", "idx")
+    keepers = found.groupBy(*keys, "pair").agg(F.min(place).alias("first"))
+    later = found.join(keepers, [*keys, "pair"]).filter(~place.eqNullSafe(F.col("first")))
+    gone = later.groupBy("uid").agg(F.collect_set("idx").alias("gone"))
+    joined = rows.join(gone, "uid", "left").withColumn("lines", lines(F.col("text"))).withColumn(
+        "gone", F.coalesce("gone", F.array().cast("array<int>")))
+    # the line with 0-based number i is in the pairs i and i + 1; array_except is a hash lookup, so long texts stay linear
+    numbers = F.array_except(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"),
+                             F.transform("gone", lambda i: i - 1))
+    kept = F.transform(numbers, lambda i: F.get("lines", i))
+    kept = F.when(F.size("gone") > 0, kept).otherwise(F.col("lines"))
+    n_lines = F.when(F.col("text").isNotNull(), F.size("lines")).otherwise(F.lit(0))
+    left = F.when(F.col("text").isNotNull(), F.size(kept)).otherwise(F.lit(0))
+    return joined.select(
+        "row", "doc_id", "text", F.when(F.col("text").isNotNull(), F.array_join(kept, "\n")).alias("clean_text"),
+        n_lines.cast("long").alias("n_lines"), (n_lines - left).cast("long").alias("removed_lines"),
+    )
+
+
 def clean(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated chunks removed, columns as given."""
-    return unpacked(assess(docs), docs, text=F.col("clean_text"))
+    """``docs`` with all repeated passages removed, columns as given."""
+    return unpacked(passages(docs), docs, text=F.col("clean_text"))

@@ -1,3 +1,5 @@
+import random
+
 from conftest import AWKWARD
 from kinrank.llm import line_dedup, quality
 from pyspark.sql import functions as F
@@ -57,3 +59,31 @@ def test_line_dedup_awkward_rows(docs_of):
     assert rows.filter("doc_id = 9").agg(F.sum("removed_chunks")).first()[0] >= 1
     assert line_dedup.clean(df).columns == df.columns
     assert line_dedup.assess(docs_of([])).collect() == []
+
+
+def brute_passages(rows):
+    """Texts without the lines of pairs of lines that occurred before."""
+    seen, out = set(), {}
+    for key, text in sorted(rows):
+        lines, gone = text.split("\n"), set()
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            if "".join(pair).strip():
+                gone |= {i, i + 1} if pair in seen else set()
+                seen.add(pair)
+        out[key] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_short_passages_go_whole_like_brute_force(docs_of):
+    rng = random.Random(3)
+    shared = [[f"passage {n} line {i}" for i in range(n)] for n in range(2, 9)]
+    rows = [(i, "\n".join([f"start {i}", *shared[i % 7], f"middle {i}", *shared[(i + 3) % 7], f"end {i}"])) for i in range(40)]
+    rows += [(100 + i, "\n".join(rng.choice(["a", "b", "", "c d", " "]) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
+    got = {r.doc_id: r for r in line_dedup.passages(docs_of(rows, clash=True)).collect()}
+    assert {k: r.clean_text for k, r in got.items()} == brute_passages(rows)
+    # nothing of a passage of 2 to 8 lines is left after its first occurrence
+    assert got[20].clean_text == "start 20\nmiddle 20\nend 20" and got[20].removed_lines == got[20].n_lines - 3
+    clean = {r.doc_id: r.text for r in line_dedup.clean(docs_of(rows)).collect()}
+    assert clean == brute_passages(rows)
+    df = docs_of(AWKWARD, clash=True)
+    assert line_dedup.passages(df).count() == len(AWKWARD) and line_dedup.passages(docs_of([])).collect() == []
