@@ -4,16 +4,17 @@
    kind leftmost and without overlap; a match that fails its check is dropped
    and not tried again.  Positions are code points, end exclusive.
 2. Entities are the values of base spans.  Terms (lower-cased runs of letters
-   and digits) near an entity's mention co-occur with it.  Over all documents,
-   with n(c), n(t) and n(c, t) the documents with the entity, the term, and
-   both near each other, the disclosure of c by t is
+   and digits) anywhere in a document that mentions an entity co-occur with
+   it.  Over all documents, rows with equal texts counted once, with n(c), n(t)
+   and n(c, t) the documents with the entity, the term, and both, the
+   disclosure of c by t is
 
        PMI(c; t) / IC(c) = log(n(c,t) N / (n(c) n(t))) / log(N / n(c)),
 
    1 where the term never occurs without the entity.
 3. In documents that mention the entity, terms that disclose ``GENERALISE`` of
    its information or more become a broader word, from ``REMOVE`` on they go.
-   A pair counts only with ``MIN_SUPPORT`` different contexts (copies of a
+   A pair counts only with ``MIN_SUPPORT`` different documents (copies of a
    page are one), and entities known to carry fewer than ``MIN_BITS`` bits are
    public and not protected by terms.
 
@@ -32,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinrank.llm.common import let, packed, text_of
+from kinrank.llm.common import let, packed, row_key, text_of
 from kinrank.plans.context import discard, materialize
 
 #: Kinds in the order of the contract, with their patterns (fixed values, made linear).
@@ -49,7 +50,8 @@ TERM_KIND = "term"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _TERM = "[\\p{L}\\p{N}]+"
 
-NEAR = 160  # code points on either side of a mention
+#: A table of repeated texts' keys up to this many rows (24 bytes each) is broadcast; a larger one is joined by shuffle.
+BROADCAST_COPIES = 500_000
 MIN_SUPPORT = 3
 MIN_BITS = 4.0
 GENERALISE = 0.8
@@ -123,32 +125,35 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
 
 
-def _mentions(found: DataFrame) -> DataFrame:
-    """(uid, entity, term, context): terms near each mention; ``context`` is a
-    hash of the text around it."""
-    each = found.select("uid", "text", F.explode("base").alias("s"))
-    left = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("s.start") - NEAR + 1), F.least(F.lit(NEAR), F.col("s.start")))
-    right = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(NEAR))
-    around = each.select("uid", F.concat_ws(":", "s.kind", "s.value").alias("entity"),
-                         F.concat_ws(" ", left, right).alias("around"))
-    return around.select("uid", "entity", F.xxhash64("around").alias("context"),
-                         F.explode(_terms(F.col("around"))).alias("term"))
+def _pairs(found: DataFrame) -> DataFrame:
+    """(entity, term, weight): every entity of a document with every term of its whole text."""
+    values = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))
+    each = found.select("weight", _terms(F.col("text")).alias("terms"), F.explode(values).alias("entity"))
+    return each.select("entity", "weight", F.explode("terms").alias("term"))
 
 
-def disclosures(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
+def _weighted(df: DataFrame, copies: DataFrame) -> DataFrame:
+    """``df`` (with the key of its text) plus ``weight``: one by the number of documents with that text."""
+    side = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
+    return df.join(side, ["k1", "k2"], "left").withColumn("weight", 1.0 / F.coalesce("n", F.lit(1)))
+
+
+def disclosures(docs: DataFrame, rows: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
     """(entity, term, disclosure) at or above ``GENERALISE``, from all ``docs``
-    (column ``text``) and the rows with base spans (``found``)."""
-    total = docs.count()
-    mentions = _mentions(found)
-    seen = mentions.select("entity", "uid").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    near = mentions.select("entity", "term", "uid").distinct().groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("n_ct"))
-    contexts = mentions.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("support")).filter(F.col("support") >= min_support)
-    pairs = materialize(near.join(contexts.drop("support"), ["entity", "term"]).join(seen, "entity"))
+    (column ``text``) and their ``rows`` (base spans, key of the text)."""
+    distinct = F.round(F.sum("weight")).cast("long")  # copies share a weight of 1, so the sum is whole
+    keys = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    total = keys.count()
+    copies = materialize(keys.filter("n > 1"))
+    found = _weighted(rows.filter(F.size("base") > 0), copies)
+    near = _pairs(found).groupBy("entity", "term").agg(distinct.alias("n_ct"))
+    seen = found.select("weight", F.explode(F.array_distinct(F.transform(
+        "base", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity")).groupBy("entity").agg(
+        distinct.alias("n_c"))
+    pairs = materialize(near.filter(F.col("n_ct") >= min_support).join(seen, "entity"))
     # every word of every document is counted before the join: one row per task and term
-    everywhere = docs.select(F.explode(_terms(text_of())).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("n_t"))
+    everywhere = _weighted(docs.select("text", *row_key(text_of())), copies).select(
+        "weight", F.explode(_terms(text_of())).alias("term")).groupBy("term").agg(distinct.alias("n_t"))
     bits = F.log2(F.lit(float(total)) / F.col("n_c"))
     pmi = F.log2(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c").cast("double") * F.col("n_t")))
     return (
@@ -189,11 +194,11 @@ def find(docs: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
     base = F.array_sort(F.concat(*[base_spans(F.col("text"), kind) for kind in KINDS]))
     step = step.withColumn("base", base)
     rows = materialize(
-        step.withColumn("text", F.when(F.size("base") > 0, F.col("text")))
+        step.select("*", *row_key(F.col("text"))).withColumn("text", F.when(F.size("base") > 0, F.col("text")))
         .withColumn("uid", F.monotonically_increasing_id())
     )
     with_base = rows.filter(F.size("base") > 0)
-    revealing = materialize(disclosures(docs, with_base, min_support))
+    revealing = materialize(disclosures(docs, rows, min_support))
     extra = _term_spans(with_base, revealing)
     return rows.join(extra, "uid", "left").select(
         "row", "text", "base",

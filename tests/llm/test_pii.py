@@ -61,6 +61,16 @@ def test_revealing_terms_are_found_only_with_their_entity(docs_of):
     assert not any(terms(r) for r in pii.find(docs_of(copies)).collect())
 
 
+def test_terms_far_from_the_mention_count(docs_of):
+    filler = " ".join(["common words stand here"] * 60)
+    rows = [(i, f"common words number{i} {filler}") for i in range(120)]
+    rows += [(200 + i, f"zebra says {i} {filler} boss@corp.example") for i in range(4)]
+    found = {r.row.doc_id: r for r in pii.find(docs_of(rows)).collect()}
+    for i in range(4):
+        assert (0, 5) in {(s.start, s.end) for s in found[200 + i].spans if s.kind == "term"}
+        assert not any(rows[120 + i][1][s.start:s.end] == "common" for s in found[200 + i].spans)
+
+
 def test_awkward_rows(docs_of):
     assert pii.find(docs_of(AWKWARD, clash=True)).count() == len(AWKWARD)
     assert pii.find(docs_of([])).collect() == []
