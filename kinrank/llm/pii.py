@@ -9,14 +9,14 @@
    and n(c, t) the documents with the entity, the term, and both, the
    disclosure of c by t is
 
-       PMI(c; t) / IC(c) = log(n(c,t) N / (n(c) n(t))) / log(N / n(c)),
+       PMI(c; t) / IC(c) = log(p(c|t) N / n(c)) / log(N / n(c)),
 
-   1 where the term never occurs without the entity.
+   near 1 where the term hardly occurs without the entity.  p(c|t) is smoothed
+   by ``SMOOTH`` documents of the overall rate of c, (n(c,t) + SMOOTH n(c)/N) /
+   (n(t) + SMOOTH): few documents are weak evidence, none are left out.
 3. In documents that mention the entity, terms that disclose ``GENERALISE`` of
    its information or more become a broader word, from ``REMOVE`` on they go.
-   A pair counts only with ``MIN_SUPPORT`` different documents (copies of a
-   page are one), and entities known to carry fewer than ``MIN_BITS`` bits are
-   public and not protected by terms.
+   An entity in every document carries no information and has no such terms.
 
 Only DataFrame functions are used.  The patterns start only where a match can
 start and use possessive repeats, so long texts cost linear time and no deep
@@ -52,8 +52,7 @@ _TERM = "[\\p{L}\\p{N}]+"
 
 #: A table of repeated texts' keys up to this many rows (24 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_COPIES = 500_000
-MIN_SUPPORT = 3
-MIN_BITS = 4.0
+SMOOTH = 2.0
 GENERALISE = 0.8
 REMOVE = 0.95
 
@@ -78,17 +77,18 @@ def _valid(kind: str, match: Column) -> Column:
     return count.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def _located(text: Column, pattern: str) -> Column:
+def _located(text: Column, pattern: str, wanted=None) -> Column:
     """Matches of ``pattern``: array of (start, match), by adding up the
-    lengths of the pieces between matches and of the matches."""
+    lengths of the pieces between matches and of the matches.  Appending
+    copies the array, so of very many matches only ``wanted`` ones are kept."""
     gaps = F.transform(F.split(text, pattern), lambda g: F.length(g))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        return F.struct(
-            (start + F.length(x["match"])).alias("at"),
-            F.array_append(acc["out"], F.struct(start.alias("start"), x["match"].alias("match"))).alias("out"),
-        )
+        out = F.array_append(acc["out"], F.struct(start.alias("start"), x["match"].alias("match")))
+        if wanted is not None:
+            out = F.when(wanted(x["match"]), out).otherwise(acc["out"])
+        return F.struct((start + F.length(x["match"])).alias("at"), out.alias("out"))
 
     def located(found: Column) -> Column:
         pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(g.alias("gap"), m.alias("match")))
@@ -138,7 +138,7 @@ def _weighted(df: DataFrame, copies: DataFrame) -> DataFrame:
     return df.join(side, ["k1", "k2"], "left").withColumn("weight", 1.0 / F.coalesce("n", F.lit(1)))
 
 
-def disclosures(docs: DataFrame, rows: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
+def disclosures(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(entity, term, disclosure) at or above ``GENERALISE``, from all ``docs``
     (column ``text``) and their ``rows`` (base spans, key of the text)."""
     distinct = F.round(F.sum("weight")).cast("long")  # copies share a weight of 1, so the sum is whole
@@ -150,15 +150,16 @@ def disclosures(docs: DataFrame, rows: DataFrame, min_support: int = MIN_SUPPORT
     seen = found.select("weight", F.explode(F.array_distinct(F.transform(
         "base", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity")).groupBy("entity").agg(
         distinct.alias("n_c"))
-    pairs = materialize(near.filter(F.col("n_ct") >= min_support).join(seen, "entity"))
+    pairs = materialize(near.join(seen, "entity"))
     # every word of every document is counted before the join: one row per task and term
     everywhere = _weighted(docs.select("text", *row_key(text_of())), copies).select(
         "weight", F.explode(_terms(text_of())).alias("term")).groupBy("term").agg(distinct.alias("n_t"))
-    bits = F.log2(F.lit(float(total)) / F.col("n_c"))
-    pmi = F.log2(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c").cast("double") * F.col("n_t")))
+    rate = F.col("n_c") / F.lit(float(total))
+    given = (F.col("n_ct") + SMOOTH * rate) / (F.col("n_t") + SMOOTH)
     return (
-        pairs.join(everywhere, "term").filter(bits >= MIN_BITS)
-        .select("entity", "term", (pmi / bits).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+        pairs.join(everywhere, "term").filter(F.col("n_c") < total)
+        .select("entity", "term", (F.log2(given / rate) / -F.log2(rate)).alias("disclosure"))
+        .filter(F.col("disclosure") >= GENERALISE)
     )
 
 
@@ -173,11 +174,11 @@ def _term_spans(rows: DataFrame, revealing: DataFrame) -> DataFrame:
     terms = entities.join(revealing, "entity").groupBy("uid", "term").agg(F.max("disclosure").alias("disclosure"))
     per_doc = terms.groupBy("uid").agg(
         F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("flagged"))
+    flagged = lambda match: F.map_contains_key("flagged", F.lower(match))
     each = rows.join(per_doc, "uid").select(
-        "uid", "base", "flagged", _located(F.col("text"), _TERM).alias("tokens"))
-    hit = F.filter("tokens", lambda t: F.map_contains_key("flagged", F.lower(t["match"])))
+        "uid", "base", "flagged", _located(F.col("text"), _TERM, flagged).alias("hits"))
     outside = F.filter(
-        hit, lambda t: ~F.exists("base", lambda s: (s["start"] < t["start"] + F.length(t["match"])) & (t["start"] < s["end"])))
+        "hits", lambda t: ~F.exists("base", lambda s: (s["start"] < t["start"] + F.length(t["match"])) & (t["start"] < s["end"])))
     spans = F.transform(outside, lambda t: F.struct(
         t["start"].alias("start"), F.lit(len(KINDS)).alias("order"), (t["start"] + F.length(t["match"])).alias("end"),
         F.lit(TERM_KIND).alias("kind"),
@@ -185,7 +186,7 @@ def _term_spans(rows: DataFrame, revealing: DataFrame) -> DataFrame:
     return each.select("uid", spans.alias("extra")).filter(F.size("extra") > 0)
 
 
-def find(docs: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
+def find(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``row`` (its columns but ``text``),
     ``text`` (null where nothing was found), ``base`` and ``spans`` (base and
     term spans: start, order, end, kind, value).  Runs jobs when called."""
@@ -198,7 +199,7 @@ def find(docs: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
         .withColumn("uid", F.monotonically_increasing_id())
     )
     with_base = rows.filter(F.size("base") > 0)
-    revealing = materialize(disclosures(docs, rows, min_support))
+    revealing = materialize(disclosures(docs, rows))
     extra = _term_spans(with_base, revealing)
     return rows.join(extra, "uid", "left").select(
         "row", "text", "base",
@@ -225,8 +226,8 @@ def rewritten(text: Column, spans: Column) -> Column:
     return let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, d["at"] + 1, F.length(text))))
 
 
-def sanitise(docs: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` plus ``clean_text``, for rows with spans, under ``row``; rows
     without spans have a null ``text`` and ``clean_text`` (nothing to change)."""
-    found = find(docs, min_support)
+    found = find(docs)
     return found.withColumn("clean_text", rewritten(F.col("text"), F.col("spans")))

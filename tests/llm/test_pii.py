@@ -71,6 +71,19 @@ def test_terms_far_from_the_mention_count(docs_of):
         assert not any(rows[120 + i][1][s.start:s.end] == "common" for s in found[200 + i].spans)
 
 
+def test_terms_of_rare_and_of_hot_entities(docs_of):
+    terms = lambda r: {r.text[s.start:s.end] for s in r.spans if s.kind == "term"}
+    # an entity of one document among 400, and one of every second document
+    rows = [(i, f"common words number{i}" + (" quagga hot@corp.example" if i % 2 else "")) for i in range(400)]
+    rows.append((500, "common okapi from rare@corp.example"))
+    found = {r.row.doc_id: r for r in pii.find(docs_of(rows)).collect()}
+    assert terms(found[500]) == {"okapi", "from"}
+    assert all("quagga" in terms(found[i]) and "common" not in terms(found[i]) for i in range(1, 400, 2))
+    # an entity of every document says nothing
+    rows = [(i, f"zebra {i} all@corp.example") for i in range(9)]
+    assert not any(terms(r) for r in pii.find(docs_of(rows)).collect())
+
+
 def test_awkward_rows(docs_of):
     assert pii.find(docs_of(AWKWARD, clash=True)).count() == len(AWKWARD)
     assert pii.find(docs_of([])).collect() == []
