@@ -4,7 +4,8 @@ A url that a rule fits gets the rule's verdict (the longest rule that fits).
 All others are judged by gradient-boosted trees (Spark ML) on features of the
 url alone: lengths, depth, digit ratio, entropy, counts of parameters, hyphens
 and labels, and statistics of the host's suffix (its last two labels): how
-often it occurs over all urls and its smoothed rate of blocked labels.
+often it occurs over all urls and its smoothed rate of blocked labels over
+all labelled urls.
 
 The trees are fitted on at most about ``TRAIN_ROWS`` labelled urls, picked by
 a hash of the url; scoring covers every url.  Everything runs as DataFrame
@@ -83,15 +84,21 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def _with_suffixes(features: DataFrame, training: DataFrame) -> DataFrame:
-    """``features`` plus the statistics of their suffixes; the blocked rate is
-    smoothed by the overall one and comes from the training urls only."""
-    counts = features.groupBy("suffix").agg(F.log2(1.0 + F.count(F.lit(1))).alias("suffix_log"))
-    share = training.agg(F.avg("label")).first()[0] or 0.0
-    rates = training.groupBy("suffix").agg(
+def _suffixes(pages: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """(suffix, suffix_log) over all ``pages``, (suffix, suffix_rate) over all
+    labelled urls ``known``, smoothed by their share of blocked labels, and it."""
+    counts = pages.groupBy("suffix").agg(F.log2(1.0 + F.count(F.lit(1))).alias("suffix_log"))
+    share = known.agg(F.avg("label")).first()[0] or 0.0
+    each = known.select("label", F.substring_index(host_of(F.col("url")), ".", -2).alias("suffix"))
+    rates = each.groupBy("suffix").agg(
         ((F.sum("label") + 10 * share) / (F.count(F.lit(1)) + 10)).alias("suffix_rate"))
-    stats = counts.join(rates, "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(share)))
-    return features.join(stats, "suffix")
+    return counts, materialize(rates), share
+
+
+def _with_suffixes(features: DataFrame, counts: DataFrame, rates: DataFrame, share: float) -> DataFrame:
+    """``features`` plus the statistics of their suffixes."""
+    found = features.join(counts, "suffix", "left").join(rates, "suffix", "left")
+    return found.fillna({"suffix_log": 0.0, "suffix_rate": share})
 
 
 def judge(urls: DataFrame, labelled: DataFrame, rules: Sequence[Rule], key: str = "page_id",
@@ -102,29 +109,26 @@ def judge(urls: DataFrame, labelled: DataFrame, rules: Sequence[Rule], key: str
     """
     split = lambda df: df.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     known = labelled.select("url", F.col("label").cast("double").alias("label")).filter("label is not null")
+    pages = materialize(lexical(split(urls.select(F.col(key).alias("_key"), "url"))))
+    suffixes = _suffixes(pages, known)
     size = known.count()
+    fitted = known
     if size > train_rows:
-        known = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "url"), F.lit(size)) < train_rows)
-    training = materialize(lexical(split(known)))
-    pages = materialize(lexical(split(urls.select(F.col(key).alias("_key"), "url"))))
-    scored = _score(_with_suffixes(pages, training), training, pages)
+        fitted = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "url"), F.lit(size)) < train_rows)
+    training = materialize(_with_suffixes(lexical(split(fitted)), *suffixes))
+    scored = _score(_with_suffixes(pages, *suffixes), training, suffixes[2])
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("score") >= THRESHOLD, "block").otherwise("allow")
     return scored.select(
         F.col("_key").alias(key), "host", "path", rule.alias("rule"), F.coalesce(said, method).alias("verdict"), "score")
 
 
-def _score(pages: DataFrame, training: DataFrame, all_pages: DataFrame) -> DataFrame:
-    """``pages`` plus ``score``, the probability of block."""
-    row = training.agg(F.avg("label"), F.countDistinct("label")).first()
-    if (row[1] or 0) < 2:
-        return pages.withColumn("score", F.lit(float(row[0] or 0.0)))
-    rates = training.groupBy("suffix").agg(
-        ((F.sum("label") + 10 * row[0]) / (F.count(F.lit(1)) + 10)).alias("suffix_rate"))
-    counts = all_pages.groupBy("suffix").agg(F.log2(1.0 + F.count(F.lit(1))).alias("suffix_log"))
-    fit_on = training.join(rates, "suffix").join(counts, "suffix", "left").fillna({"suffix_log": 0.0})
+def _score(pages: DataFrame, training: DataFrame, share: float) -> DataFrame:
+    """``pages`` plus ``score``, the probability of block; ``share`` where there is nothing to learn."""
+    if training.select("label").distinct().count() < 2:
+        return pages.withColumn("score", F.lit(float(share)))
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="features")
-    model = trees.fit(materialize(assembler.transform(fit_on).select("features", "label")))
+    model = trees.fit(materialize(assembler.transform(training).select("features", "label")))
     return model.transform(assembler.transform(pages)).withColumn(
         "score", F.get(vector_to_array("probability"), F.lit(1)))

@@ -97,6 +97,14 @@ def test_held_out_accuracy(spark):
     assert right / 300 >= 0.95
 
 
+def test_suffix_rates_use_all_labels_not_the_fitting_sample(spark):
+    # only the suffix tells: of 80 suffixes with ten urls each, every second is blocked
+    rows = [(i, f"http://www.site{i % 80:02d}.net/{i // 80}", i % 2) for i in range(800)]
+    df = spark.createDataFrame(rows, "page_id long, url string, label int")
+    got = url_filter.judge(df, df.select("url", "label"), [], train_rows=120).collect()
+    assert all((r.verdict == "block") == (r.page_id % 2 == 1) for r in got) and len(got) == 800
+
+
 def test_longest_processing_time():
     assert sharding.schedule([7, 7, 6, 6, 5, 4, 4, 3, 3], 3) == [0, 1, 2, 2, 0, 1, 1, 0, 2]
     sizes = [random.Random(2).randrange(1, 100) for _ in range(200)]
