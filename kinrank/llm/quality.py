@@ -5,8 +5,10 @@
 2. Lines are normalised (ASCII white space trimmed and folded, A-Z lowered)
    and hashed.  For every (host, line) the distinct documents are counted.
    A copy of a document is no further evidence that a line is boilerplate,
-   so documents count as one when their smallest *other* line hash is equal:
-   two near copies share it unless that very line was edited.
+   so documents whose normalised lines are all equal count as one.  With
+   ``by_line`` (the rule of the registered query's SQL) documents count as one
+   when their smallest *other* line hash is equal: near copies share it unless
+   that very line was edited, but so do different pages that share two lines.
 3. Lines found in more than ``max(min_docs, share * documents of the host)``
    distinct documents are removed; a document left with less than
    ``min_left`` of its words is rejected.
@@ -106,8 +108,13 @@ def base_figures(docs: DataFrame) -> DataFrame:
     )
 
 
-def _host_lines(rows: DataFrame) -> DataFrame:
-    """One row per line with words: (uid, host, line, n words, context)."""
+def _host_lines(rows: DataFrame, by_line: bool = False) -> DataFrame:
+    """One row per line with words: (uid, host, line, n words, context);
+    ``context`` tells distinct documents apart."""
+    if not by_line:
+        text = F.xxhash64(F.transform("lines", lambda x: x["h"])).alias("context")
+        each = rows.select("uid", F.xxhash64("host").alias("host"), text, F.explode("lines").alias("x"))
+        return each.select("uid", "host", F.col("x.h").alias("line"), F.col("x.n").alias("n"), "context")
     order = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["h"])))
     got = rows.select("uid", F.xxhash64("host").alias("host"), "lines", F.slice(order, 1, 2).alias("low"))
     flat = got.select("uid", "host", "low", F.explode("lines").alias("x"))
@@ -137,7 +144,7 @@ def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHA
 
 
 def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE,
-           min_left: float = MIN_LEFT, keep_text: bool = True) -> DataFrame:
+           min_left: float = MIN_LEFT, keep_text: bool = True, by_line: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``row`` (its columns but ``text``),
     ``text`` (null unless ``keep_text``), the base figures, ``removed_words``
     (in frequent lines), ``boilerplate`` (their hashes) and ``kept``.
@@ -148,7 +155,7 @@ def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, shar
     named = docs.select(packed(docs, "text"), F.col(host).alias("host"), "text")
     figures = base_figures(named).withColumn("uid", F.monotonically_increasing_id())
     rows = materialize(figures if keep_text else figures.withColumn("text", F.lit(None).cast("string")))
-    found = _host_lines(rows)
+    found = _host_lines(rows, by_line)
     frequent = frequent_lines(found, min_docs, share)
     removed = _matching(found, frequent, frequent.count()).groupBy("uid").agg(
         F.sum("n").alias("removed_words"), F.collect_set("line").alias("boilerplate")

@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op9_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return quality.assess(docs, keep_text=False).select(
+    return quality.assess(docs, keep_text=False, by_line=True).select(  # the SQL's rule of copies
         F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words", "base_failed", "kept", F.col("removed_words").cast("long").alias("removed_words"),
     )

@@ -87,3 +87,13 @@ def test_short_passages_go_whole_like_brute_force(docs_of):
     assert clean == brute_passages(rows)
     df = docs_of(AWKWARD, clash=True)
     assert line_dedup.passages(df).count() == len(AWKWARD) and line_dedup.passages(docs_of([])).collect() == []
+
+
+def test_pages_of_template_and_one_own_line_are_distinct(docs_of):
+    template = [f"template line number {j} of every page" for j in range(50)]
+    rows = [(i, "\n".join([*template, f"own line {i} of this page"]), "h") for i in range(60)]
+    rows += [(100 + i, "\n".join(["copied line a", "copied line b", "own words"]), "h") for i in range(60)]
+    got = {r.row.doc_id: r for r in quality.assess(docs_of(rows)).collect()}
+    # all fifty lines go, whatever the hashes, and the page is depleted
+    assert all(got[i].removed_words == 350 and not got[i].kept for i in range(60))
+    assert all(got[100 + i].removed_words == 0 for i in range(60))
