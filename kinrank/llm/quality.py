@@ -176,7 +176,8 @@ def without_lines(text: Column, hashes: Column) -> Column:
 
 def clean(docs: DataFrame, host: str = "source") -> DataFrame:
     """Kept documents without their boilerplate lines, columns as given
-    (``n_chars``, if there, is that of the new text)."""
-    fine = assess(docs, host).filter("kept")
+    (``n_chars``, if there, is that of the new text).  The limit is ``MIN_DOCS``
+    distinct documents for every host: a share would spare the lines of a hot one."""
+    fine = assess(docs, host, share=0.0).filter("kept")
     fine = fine.withColumn("text", without_lines(F.col("text"), F.col("boilerplate")))
     return unpacked(fine, docs, text=F.col("text"), n_chars=F.length("text").cast("long"))

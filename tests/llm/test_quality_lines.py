@@ -97,3 +97,10 @@ def test_pages_of_template_and_one_own_line_are_distinct(docs_of):
     # all fifty lines go, whatever the hashes, and the page is depleted
     assert all(got[i].removed_words == 350 and not got[i].kept for i in range(60))
     assert all(got[100 + i].removed_words == 0 for i in range(60))
+
+
+def test_hot_host_loses_its_boilerplate_with_production_parameters(docs_of):
+    body = lambda i: " ".join(f"word{i}x{j}" for j in range(12))
+    rows = [(i, ("share this page\n" if i < 25 else "") + body(i), "hot") for i in range(1500)]
+    clean = {r.doc_id: r.text for r in quality.clean(docs_of(rows)).collect()}
+    assert clean == {i: body(i) for i in range(1500)}
