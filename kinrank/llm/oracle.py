@@ -118,3 +118,65 @@ select d.doc_id, coalesce(len(any_value(d.lines)), 0)::bigint as n_lines, count(
        sha256(coalesce(string_agg(chunk, chr(10) order by idx) filter (where seen = 1), '')) as clean_sha256
 from d left join r on r.uid = d.uid group by d.uid, d.doc_id
 """
+
+SQL["op11_filter_audit"] = rf"""
+with recursive l(f) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+o(filter_order, k) as (
+  select f, 1 from l
+  union all select o.filter_order || l.f, k + 1 from o join l on not contains(o.filter_order, l.f) where k < 5),
+t as (
+  select row_number() over () as uid, doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+         regexp_extract_all(coalesce(text, ''), '{_WORD}') as w
+  from documents),
+m as (
+  select uid, part,
+    len(w) < 50 as a, 100 * len(list_distinct(w)) < 65 * len(w) as b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) as c,
+    regexp_matches(text, '[#$%&*|]') as d,
+    coalesce(min(doc_id) over (partition by text) < doc_id, false) as e,
+    exists (select 1 from labels x where x.doc_id = t.doc_id and x.quality = 1) as good,
+    exists (select 1 from labels x where x.doc_id = t.doc_id and x.toxic = 1) as toxic
+  from t),
+p as (
+  select part, good, toxic,
+         case when a then 'A' else '' end || case when b then 'B' else '' end || case when c then 'C' else '' end
+         || case when d then 'D' else '' end || case when e then 'E' else '' end as fails, count(*) as n
+  from m group by all),
+s as (
+  select part, filter_order, step, filter_order[step] as own,
+         fails, n, good, toxic, contains(fails, filter_order[step]) as failing,
+         regexp_matches(fails, '[' || filter_order[:step - 1] || '0]') as gone
+  from p, (select filter_order, unnest(range(1, 6)) as step from o where k = 5)),
+g as (
+  select part, filter_order, step, own,
+    sum(case when not gone and not failing then n else 0 end)::bigint as kept,
+    sum(case when not gone and failing then n else 0 end)::bigint as removed,
+    sum(case when gone and failing then n else 0 end)::bigint as redundant,
+    sum(case when fails = own then n else 0 end)::bigint as unique_fails,
+    sum(case when not gone and failing and good then n else 0 end)::bigint as good_lost,
+    sum(case when not gone and failing and toxic then n else 0 end)::bigint as toxic_lost
+  from s group by all)
+select part, filter_order, step::integer as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by part, own))::bigint as shapley
+from g
+"""
+
+SQL["op12_substring_dedup"] = rf"""
+with d as (
+  select row_number() over (order by doc_id) as uid, doc_id,
+         regexp_extract_all(coalesce(text, ''), '{_WORD}') as w
+  from documents),
+v as (
+  select uid, i, array_to_string(list_slice(w, i, i + 19), ' ') as g
+  from (select uid, w, unnest(range(1, greatest(len(w) - 18, 1))) as i from d) t),
+r as (select uid, i, row_number() over (partition by g order by uid, i) as k from v),
+x as (select distinct uid, unnest(range(i, i + 20)) as pos from r where k > 1),
+k as (
+  select uid, count(*) - count(gone) as left_, count(gone) as gone,
+         coalesce(string_agg(word, ' ' order by pos) filter (where gone is null), '') as kept
+  from (select d.uid, e.pos, d.w[e.pos] as word, x.pos as gone
+        from d, unnest(range(1, len(d.w) + 1)) as e(pos) left join x on x.uid = d.uid and x.pos = e.pos) t
+  group by uid)
+select doc_id, len(w)::bigint as n_words, coalesce(gone, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join k using (uid)
+"""

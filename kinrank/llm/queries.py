@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinrank.llm import (
-    chat, decontaminate, line_dedup, mixing, near_dedup, pii, quality, sharding, token_files, url_filter,
+    chat, decontaminate, filter_audit, line_dedup, mixing, near_dedup, pii, quality, sharding, substring_dedup,
+    token_files, url_filter, whitening,
 )
 from kinrank.plans.context import materialize, shared_dir
 
@@ -123,3 +124,22 @@ def op6_url_filter(spark, sf_dir):
     number = F.regexp_extract(url_filter.path_of(F.col("url")), "/([0-9]{1,18})", 1).try_cast("long")
     labelled = pages.withColumn("doc_id", number).join(bad, "doc_id").select("url", "label")
     return url_filter.judge(pages, labelled, URL_RULES).withColumn("score", F.round("score", 6))
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+@query
+def op12_substring_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substring_dedup.assess(docs, keep_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
