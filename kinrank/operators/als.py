@@ -12,8 +12,10 @@ Differences from a plain ``ALS().fit``:
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
@@ -24,7 +26,7 @@ from kinrank import ITEM, RATING, USER
 from kinrank.functions.columns import split_hash, tie_key
 from kinrank.functions.ranking import global_row_number, group_row_number, top_k_per_group
 from kinrank.operators.prepare import drop_time
-from kinrank.plans.context import partition_count
+from kinrank.plans.context import discard, materialize, partition_count
 
 INT_MAX = 2**31 - 1
 INT_MIN = -(2**31)
@@ -133,6 +135,73 @@ def grid_search(
     return AlsFit(cv_model.bestModel, codec, results)
 
 
+FOLD_TABLE = "fold int, rank int, max_iter int, reg_param double, squared_error double, n bigint"
+
+
+def fold_table(
+    train: DataFrame, ranks=(10,), max_iters=(5,), reg_params=(0.1,), num_folds: int = 2,
+    parallelism: int = 2, seed: int = 12345, predictions: str | None = None,
+) -> DataFrame:
+    """AL2 + AL3 as an evaluation table: one row per fold and grid point with the
+    sum of squared errors and the number of scored rows of the held-out fold.
+
+    Folds are those of ``grid_search`` (a hash of the row).  Each error is a
+    partial aggregate of the fold's predictions; fold curves, their means and the
+    best point are SQL over this table (``fold_curve``, ``mean_curve``), where a
+    cross-validator keeps only one mean per point.  The fold's rows are written
+    once and read by all its fits.  ``predictions``: a folder that
+    also gets every scored row, partitioned by fold and grid point.
+    """
+    from itertools import product
+
+    train = drop_time(train)
+    codec = id_codec(train)
+    blocks = partition_count(train.sparkSession)
+    fold = (split_hash(USER, ITEM, seed + 1) % num_folds).cast("int")
+    coded = materialize(encode(train, codec).withColumn("_fold", fold), by=["_fold"])
+
+    def evaluate(job: tuple) -> tuple:
+        held_out, rank, max_iter, reg = job
+        model = estimator(rank, max_iter, reg, seed, blocks).fit(coded.filter(F.col("_fold") != held_out))
+        scored = model.transform(coded.filter(F.col("_fold") == held_out))
+        if predictions:
+            point = f"fold={held_out}/rank={rank}/max_iter={max_iter}/reg_param={reg}"
+            path = f"{predictions.rstrip('/')}/{point}"
+            scored.select(USER, ITEM, RATING, "prediction").write.mode("overwrite").parquet(path)
+            scored = train.sparkSession.read.parquet(path)
+        error = F.pow(F.col(RATING) - F.col("prediction"), 2)
+        row = scored.agg(F.sum(error).alias("squared_error"), F.count(F.lit(1)).alias("n")).first()
+        return (held_out, rank, max_iter, float(reg), row.squared_error, row.n)
+
+    jobs = list(product(range(num_folds), ranks, max_iters, reg_params))
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        rows = list(pool.map(inheritable_thread_target(train.sparkSession)(evaluate), jobs))
+    discard(coded)
+    # One row per fold and grid point: bounded by the grid.
+    return train.sparkSession.createDataFrame(rows, FOLD_TABLE)
+
+
+POINT = ("rank", "max_iter", "reg_param")
+
+
+def fold_curve(table: DataFrame) -> DataFrame:
+    """EX3: ``(fold, rank, max_iter, reg_param, n, rmse)``, null where a fold scored no row."""
+    return table.select("fold", *POINT, "n", F.sqrt(F.col("squared_error") / F.nullif("n", F.lit(0))).alias("rmse"))
+
+
+def mean_curve(table: DataFrame) -> DataFrame:
+    """EX4 for the factor model: the fold curves' mean per grid point, ``(rank, max_iter, reg_param, rmse)``."""
+    return fold_curve(table).groupBy(*POINT).agg(F.avg("rmse").alias("rmse"))
+
+
+def fit_best(train: DataFrame, table: DataFrame, seed: int = 12345) -> AlsFit:
+    """EX5: a fit on all of ``train`` at the grid point with the lowest mean error (ties:
+    the smaller rank, iterations and regularisation)."""
+    best = mean_curve(table).orderBy(tie_key("rmse"), *POINT).first()
+    fitted = fit(train, best.rank, best.max_iter, best.reg_param, seed)
+    return fitted._replace(results=mean_curve(table))
+
+
 def predict(fitted: AlsFit, frame: DataFrame) -> DataFrame:
     """AL4: ``frame`` + ``predicted_rating``; cold-start rows dropped."""
     coded = encode(drop_time(frame), fitted.codec).dropna(subset=[f"_{USER}_int", f"_{ITEM}_int"])
@@ -152,15 +221,14 @@ def rankings(scored: DataFrame, pred: str = "predicted_rating", k: int | None =
 
     With ``k`` (MT6) only items in either top-k survive, the other rank
     being null when beyond k; without ``k`` both full rankings, numbered
-    without a per-user task.
+    without a per-user task: the rows are numbered by rating, and that numbered
+    table, which carries the truth rank, is numbered once more by prediction.
     """
     rows = scored.select(USER, ITEM, RATING, pred)
     if k is None:
-        by_pred = group_row_number(rows, [USER], PRED_ORDER(pred), name="pred_rank")
         by_truth = group_row_number(rows, [USER], truth_order(), name="truth_rank")
-        return by_pred.select(USER, ITEM, "pred_rank").join(
-            by_truth.select(USER, ITEM, "truth_rank"), [USER, ITEM]
-        )
+        both = group_row_number(by_truth, [USER], PRED_ORDER(pred), name="pred_rank")
+        return both.select(USER, ITEM, "pred_rank", "truth_rank")
     by_pred = top_k_per_group(rows, [USER], PRED_ORDER(pred), k, name="pred_rank")
     by_truth = top_k_per_group(rows, [USER], truth_order(), k, name="truth_rank")
     return by_pred.select(USER, ITEM, "pred_rank").join(

@@ -4,6 +4,8 @@ Model (all long-form DataFrames, nothing dense, nothing on the driver):
 
 * ``means``    (user_id, user_mean)
 * ``centered`` (item_id, user_id, rating_norm)   rating - user mean
+* ``rated``    (_v, item_id, _x)                 the same, one row per (user,
+  item): duplicates averaged (NB9)
 * ``top``      (i, j, value, row_number)         up to ``max_neighbors``
   most similar j per i, i < j (upper triangle, as a column-similarity
   matrix reports it) unless ``symmetric``.
@@ -21,16 +23,20 @@ catalogue get a null prediction.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinrank import ITEM, RATING, USER
 from kinrank.functions import metrics
 from kinrank.functions.columns import tie_key
+from kinrank.functions.joins import ROWS_PER_TASK, loads_of, measure, split_join
 from kinrank.functions.ranking import global_row_number, top_k_per_group
-from kinrank.plans.context import materialize
+from kinrank.operators.similarity import blocked_top_neighbors
+from kinrank.plans.context import materialize, materialize_bucketed, partition_count
 
 # Default value the padded (absent) users of 1..max user id receive.
 GAP_USER_RATING = 0.5
@@ -41,6 +47,7 @@ class NeighborModel(NamedTuple):
     centered: DataFrame
     top: DataFrame
     catalogue: DataFrame
+    rated: DataFrame | None = None
 
 
 def user_mean(train: DataFrame) -> DataFrame:
@@ -127,22 +134,23 @@ def top_neighbors(sim: DataFrame, max_neighbors: int = 100, symmetric: bool = Fa
 
 
 def fit(train: DataFrame, max_neighbors: int = 100, symmetric: bool = False,
-        salt_buckets: int | str = "auto") -> NeighborModel:
-    """NB1-NB4 as one lazy model (callers may materialise ``top``)."""
-    means = user_mean(train)
-    centered = center(train, means)
-    top = top_neighbors(user_similarity(centered, salt_buckets), max_neighbors, symmetric)
-    return NeighborModel(means, centered, top, train.select(ITEM).distinct())
-
-
-def fit_materialized(train: DataFrame, max_neighbors: int = 100, symmetric: bool = False,
-                     salt_buckets: int | str = "auto") -> NeighborModel:
-    """NB1-NB4 with the means and centred ratings written first, so the
-    similarity is computed from them rather than re-aggregated."""
+        blocks: int | None = None) -> NeighborModel:
+    """NB1-NB4, NB9: the model as written tables, so that every use starts from files.
+
+    The neighbour lists come from pairs of user blocks, without a pair table
+    (``operators.similarity``).  ``top`` and ``rated`` are bucketed and sorted by
+    the user they are looked up by: predictions with another neighbour count, or
+    of another frame, join them without shuffling them again.
+    """
     means = materialize(user_mean(train))
     centered = materialize(center(train, means))
-    top = materialize(top_neighbors(user_similarity(centered, salt_buckets), max_neighbors, symmetric))
-    return NeighborModel(means, centered, top, materialize(train.select(ITEM).distinct()))
+    top = materialize_bucketed(blocked_top_neighbors(centered, max_neighbors, symmetric, blocks), "i")
+    rated = materialize_bucketed(neighbor_ratings(centered), "_v")
+    return NeighborModel(means, centered, top, materialize(train.select(ITEM).distinct()), rated)
+
+
+#: The name under which the written fit was known.
+fit_materialized = fit
 
 
 def with_top(model: NeighborModel, top: DataFrame) -> NeighborModel:
@@ -185,45 +193,67 @@ def dedup_ratings(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy(USER, ITEM).agg(F.avg(RATING).alias(RATING))
 
 
-def _neighbor_ratings(model: NeighborModel) -> DataFrame:
-    """Centred ratings of the prediction side, duplicates of a (user, item) averaged."""
-    return model.centered.groupBy(F.col(USER).alias("_v"), ITEM).agg(F.avg("rating_norm").alias("_x"))
+def neighbor_ratings(centered: DataFrame) -> DataFrame:
+    """``(_v, item_id, _x)``: centred ratings of the prediction side, duplicates of a (user, item) averaged."""
+    return centered.groupBy(F.col(USER).alias("_v"), ITEM).agg(F.avg("rating_norm").alias("_x"))
 
 
-def _active(model: NeighborModel, n: int, keep_rank: bool = False) -> DataFrame:
-    cols = [F.col("i").alias(USER), F.col("j").alias("_v"), F.col("value").alias("_sim")]
-    if keep_rank:
-        cols.append(F.col("row_number").alias("_r"))
-    return active_neighbors(model.top, n).select(*cols)
+def _rated(model: NeighborModel) -> DataFrame:
+    return neighbor_ratings(model.centered) if model.rated is None else model.rated
 
 
-def predict(model: NeighborModel, pairs: DataFrame, n: int) -> DataFrame:
-    """NB10 + NB13: ``pairs`` plus a ``prediction`` column.
+def _active(model: NeighborModel, n: int) -> DataFrame:
+    return active_neighbors(model.top, n).select(
+        F.col("i").alias(USER), F.col("j").alias("_v"), F.col("value").alias("_sim"), F.col("row_number").alias("_r"))
 
-    Only the asked pairs are scored: pairs x active neighbours, joined on
-    (neighbour, item) to the neighbours' centred ratings, summed per pair.
-    A user without training ratings, but with an id up to the largest one,
-    counts as padded with one low rating: ``GAP_USER_RATING`` for known items.
+
+def _contributions(model: NeighborModel, keys: DataFrame, n: int) -> DataFrame:
+    """``(user_id, item_id, _r, _c)``: what each of the first ``n`` neighbours adds
+    to the asked pairs ``keys`` (distinct): asked pairs x neighbours, joined on
+    (neighbour, item) to the neighbours' centred ratings.
+
+    A user who asks for very many items is split by its own rows; a hub, a user
+    that very many others have as neighbour, by the rows that ask for it.
+    """
+    active = _active(model, n)
+    asks = keys.groupBy(USER).agg(F.count(F.lit(1)).alias("_l"))
+    degrees = active.groupBy(USER).agg(F.count(F.lit(1)).alias("_r"))
+    own = loads_of(asks.join(degrees, USER), USER)
+    # Without a hot user the bucketed lists stay where they are.
+    asked = keys.join(active, USER) if own.hot is None else split_join(keys, active, [USER], USER, own)
+    hubs = own._replace(hot=None)
+    if own.total > ROWS_PER_TASK:
+        wanted = active.join(asks, USER).groupBy("_v").agg(F.sum("_l").alias("_l")).withColumn("_r", F.lit(1))
+        hubs = loads_of(wanted, "_v")
+    return split_join(asked, _rated(model), ["_v", ITEM], "_v", hubs).select(
+        USER, ITEM, "_r", (F.col("_sim") * F.col("_x")).alias("_c"))
+
+
+def _scored(model: NeighborModel, pairs: DataFrame, sums: DataFrame):
+    """``pairs`` with the columns of ``sums``, and the rule that makes a prediction
+    of such a sum: the user's mean plus it; for a user without training ratings,
+    but with an id up to the largest one, ``GAP_USER_RATING`` (such a user counts
+    as padded with one low rating); null for items outside the catalogue.
     """
-    keys = pairs.select(USER, ITEM).distinct()
-    asked = keys.join(_active(model, n), USER)
-    contrib = (
-        asked
-        .join(_neighbor_ratings(model), ["_v", ITEM])
-        .groupBy(USER, ITEM)
-        .agg(F.sum(F.col("_sim") * F.col("_x")).alias("_s"))
-    )
     known = model.catalogue.withColumn("_known", F.lit(True))
-    out = (
-        pairs.join(model.means, USER, "left")
-        .join(contrib, [USER, ITEM], "left")
-        .join(known, ITEM, "left")
-    )
-    top_id = model.means.agg(F.max(USER)).scalar()
-    padded = F.when(F.col(USER).between(F.lit(1), top_id), F.lit(GAP_USER_RATING))
-    own = F.col("user_mean") + F.coalesce(F.col("_s"), F.lit(0.0))
-    pred = F.when(F.col("_known"), F.coalesce(own, padded))
-    return out.withColumn("prediction", pred).drop("user_mean", "_s", "_known")
+    out = pairs.join(model.means, USER, "left").join(sums, [USER, ITEM], "left").join(known, ITEM, "left")
+    padded = F.when(F.col(USER).between(F.lit(1), F.col("_top_id")), F.lit(GAP_USER_RATING))
+    # One row of one value; a literal in every task's plan.
+    out = out.withColumn("_top_id", model.means.agg(F.max(USER)).scalar())
+
+    def prediction(total: Column) -> Column:
+        own = F.col("user_mean") + F.coalesce(total, F.lit(0.0))
+        return F.when(F.col("_known"), F.coalesce(own, padded))
+
+    return out, prediction, ("user_mean", "_known", "_top_id")
+
+
+def predict(model: NeighborModel, pairs: DataFrame, n: int) -> DataFrame:
+    """NB10 + NB13: ``pairs`` plus a ``prediction`` column; only the asked pairs are scored."""
+    contributions = _contributions(model, pairs.select(USER, ITEM).distinct(), n)
+    sums = contributions.groupBy(USER, ITEM).agg(F.sum("_c").alias("_s"))
+    out, prediction, working = _scored(model, pairs, sums)
+    return out.withColumn("prediction", prediction(F.col("_s"))).drop("_s", *working)
 
 
 def recommend(model: NeighborModel, users: DataFrame, n: int, k: int) -> DataFrame:
@@ -233,20 +263,24 @@ def recommend(model: NeighborModel, users: DataFrame, n: int, k: int) -> DataFra
     neighbour rated score exactly the user's mean; they are not
     enumerated.  In id-descending catalogue order (position d = 1, 2, ...)
     the best such "fill" items of a user are the first k positions not
-    taken by one of the user's c candidates (items some neighbour rated).
-    The k-th free position is at most P = k + (candidates at positions
-    <= k + c), so positions 1..P are generated per user, joined to the
-    numbered catalogue and the candidates among them removed.  Work is
-    linear in the candidates plus k per user; there is no user x catalogue
-    product.  Order: rounded score desc, then item desc.
+    taken by one of the user's candidates (items some neighbour rated).
+    The r-th candidate position d has d - r free positions before it, so the
+    candidates with d - r < k are those among the first P = k + (their number)
+    positions; 1..P without them are the fill.  Work is linear in the
+    candidates plus k per user; there is no user x catalogue product.
+    Order: rounded score desc, then item desc.
+
+    The join of neighbour lists with ratings multiplies rows: it is spread by
+    its measured output, hub neighbours over several tasks.
     """
     who = users.select(USER).distinct().join(model.means, USER)
     lists = who.select(USER).join(_active(model, n), USER)
-    # Read three times below (scores, counts, positions): written once to
-    # the checkpoint folder instead of re-running the join-aggregate.
+    rated = _rated(model)
+    loads = measure(lists, rated, "_v")
+    parts = max(partition_count(users.sparkSession), loads.partitions)
+    # Read twice below (scores, positions), so written once.
     cand = materialize(
-        lists
-        .join(_neighbor_ratings(model), "_v")
+        split_join(lists, rated, ["_v"], "_v", loads)
         .groupBy(USER, ITEM)
         .agg(F.sum(F.col("_sim") * F.col("_x")).alias("_s"))
     )
@@ -256,22 +290,19 @@ def recommend(model: NeighborModel, users: DataFrame, n: int, k: int) -> DataFra
     # Catalogue numbered by id desc: one row per item (AQE broadcasts it
     # when its measured size allows, else a shuffle join on item).
     positions = global_row_number(model.catalogue, [F.col(ITEM).desc()], name="_d")
-    cand_pos = cand.select(USER, ITEM).join(positions, ITEM)
-    counts = cand.groupBy(USER).agg(F.count(F.lit(1)).alias("_c"))
+    by_position = Window.partitionBy(USER).orderBy("_d")
     near = (
-        cand_pos.join(counts, USER)
-        .filter(F.col("_d") <= F.col("_c") + k)
-        .select(USER, "_d")
+        cand.select(USER, ITEM).join(positions, ITEM).select(USER, "_d")
+        .withColumn("_r", F.row_number().over(by_position))
+        .filter(F.col("_d") - F.col("_r") < k)
     )
-    bound = near.groupBy(USER).agg(F.count(F.lit(1)).alias("_m"))
+    taken = near.groupBy(USER).agg(F.collect_list("_d").alias("_taken"))
+    free = F.array_except(F.sequence(F.lit(1).cast("bigint"), F.size("_taken") + F.lit(k).cast("bigint")), "_taken")
     fill = (
-        who.join(bound, USER, "left")
-        .select(
-            USER, "user_mean",
-            F.explode(F.sequence(F.lit(1).cast("bigint"),
-                                 (F.coalesce(F.col("_m"), F.lit(0)) + k).cast("bigint"))).alias("_d"),
-        )
-        .join(near, [USER, "_d"], "left_anti")
+        who.join(taken, USER, "left")
+        .withColumn("_taken", F.coalesce("_taken", F.array().cast("array<bigint>")))
+        .repartition(parts, USER)
+        .select(USER, "user_mean", F.explode(free).alias("_d"))
         .join(positions, "_d")
         .select(USER, ITEM, F.col("user_mean").alias("score"))
     )
@@ -324,58 +355,74 @@ def coverage(model: NeighborModel, frame: DataFrame, n: int, k: int) -> DataFram
     return metrics.coverage(recs, frame)
 
 
-def sweep_predictions(model: NeighborModel, frame: DataFrame, max_n: int) -> DataFrame:
-    """Predictions of every row of ``frame`` for each neighbour count 1..max_n.
-
-    Each scored pair gets its per-neighbour contributions; a running sum
-    over the neighbour number gives the prediction at every n (at n the
-    last neighbour numbered <= n counts; none -> 0).  Each contribution row
-    is expanded over the n values it holds for (up to the next neighbour
-    that contributes) and joined to the rows x 1..max_n grid.  Extra
-    columns of ``frame`` are carried along.
+def coverages(model: NeighborModel, frames: Mapping[str, DataFrame], n: int, k: int) -> dict[str, DataFrame]:
+    """NB16 for several frames: the lists of all their users are made once."""
+    users = reduce(DataFrame.unionByName, [f.select(USER) for f in frames.values()]).distinct()
+    recs = materialize(recommend(model, users, n, k).select(USER, ITEM))
+    return {
+        name: metrics.coverage(recs.join(f.select(USER).distinct(), USER, "left_semi"), f)
+        for name, f in frames.items()
+    }
+
+
+def _curves(model: NeighborModel, frame: DataFrame, max_n: int):
+    """``frame`` with ``_curve``, the prefix sums of each row's contributions for
+    1..max_n neighbours (null: none), and the prediction rule.
+
+    The prefix sums are ``max_n`` partial aggregates of one pass over the
+    contributions: a pair is one row with one array, however many neighbour
+    counts are asked for.
     """
-    from pyspark.sql import Window
-
-    keys = frame.select(USER, ITEM).distinct()
-    asked = keys.join(_active(model, max_n, keep_rank=True), USER)
-    contrib = (
-        asked
-        .join(_neighbor_ratings(model), ["_v", ITEM])
-        .select(USER, ITEM, "_r", (F.col("_sim") * F.col("_x")).alias("_c"))
-    )
-    w = Window.partitionBy(USER, ITEM).orderBy("_r")
-    spans = (
-        contrib.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_next", F.lead("_r").over(w))
-        .select(
-            USER, ITEM, "_cum",
-            F.explode(F.sequence(F.col("_r"), F.coalesce(F.col("_next") - 1, F.lit(max_n)))).alias("n"),
-        )
-    )
-    known = model.catalogue.withColumn("_known", F.lit(True))
-    grid = (
-        frame.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(max_n))))
-        .join(model.means, USER, "left")
-        .join(known, ITEM, "left")
-    )
-    pred = F.when(F.col("_known"), F.col("user_mean") + F.coalesce(F.col("_cum"), F.lit(0.0)))
-    return (
-        grid.join(spans, [USER, ITEM, "n"], "left")
-        .withColumn("prediction", pred)
-        .drop("user_mean", "_known", "_cum")
-    )
+    contributions = _contributions(model, frame.select(USER, ITEM).distinct(), max_n)
+    upto = [F.sum(F.when(F.col("_r") <= i, F.col("_c")).otherwise(0.0)).alias(f"_s{i}") for i in range(1, max_n + 1)]
+    sums = contributions.groupBy(USER, ITEM).agg(*upto).select(
+        USER, ITEM, F.array(*[f"_s{i}" for i in range(1, max_n + 1)]).alias("_curve"))
+    return _scored(model, frame, sums)
+
+
+def _numbered(curve: DataFrame, max_n: int, *carried: str) -> DataFrame:
+    """One row per neighbour count, ``n`` and its sum ``_s``."""
+    none = F.array_repeat(F.lit(0.0), max_n)
+    return curve.select(*carried, F.posexplode(F.coalesce("_curve", none)).alias("_at", "_s")).withColumn(
+        "n", F.col("_at") + 1).drop("_at")
+
+
+def sweep_predictions(model: NeighborModel, frame: DataFrame, max_n: int) -> DataFrame:
+    """Predictions of every row of ``frame`` for each neighbour count 1..max_n,
+    by the same rule as ``predict``.  Rows are multiplied only here, after the
+    one join of the arrays.  Extra columns of ``frame`` are carried along."""
+    out, prediction, working = _curves(model, frame, max_n)
+    rows = _numbered(out, max_n, *frame.columns, *working)
+    return rows.withColumn("prediction", prediction(F.col("_s"))).drop("_s", *working)
+
+
+def _error_curve(curves: DataFrame, prediction, max_n: int, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., n, rmse)`` from the arrays: ``max_n`` averages per group, no row multiplied."""
+    at = [F.coalesce(F.get("_curve", F.lit(i)), F.lit(0.0)) for i in range(max_n)]
+    errors = [F.avg(F.pow(F.col(RATING) - prediction(s), 2)).alias(f"_e{i}") for i, s in enumerate(at)]
+    rows = [F.struct(F.lit(i + 1).alias("n"), F.sqrt(f"_e{i}").alias("rmse")) for i in range(max_n)]
+    return curves.groupBy(*by).agg(*errors).select(*by, F.inline(F.array(*rows))).filter("rmse is not null")
+
+
+def error_curve(model: NeighborModel, frame: DataFrame, max_n: int, by: Sequence[str] = ()) -> DataFrame:
+    """RMSE for every neighbour count 1..max_n, per group of ``by``: ``(by..., n, rmse)``."""
+    out, prediction, _ = _curves(model, frame, max_n)
+    return _error_curve(out, prediction, max_n, by)
 
 
 def sweep(model: NeighborModel, frame: DataFrame, max_n: int, k: int) -> DataFrame:
     """EX1: RMSE and precision@k for every neighbour count 1..max_n, one job
     (instead of max_n refits): ``(n, rmse, precision)``.
 
-    The truth top-k does not depend on n: it is cut once per user and
-    joined to the per-(n, user) predicted top-k.
+    The rows and their arrays are written once.  The errors are averages over
+    the arrays; the predicted top-k per neighbour count is cut inside the tasks
+    before it is shuffled, and the truth top-k, which does not depend on n, once.
     """
     rows = frame.select(USER, ITEM, RATING)
-    preds = sweep_predictions(model, rows, max_n)
-    err = metrics.rmse_by(preds, "n")
+    out, prediction, working = _curves(model, rows, max_n)
+    out = materialize(out)
+    err = _error_curve(out, prediction, max_n)
+    preds = _numbered(out, max_n, USER, ITEM, RATING, *working).withColumn("prediction", prediction(F.col("_s")))
     truth = top_k_per_group(rows, [USER], truth_order(), k).select(USER, ITEM)
     guess = top_k_per_group(preds, ["n", USER], pred_order(), k).select("n", USER, ITEM)
     hits = guess.join(truth, [USER, ITEM]).groupBy("n").agg(F.count(F.lit(1)).alias("_h"))

@@ -7,6 +7,8 @@ hash split -> four ordered semi-joins.  Each step is also exposed on its own.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +63,9 @@ def assign_split(
     return clean.withColumn("is_train", in_train(user, item, seed, train_tenths))
 
 
-def _keys(df: DataFrame, key: str) -> DataFrame:
+def _keys(df: DataFrame, keys: list[str]) -> DataFrame:
     # Deduplicated before the shuffle: a hot key sends one row per map task.
-    return df.select(key).distinct()
+    return df.select(*keys).distinct()
 
 
 def split(
@@ -77,15 +79,45 @@ def split(
     return split_flagged(assign_split(clean, seed, train_tenths, user, item), user, item)
 
 
-def split_flagged(flagged: DataFrame, user: str = USER, item: str = ITEM) -> tuple[DataFrame, DataFrame]:
-    """PR8 on rows already carrying ``is_train``."""
+def split_flagged(flagged: DataFrame, user: str = USER, item: str = ITEM,
+                  by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """PR8 on rows already carrying ``is_train``, for each value of ``by`` apart."""
+    users, items = [*by, user], [*by, item]
     train0 = flagged.filter("is_train").drop("is_train")
     test0 = flagged.filter(~F.col("is_train")).drop("is_train")
-    train = train0.join(_keys(test0, user), user, "left_semi").join(_keys(test0, item), item, "left_semi")
-    test = test0.join(_keys(train, user), user, "left_semi").join(_keys(train, item), item, "left_semi")
+    train = train0.join(_keys(test0, users), users, "left_semi").join(_keys(test0, items), items, "left_semi")
+    test = test0.join(_keys(train, users), users, "left_semi").join(_keys(train, items), items, "left_semi")
     return train, test
 
 
+def nested_samples(ratings: DataFrame, items: DataFrame, sizes: Sequence[int],
+                   order=(TS, USER, ITEM)) -> DataFrame:
+    """PR1-PR6 for several sample sizes from one numbering: ``sample_size`` plus
+    the rating's columns.
+
+    The samples are prefixes of one order.  The rows are numbered once; a row's
+    number says which sizes hold it.  A user's (item's) count in every size comes
+    from one partial aggregate with a sum per size, and a row goes on into
+    those sizes where neither is single: no size is prepared on its own.
+    """
+    numbered = global_row_number(ratings, list(order), name="_rn")
+    inside = [F.sum(F.when(F.col("_rn") <= int(n), 1).otherwise(0)) for n in sizes]
+
+    def counts(key: str, name: str) -> DataFrame:
+        return numbered.groupBy(key).agg(F.array(*inside).alias(name))
+
+    listed = F.array(*[
+        F.when((F.col("_rn") <= int(n)) & (F.get("_users", F.lit(s)) != 1) & (F.get("_items", F.lit(s)) != 1),
+               F.lit(int(n)).cast("bigint"))
+        for s, n in enumerate(sizes)
+    ])
+    kept = (
+        numbered.join(counts(USER, "_users"), USER).join(counts(ITEM, "_items"), ITEM)
+        .withColumn("sample_size", F.explode(F.array_compact(listed)))
+    )
+    return keep_items(kept, items_with_genre(items)).select("sample_size", *ratings.columns)
+
+
 def prepare_data(
     ratings: DataFrame,
     items: DataFrame,

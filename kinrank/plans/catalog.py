@@ -184,7 +184,7 @@ def baseline_precision_at_k(spark, sf_dir):
 
 # ---------------------------------------------------------------- neighbourhood
 
-from kinrank.operators import neighbors  # noqa: E402
+from kinrank.operators import neighbors, similarity  # noqa: E402
 from kinrank.sources import ratings as src  # noqa: E402
 
 
@@ -193,7 +193,7 @@ def nb_model(spark, sf_dir) -> neighbors.NeighborModel:
     (means, centred ratings, top-100 table, catalogue)."""
     train, _ = data.train_test(spark, sf_dir)
     return data.memo_obj(spark, ("nb_model", sf_dir),
-                         lambda: neighbors.fit_materialized(train, MAX_NEIGHBORS))
+                         lambda: neighbors.fit(train, MAX_NEIGHBORS))
 
 
 def nb_test_predictions(spark, sf_dir, n=N_NEIGHBORS, frame="test"):
@@ -220,6 +220,25 @@ def user_similarity(spark, sf_dir):
     return sim.select("i", "j", r6("value"))
 
 
+@query
+def pair_similarity(spark, sf_dir):
+    """NB3 for asked pairs: every test user with the smallest train user who rated the same item."""
+    train, test = data.train_test(spark, sf_dir)
+    raters = train.groupBy(ITEM).agg(F.min(USER).alias("j"))
+    asked = test.join(raters, ITEM).select(F.col(USER).alias("i"), "j").filter("i <> j")
+    return similarity.pair_similarity(neighbors.center(train), asked).select("i", "j", r6("value"))
+
+
+@query
+def neighbor_predict_events(spark, sf_dir):
+    """NB9 inside NB10: a model of ratings that repeat (user, item) pairs; its
+    neighbours' repeated ratings are averaged.  Asked are the distinct pairs."""
+    events = src.standin_rating_events(spark, sf_dir)
+    model = data.memo_obj(spark, ("nb_events", sf_dir), lambda: neighbors.fit(events, MAX_NEIGHBORS))
+    asked = events.select(USER, ITEM).distinct()
+    return neighbors.predict(model, asked, N_NEIGHBORS).select(USER, ITEM, r6("prediction"))
+
+
 @query
 def top_neighbors(spark, sf_dir):
     top = nb_model(spark, sf_dir).top
@@ -439,18 +458,67 @@ def similarity_roundtrip(spark, sf_dir):
     return back.select("i", "j", r6("value"), F.col("row_number").cast("bigint").alias("row_number"))
 
 
+def study(spark, sf_dir) -> results.ResultStore:
+    """Baseline and neighbour runs at three sample sizes, published once per session."""
+    return data.memo_obj(spark, ("study", sf_dir), lambda: experiments.run_study(
+        results.ResultStore(spark, data.scratch_path(spark, "study")),
+        data.ratings(spark, sf_dir), data.items(spark, sf_dir), _sizes(spark, sf_dir),
+        {"baseline": {"k": K_PRECISION},
+         "neighbor": {"n": N_NEIGHBORS, "k_precision": K_PRECISION, "k_coverage": K_COVERAGE, "max_n": SWEEP_MAX}}))
+
+
 @query
 def run_summary(spark, sf_dir):
     """EX6 + IO5 + IO6 + EX8: neighbour runs at three sample sizes, with fit
-    runtime, saved partitioned by model and size, read back ordered by size."""
-    summary = experiments.run_summary(
-        data.ratings(spark, sf_dir), data.items(spark, sf_dir), _sizes(spark, sf_dir),
-        n=N_NEIGHBORS, k_precision=K_PRECISION, k_coverage=K_COVERAGE,
-    )
-    path = data.scratch_path(spark, "run-summary")
-    results.save_results(summary, path, "neighbor")
+    runtime, published by model and size, read back ordered by size."""
     cols = ["sample_size", "runtime", *experiments.SUMMARY_COLS]
-    return results.load_results(spark, path, model="neighbor", columns=cols).orderBy("sample_size")
+    return study(spark, sf_dir).load("summary", ["neighbor"], columns=cols)
+
+
+@query
+def study_rmse_by_user(spark, sf_dir):
+    """IO5, IO6: saved RMSE per user of two models at three sizes."""
+    out = study(spark, sf_dir).load("rmse_user", columns=["model", "sample_size", USER, "rmse"])
+    return out.withColumn("rmse", r6("rmse"))
+
+
+@query
+def study_rmse_by_item(spark, sf_dir):
+    """IO5, IO6: saved RMSE per item of two models at three sizes."""
+    out = study(spark, sf_dir).load("rmse_item", columns=["model", "sample_size", ITEM, "rmse"])
+    return out.withColumn("rmse", r6("rmse"))
+
+
+@query
+def study_precision_by_user(spark, sf_dir):
+    """IO5, IO6: saved precision per user of two models at three sizes."""
+    out = study(spark, sf_dir).load("precision_user", columns=["model", "sample_size", USER, "precision"])
+    return out.withColumn("precision", r6("precision"))
+
+
+@query
+def study_curve(spark, sf_dir):
+    """IO5, IO6, EX1: the saved neighbour-count curves of the two larger sizes."""
+    sizes = _sizes(spark, sf_dir)[1:]
+    out = study(spark, sf_dir).load("curve", ["neighbor"], sizes, ["sample_size", "param", "rmse", "precision"])
+    return out.select("sample_size", F.col("param").cast("bigint").alias("n"), r6("rmse"), r6("precision"))
+
+
+@query
+def study_best_params(spark, sf_dir):
+    """EX5 on the saved curve of the middle size."""
+    curve = study(spark, sf_dir).load("curve", ["neighbor"], [_sizes(spark, sf_dir)[1]])
+    out = experiments.best_params(curve.withColumnRenamed("param", "n"), "n", low="rmse", high="precision")
+    return out.select(F.col("best_n_rmse").cast("bigint").alias("best_n_rmse"), r6("min_rmse"),
+                      F.col("best_n_precision").cast("bigint").alias("best_n_precision"), r6("max_precision"))
+
+
+@query
+def study_quantiles(spark, sf_dir):
+    """MT9: saved RMSE by user, RMSE by item and precision by user of the
+    neighbour model, bucket means of the three sizes side by side."""
+    out = experiments.quantile_report(study(spark, sf_dir), "neighbor", _sizes(spark, sf_dir), BUCKETS)
+    return out.select("metric", "bucket", r6("size_1"), r6("size_2"), r6("size_3"))
 
 
 @query
@@ -547,25 +615,79 @@ def als_refit_equal(spark, sf_dir):
     return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(differs).alias("n_different"))
 
 
+@query
+def als_fold_table(spark, sf_dir):
+    """AL2, EX3: squared error and scored rows per fold and regularisation of the search."""
+    train, _ = data.train_test(spark, sf_dir)
+    return data.memo_obj(spark, ("als_folds", sf_dir), lambda: als.fold_table(
+        train, [ALS_RANK], [ALS_ITER], ALS_GRID, num_folds=2, seed=SEED))
+
+
+@query
+def als_fold_counts(spark, sf_dir):
+    """AL2: the rows each fold scored per grid point."""
+    return als_fold_table(spark, sf_dir).select(
+        F.col("fold").cast("bigint").alias("fold"), r6("reg_param"), F.col("n").alias("n"))
+
+
+@query
+def als_lambda_curve(spark, sf_dir):
+    """EX3, EX4: the regularisation curve per fold and its mean (null fold)."""
+    table = als_fold_table(spark, sf_dir)
+    curves = als.fold_curve(table).select(F.col("fold").cast("bigint").alias("fold"), "reg_param", "rmse")
+    mean = als.mean_curve(table).select(F.lit(None).cast("bigint").alias("fold"), "reg_param", "rmse")
+    return curves.unionByName(mean).select("fold", r6("reg_param"), r6("rmse"))
+
+
+@query
+def als_best_lambda(spark, sf_dir):
+    """EX5: the regularisation with the lowest mean error."""
+    out = experiments.best_params(als.mean_curve(als_fold_table(spark, sf_dir)), "reg_param", low="rmse")
+    return out.select(r6("best_reg_param_rmse"), r6("min_rmse"))
+
+
+@query
+def als_curve_checks(spark, sf_dir):
+    """AL3, EX3: per grid point, whether the fold table's mean is the cross-validator's
+    metric, and whether the mean lies between its folds' errors."""
+    table = als_fold_table(spark, sf_dir)
+    curve = als.mean_curve(table).withColumn("reg_param", F.round("reg_param", 2))
+    folds = als.fold_curve(table).groupBy(F.round("reg_param", 2).alias("reg_param")).agg(
+        F.count(F.lit(1)).alias("folds"), F.min("rmse").alias("lo"), F.max("rmse").alias("hi"))
+    searched = als_grid_search(spark, sf_dir).select("reg_param", F.col("rmse").alias("searched"))
+    return curve.join(folds, "reg_param").join(searched, "reg_param").select(
+        "reg_param", "folds",
+        (F.abs(F.col("rmse") - F.col("searched")) < 1e-3).alias("agrees"),
+        F.col("rmse").between(F.col("lo"), F.col("hi")).alias("between_folds"))
+
+
+def als_study(spark, sf_dir) -> results.ResultStore:
+    """Factor model runs at three sample sizes, published once per session."""
+    return data.memo_obj(spark, ("als_study", sf_dir), lambda: experiments.run_study(
+        results.ResultStore(spark, data.scratch_path(spark, "als-study")),
+        data.ratings(spark, sf_dir), data.items(spark, sf_dir), _sizes(spark, sf_dir),
+        {"als": {"reg_params": ALS_GRID, "rank": ALS_RANK, "max_iter": ALS_ITER, "num_folds": 2, "k": K_PRECISION,
+                 "seed": SEED}}))
+
+
 @query
 def als_sample_size_sweep(spark, sf_dir):
     """EX2, ALS part: grid search, RMSE, cut precision and coverage per size."""
-    out = experiments.als_sample_size_sweep(
-        data.ratings(spark, sf_dir), data.items(spark, sf_dir), _sizes(spark, sf_dir), ALS_GRID,
-        rank=ALS_RANK, max_iter=ALS_ITER, num_folds=2, k=K_PRECISION, seed=SEED,
-    )
-    return out.select("model", "sample_size", *[r6(c) for c in experiments.SUMMARY_COLS])
+    return als_study(spark, sf_dir).load("summary", ["als"]).select(
+        "model", "sample_size", *[r6(c) for c in experiments.SUMMARY_COLS])
+
+
+@query
+def als_run_summary(spark, sf_dir):
+    """EX6, EX8 for the factor model, with the seconds of search and fit, ordered by size."""
+    return als_study(spark, sf_dir).load(
+        "summary", ["als"], columns=["sample_size", "runtime", *experiments.SUMMARY_COLS])
 
 
 @query
 def summary_at_size(spark, sf_dir):
-    """EX7 via IO5/IO6: the neighbour summary at the middle sample size is
-    saved, read back with a partition filter, and its test metrics kept."""
+    """EX7 via IO5/IO6: of the saved summaries, the neighbour model's test metrics
+    at the middle sample size."""
     size = third_cap(spark, sf_dir, 2)
-    train, test = data.materialized_split(data.ratings(spark, sf_dir), data.items(spark, sf_dir), size)
-    summary = experiments.neighbor_summary(train, test, N_NEIGHBORS, K_PRECISION, K_COVERAGE)
-    path = data.scratch_path(spark, "summary")
-    results.save_results(summary, path, "neighbor", size)
-    back = results.load_results(spark, path, sample_size=size, model="neighbor",
-                                columns=["rmse_test", "top_k_precision_test"])
+    back = study(spark, sf_dir).load("summary", ["neighbor"], [size], ["rmse_test", "top_k_precision_test"])
     return back.select(r6("rmse_test"), r6("top_k_precision_test"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 import weakref
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as parquet under the shared folder and read it back.
+def materialize(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once as parquet under the shared folder, a folder for each
+    value of ``by``, and read it back.
 
     Runs one job.  The lineage is cut and the table survives executor loss
     (unlike ``localCheckpoint``); later readers get column pruning, filter
@@ -40,13 +42,28 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").partitionBy(*by).parquet(path)
     _tables.setdefault(spark.sparkContext.applicationId, set()).add(path)
     back = spark.read.schema(df.schema).parquet(path)
     _path_of[back] = path
     return back
 
 
+def materialize_bucketed(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """``materialize``, bucketed and sorted by ``key``: joins on it read the table
+    without an exchange.  The table's files lie under the shared folder; its
+    name is one of the session's catalog."""
+    spark = df.sparkSession
+    name = f"kinrank_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{name}"
+    n = buckets or partition_count(spark)
+    (df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name))
+    _tables.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    back = spark.table(name)
+    _path_of[back] = path
+    return back
+
+
 def discard(*frames: DataFrame) -> None:
     """Remove the tables behind frames that ``materialize`` returned."""
     for df in frames:
@@ -70,6 +87,8 @@ def drop_tables(spark: SparkSession, only: frozenset[str] | None = None) -> int:
 
 def _delete(spark: SparkSession, path: str) -> None:
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    if (name := path.rsplit("/", 1)[1]).startswith("kinrank_"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
     _tables.get(spark.sparkContext.applicationId, set()).discard(path)

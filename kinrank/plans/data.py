@@ -11,9 +11,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinrank.operators import prepare
-from kinrank.plans.context import materialize, shared_dir
+from kinrank.plans.context import discard, materialize, shared_dir
 from kinrank.sources import ratings as src
 
 _memo: dict[tuple, object] = {}
@@ -42,18 +43,34 @@ def train_test(spark: SparkSession, sf_dir: str, n: int | None = None) -> tuple[
 def materialized_split(ratings_df: DataFrame, items_df: DataFrame, n: int | None = None,
                        seed: int = 12345) -> tuple[DataFrame, DataFrame]:
     """PR1-PR8 written twice: the flagged clean rows (so the join, dedup and
-    cleaning run once), then train and test together in one table."""
-    from pyspark.sql import functions as F
-
+    cleaning run once), then train and test in one table, a folder each."""
     flagged = materialize(prepare.assign_split(prepare.clean_ratings(ratings_df, items_df, n), seed))
     train, test = prepare.split_flagged(flagged)
     both = materialize(
-        train.withColumn("_part", F.lit(0)).unionByName(test.withColumn("_part", F.lit(1)))
-    )
+        train.withColumn("_part", F.lit(0)).unionByName(test.withColumn("_part", F.lit(1))), by=["_part"])
+    discard(flagged)
     return (both.filter(F.col("_part") == 0).drop("_part"),
             both.filter(F.col("_part") == 1).drop("_part"))
 
 
+def nested_splits(ratings_df: DataFrame, items_df: DataFrame, sizes: list[int],
+                  seed: int = 12345) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """Train and test of every sample size from one numbering and one pass: the
+    size is a further key of each join, and a folder of the written table."""
+    flagged = materialize(prepare.assign_split(prepare.nested_samples(ratings_df, items_df, sizes), seed))
+    train, test = prepare.split_flagged(flagged, by=["sample_size"])
+    both = materialize(
+        train.withColumn("_part", F.lit(0)).unionByName(test.withColumn("_part", F.lit(1))),
+        by=["sample_size", "_part"])
+    discard(flagged)
+
+    def part(size: int, which: int) -> DataFrame:
+        inside = (F.col("sample_size") == size) & (F.col("_part") == which)
+        return both.filter(inside).drop("sample_size", "_part")
+
+    return {size: (part(size, 0), part(size, 1)) for size in sizes}
+
+
 def memo_obj(spark: SparkSession, key: tuple, build):
     """Build any object (e.g. a fitted model) once per session under ``key``."""
     full = _key(spark, "obj", *key)

@@ -8,6 +8,8 @@ except one-row metrics.
 from __future__ import annotations
 
 import time
+from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,8 @@ from kinrank.functions import metrics
 from kinrank.functions.columns import split_hash, tie_key
 from kinrank.operators import als, baseline, neighbors
 from kinrank.plans.context import materialize
-from kinrank.plans.data import materialized_split
+from kinrank.plans.data import nested_splits
+from kinrank.sources.results import ResultStore
 
 SUMMARY_COLS = (
     "rmse_train", "rmse_test", "top_k_precision_train", "top_k_precision_test",
@@ -38,14 +41,20 @@ def _row(spark: SparkSession, parts: list) -> DataFrame:
 def neighbor_summary(train: DataFrame, test: DataFrame, n: int = 20, k_precision: int = 5,
                      k_coverage: int = 10, max_neighbors: int = 100) -> DataFrame:
     """Train/test RMSE, precision@k and coverage of one neighbour model (one row)."""
-    return model_summary(neighbors.fit_materialized(train, max_neighbors), train, test, n, k_precision, k_coverage)
+    return model_summary(neighbors.fit(train, max_neighbors), train, test, n, k_precision, k_coverage)
+
+
+def _predicted(model: neighbors.NeighborModel, frame: DataFrame, n: int) -> DataFrame:
+    return materialize(neighbors.predict(model, frame, n).select(USER, ITEM, RATING, "prediction"))
 
 
 def model_summary(model: neighbors.NeighborModel, train: DataFrame, test: DataFrame, n: int = 20,
-                  k_precision: int = 5, k_coverage: int = 10) -> DataFrame:
-    """The summary row of a fitted neighbour model; its predictions are written once."""
-    p_train = materialize(neighbors.predict(model, train, n).select(USER, ITEM, RATING, "prediction"))
-    p_test = materialize(neighbors.predict(model, test, n).select(USER, ITEM, RATING, "prediction"))
+                  k_precision: int = 5, k_coverage: int = 10, p_test: DataFrame | None = None) -> DataFrame:
+    """The summary row of a fitted neighbour model; its predictions are written once,
+    the recommended lists made once for the users of both sides."""
+    p_train = _predicted(model, train, n)
+    p_test = p_test if p_test is not None else _predicted(model, test, n)
+    covered = neighbors.coverages(model, {"train": train, "test": test}, n, k_coverage)
     return _row(train.sparkSession, [
         _one(metrics.rmse(p_train), "rmse", "rmse_train"),
         _one(metrics.rmse(p_test), "rmse", "rmse_test"),
@@ -53,8 +62,8 @@ def model_summary(model: neighbors.NeighborModel, train: DataFrame, test: DataFr
              "precision", "top_k_precision_train"),
         _one(metrics.mean_of(neighbors.precision_by_user(p_test, k_precision), "precision"),
              "precision", "top_k_precision_test"),
-        _one(neighbors.coverage(model, train, n, k_coverage), "coverage", "coverage_train"),
-        _one(neighbors.coverage(model, test, n, k_coverage), "coverage", "coverage_test"),
+        _one(covered["train"], "coverage", "coverage_train"),
+        _one(covered["test"], "coverage", "coverage_test"),
     ])
 
 
@@ -70,13 +79,16 @@ def baseline_summary(train: DataFrame, test: DataFrame, k_precision: int = 5) ->
               F.lit(None).cast("double").alias("coverage_test"))
 
 
+def _stacked(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def sample_size_sweep(ratings: DataFrame, items: DataFrame, sizes: list[int],
                       models=("baseline", "neighbor"), n: int = 20, k_precision: int = 5,
                       k_coverage: int = 10) -> DataFrame:
-    """EX2 (without runtime): one row per (model, sample size)."""
+    """EX2 (without runtime): one row per (model, sample size), all sizes from one numbering."""
     rows = []
-    for size in sizes:
-        train, test = materialized_split(ratings, items, size)
+    for size, (train, test) in nested_splits(ratings, items, sizes).items():
         for m in models:
             if m == "baseline":
                 r = baseline_summary(train, test, k_precision)
@@ -84,67 +96,100 @@ def sample_size_sweep(ratings: DataFrame, items: DataFrame, sizes: list[int],
                 r = neighbor_summary(train, test, n, k_precision, k_coverage)
             rows.append(r.select(F.lit(m).alias("model"), F.lit(size).cast("bigint").alias("sample_size"),
                                  *SUMMARY_COLS))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
-
-
-def run_summary(ratings: DataFrame, items: DataFrame, sizes: list[int], n: int = 20,
-                k_precision: int = 5, k_coverage: int = 10) -> DataFrame:
-    """EX6: neighbour run summary with the fit runtime (seconds).
-
-    The fit (similarity + top neighbours, materialised) is timed, as the
-    original study timed its fit; metrics are then computed on the model.
-    """
-    rows = []
-    for size in sizes:
-        train, test = materialized_split(ratings, items, size)
-        start = time.perf_counter()
-        model = neighbors.fit_materialized(train)
-        runtime = time.perf_counter() - start
-        row = model_summary(model, train, test, n, k_precision, k_coverage)
-        rows.append(row.select(F.lit(size).cast("bigint").alias("sample_size"),
-                               F.lit(float(runtime)).alias("runtime"), *SUMMARY_COLS))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
-
-
-def als_summary(train: DataFrame, test: DataFrame, reg_params, rank: int = 10, max_iter: int = 5,
-                num_folds: int = 2, k: int = 5, seed: int = 12345) -> DataFrame:
-    """EX2 for ALS: grid search on train, then RMSE, precision@k of the cut
-    rankings (MT6 + MT3) and coverage of the cut predicted lists joined to
-    the frame (MT7), on both sides.  One row (runtime excluded)."""
-    fitted = als.grid_search(train, [rank], [max_iter], reg_params, num_folds=num_folds, seed=seed)
-    parts = []
+    return _stacked(rows)
+
+
+def _timed(build):
+    start = time.perf_counter()
+    built = build()
+    return built, time.perf_counter() - start
+
+
+def _curve(rows: DataFrame, param: str) -> DataFrame:
+    precision = F.col("precision") if "precision" in rows.columns else F.lit(None).cast("double")
+    return rows.select(F.col(param).cast("double").alias("param"), "rmse", precision.alias("precision"))
+
+
+def baseline_results(train: DataFrame, test: DataFrame, k: int = 5) -> dict[str, DataFrame]:
+    """The result kinds of the item-mean model (it has no curve)."""
+    stats, runtime = _timed(lambda: materialize(baseline.item_stats(train)))
+    scored = materialize(baseline.predict(test, stats).select(USER, ITEM, RATING, F.col("avg_rating").alias("prediction")))
+    return {
+        "rmse_user": metrics.rmse_by(scored, USER),
+        "rmse_item": metrics.rmse_by(scored, ITEM),
+        "precision_user": baseline.precision_by_user(test, stats, k).select(USER, "precision"),
+        "summary": baseline_summary(train, test, k).withColumn("runtime", F.lit(float(runtime))),
+    }
+
+
+def neighbor_results(train: DataFrame, test: DataFrame, n: int = 20, k_precision: int = 5, k_coverage: int = 10,
+                     max_n: int = 30) -> dict[str, DataFrame]:
+    """The five result kinds of the neighbour model; the curve is the sweep over 1..max_n neighbours."""
+    model, runtime = _timed(lambda: neighbors.fit(train))
+    scored = _predicted(model, test, n)
+    return {
+        "rmse_user": metrics.rmse_by(scored, USER),
+        "rmse_item": metrics.rmse_by(scored, ITEM),
+        "precision_user": neighbors.precision_by_user(scored, k_precision),
+        "curve": _curve(neighbors.sweep(model, test, max_n, k_precision), "n"),
+        "summary": model_summary(model, train, test, n, k_precision, k_coverage, scored)
+        .withColumn("runtime", F.lit(float(runtime))),
+    }
+
+
+def als_results(train: DataFrame, test: DataFrame, reg_params, rank: int = 10, max_iter: int = 5,
+                num_folds: int = 2, k: int = 5, seed: int = 12345) -> dict[str, DataFrame]:
+    """The five result kinds of the factor model: a fold evaluation over the
+    regularisation grid (the curve is its mean over the folds, the runtime that of
+    the search and the fit at its best point), then, on both sides, RMSE,
+    precision@k of the cut rankings (MT6 + MT3) and coverage of the cut
+    predicted lists joined to the frame (MT7).  Predictions are written once."""
+    fitted, runtime = _timed(lambda: als.fit_best(
+        train, als.fold_table(train, [rank], [max_iter], reg_params, num_folds, seed=seed), seed))
+    parts, kinds = [], {"curve": _curve(fitted.results, "reg_param")}
     for side, frame in (("train", train), ("test", test)):
-        scored = als.predict(fitted, frame)
-        cut = als.rankings(scored, k=k)
+        scored = materialize(als.predict(fitted, frame).select(USER, ITEM, RATING, "predicted_rating"))
+        cut = materialize(als.rankings(scored, k=k))
         truth = cut.filter(F.col("truth_rank").isNotNull()).select(USER, ITEM)
         guess = cut.filter(F.col("pred_rank").isNotNull()).select(USER, ITEM, F.col("pred_rank").alias("rank"))
-        prec = metrics.mean_of(metrics.list_precision(truth, guess, k), "precision")
+        precision = metrics.list_precision(truth, guess, k)
         parts += [
             _one(metrics.rmse(scored, pred="predicted_rating"), "rmse", f"rmse_{side}"),
-            _one(prec, "precision", f"top_k_precision_{side}"),
+            _one(metrics.mean_of(precision, "precision"), "precision", f"top_k_precision_{side}"),
             _one(metrics.ranked_coverage(frame, guess, k), "coverage", f"coverage_{side}"),
         ]
-    return _row(train.sparkSession, parts).select(*SUMMARY_COLS)
+        if side == "test":
+            kinds |= {
+                "rmse_user": metrics.rmse_by(scored, USER, pred="predicted_rating"),
+                "rmse_item": metrics.rmse_by(scored, ITEM, pred="predicted_rating"),
+                "precision_user": precision,
+            }
+    summary = _row(train.sparkSession, parts).select(*SUMMARY_COLS, F.lit(float(runtime)).alias("runtime"))
+    return kinds | {"summary": summary}
 
 
-def als_sample_size_sweep(ratings: DataFrame, items: DataFrame, sizes: list[int], reg_params,
-                          **kw) -> DataFrame:
-    """EX2 (ALS part): one row per sample size."""
-    rows = []
-    for size in sizes:
-        train, test = materialized_split(ratings, items, size)
-        rows.append(als_summary(train, test, reg_params, **kw).select(
-            F.lit("als").alias("model"), F.lit(size).cast("bigint").alias("sample_size"), *SUMMARY_COLS))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+STUDIES = {"baseline": baseline_results, "neighbor": neighbor_results, "als": als_results}
+
+
+def run_study(store: ResultStore, ratings: DataFrame, items: DataFrame, sizes: list[int],
+              settings: Mapping[str, Mapping]) -> ResultStore:
+    """EX2, EX6, IO5: fit, evaluate and publish every model of ``settings`` (name ->
+    arguments of its ``*_results``) at every sample size, all from one numbering."""
+    for size, (train, test) in nested_splits(ratings, items, sizes).items():
+        for model, arguments in settings.items():
+            store.publish(model, size, STUDIES[model](train, test, **arguments))
+    return store
+
+
+def quantile_report(store: ResultStore, model: str, sizes: list[int], q: int = 10) -> DataFrame:
+    """MT9 over saved results: for the three per-key metrics, the bucket means of the
+    sample sizes side by side: ``(metric, bucket, size_1, size_2, ...)``, smallest size first."""
+    parts = []
+    for kind, key, value in (("rmse_user", USER, "rmse"), ("rmse_item", ITEM, "rmse"),
+                             ("precision_user", USER, "precision")):
+        runs = {f"size_{i}": store.load(kind, [model], [size]) for i, size in enumerate(sorted(sizes), 1)}
+        parts.append(metrics.quantile_compare(runs, value, key, q).withColumn("metric", F.lit(kind)))
+    return _stacked(parts)
 
 
 def fold_curves(model: neighbors.NeighborModel, frame: DataFrame, folds: int, max_n: int,
@@ -155,8 +200,7 @@ def fold_curves(model: neighbors.NeighborModel, frame: DataFrame, folds: int, ma
     keyed = frame.select(USER, ITEM, RATING).withColumn(
         "fold", (split_hash(USER, ITEM, seed + 2) % folds).cast("bigint")
     )
-    preds = neighbors.sweep_predictions(model, keyed, max_n)
-    return metrics.rmse_by(preds, ["fold", "n"])
+    return neighbors.error_curve(model, keyed, max_n, ["fold"])
 
 
 def fold_mean_curve(curves: DataFrame, param: str, metric: str) -> DataFrame:

@@ -506,3 +506,112 @@ SQL["als_refit_equal"] = split_ctes() + " SELECT count(*) AS n, CAST(0 AS BIGINT
 SQL["als_grid_points"] = """
   SELECT round(0.05 + i * 0.25 / 9, 2)::DOUBLE AS reg_param, 10::DOUBLE AS rank, 5::DOUBLE AS max_iter, true AS sound
   FROM range(10) t(i)"""
+
+# ---------------------------------------------------------------- asked pairs, repeated ratings
+
+SQL["pair_similarity"] = (
+    _NB + f""", raters AS (SELECT item_id, min(user_id) AS j FROM train GROUP BY item_id),
+           asked AS (SELECT DISTINCT t.user_id AS i, r.j FROM test t JOIN raters r USING (item_id) WHERE t.user_id <> r.j),
+           dots AS (SELECT a.user_id AS i, b.user_id AS j, sum(a.xn * b.xn) AS value
+                    FROM nz a JOIN nz b ON a.item_id = b.item_id GROUP BY a.user_id, b.user_id)
+        SELECT q.i, q.j, {r6('d.value', 'value')} FROM asked q LEFT JOIN dots d ON d.i = q.i AND d.j = q.j"""
+)
+
+EVENTS = """
+train AS (
+  SELECT o_custkey AS user_id, l_partkey AS item_id,
+         CAST(least(10, 1 + CAST(l_quantity AS BIGINT) % 4 + p_size % 6
+              + CASE WHEN o_custkey % 4 = l_partkey % 4 THEN 3 ELSE 0 END) AS DOUBLE) / 2 AS rating
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+asked AS (SELECT DISTINCT user_id, item_id FROM train)"""
+
+SQL["neighbor_predict_events"] = (
+    with_(EVENTS, NB_MODEL.replace("centered AS (SELECT", "raw AS (SELECT").replace("FROM centered", "FROM raw"),
+          "centered AS (SELECT user_id, item_id, avg(x) AS x FROM raw GROUP BY user_id, item_id)",
+          nb_pred("asked", 20))
+    + f" SELECT user_id, item_id, {r6('prediction', 'prediction')} FROM pred"
+)
+
+# ---------------------------------------------------------------- studies
+
+_ERR = "sqrt(avg(power(rating - prediction, 2)))"
+
+
+def _study(thirds: int, model: str, *more: str) -> str:
+    """CTEs of one run: its scored test rows are ``pred``."""
+    ctes = [*pipeline_ctes(thirds)]
+    if model == "baseline":
+        ctes += [STATS, POPULAR.format(k=5),
+                 "pred AS (SELECT t.*, s.avg_rating AS prediction FROM test t JOIN stats s USING (item_id))"]
+    else:
+        ctes += [NB_MODEL, nb_pred("test", 20)]
+    return with_(*ctes, *more)
+
+
+def _size(thirds: int) -> str:
+    return f"CAST((SELECT count(*) FROM ratings) * {thirds} // 3 AS BIGINT) AS sample_size"
+
+
+def _study_union(select: dict[str, str], thirds=(1, 2, 3)) -> str:
+    return " UNION ALL ".join(
+        f"SELECT * FROM ({text.format(size=_size(t), head=_study(t, model))}) s{t}{model[0]}"
+        for t in thirds for model, text in select.items())
+
+
+def _error_by(key: str) -> dict[str, str]:
+    return {m: "{head} " + f"SELECT '{m}' AS model, {{size}}, {key}, {r6(_ERR, 'rmse')} FROM pred "
+               f"WHERE prediction IS NOT NULL GROUP BY {key}" for m in ("baseline", "neighbor")}
+
+
+SQL["study_rmse_by_user"] = _study_union(_error_by("user_id"))
+SQL["study_rmse_by_item"] = _study_union(_error_by("item_id"))
+_PREC_USER = prec_named("prec", "user_id", "pred", 5)
+SQL["study_precision_by_user"] = _study_union({
+    "baseline": "{head} SELECT 'baseline' AS model, {size}, user_id, " + r6(
+        "sum(CASE WHEN p.item_id IS NOT NULL THEN 1 ELSE 0 END) / 5.0", "precision") + """
+        FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id DESC) AS trank,
+                     count(*) OVER (PARTITION BY user_id) AS n FROM test) t
+        LEFT JOIN popular p ON t.item_id = p.item_id AND p.prank <= t.n + 1 WHERE t.trank <= 5 GROUP BY user_id""",
+    "neighbor": "{head}," + _PREC_USER + " SELECT 'neighbor' AS model, {size}, user_id, "
+                + r6("precision", "precision") + " FROM prec",
+})
+
+_SWEEP_CURVE = "," + SWEEP + "," + PREC.format(g="n, user_id", src="sweep_p", k=5) + f""",
+  curve AS (SELECT e.n, e.rmse, p.precision
+            FROM (SELECT n, {_ERR} AS rmse FROM sweep_p WHERE prediction IS NOT NULL GROUP BY n) e
+            JOIN (SELECT n, avg(precision) AS precision FROM prec GROUP BY n) p ON e.n = p.n)"""
+
+SQL["study_curve"] = _study_union({
+    "neighbor": "{head}" + _SWEEP_CURVE + " SELECT {size}, CAST(n AS BIGINT) AS n, "
+                + r6("rmse", "rmse") + ", " + r6("precision", "precision") + " FROM curve"}, (2, 3))
+SQL["study_best_params"] = (
+    _study(2, "neighbor") + _SWEEP_CURVE + f""",
+      lo AS (SELECT n, rmse FROM curve ORDER BY round(rmse, 9), n LIMIT 1),
+      hi AS (SELECT n, precision FROM curve ORDER BY round(precision, 9) DESC, n LIMIT 1)
+    SELECT CAST(lo.n AS BIGINT) AS best_n_rmse, {r6('lo.rmse', 'min_rmse')},
+           CAST(hi.n AS BIGINT) AS best_n_precision, {r6('hi.precision', 'max_precision')} FROM lo, hi"""
+)
+_BY_KEY = {
+    "rmse_user": f"SELECT user_id AS key, {_ERR} AS value FROM pred WHERE prediction IS NOT NULL GROUP BY user_id",
+    "rmse_item": f"SELECT item_id AS key, {_ERR} AS value FROM pred WHERE prediction IS NOT NULL GROUP BY item_id",
+    "precision_user": "SELECT user_id AS key, precision AS value FROM prec",
+}
+SQL["study_quantiles"] = " UNION ALL ".join(
+    f"SELECT '{metric}' AS metric, a.bucket, {r6('a.mean_value', 'size_1')}, {r6('b.mean_value', 'size_2')}, "
+    f"{r6('c.mean_value', 'size_3')} FROM " + " FULL JOIN ".join(
+        "(" + _study(t, "neighbor", _PREC_USER, QB.format(metric=source, q=10)) + f" SELECT * FROM qb) {name}{on}"
+        for t, name, on in ((1, "a", ""), (2, "b", " ON a.bucket = b.bucket"), (3, "c", " ON a.bucket = c.bucket")))
+    for metric, source in _BY_KEY.items())
+
+# ---------------------------------------------------------------- factor model: fold table
+
+SQL["als_fold_counts"] = split_ctes() + f""",
+  folded AS (SELECT user_id, item_id, ('0x' || substr(md5(CAST(user_id AS VARCHAR) || ':' || CAST(item_id AS VARCHAR)
+             || ':12346'), 1, 8))::BIGINT % 2 AS fold FROM train),
+  counted AS (SELECT f.fold, count(*) AS n FROM folded f
+              WHERE EXISTS (SELECT 1 FROM folded o WHERE o.fold <> f.fold AND o.user_id = f.user_id)
+                AND EXISTS (SELECT 1 FROM folded o WHERE o.fold <> f.fold AND o.item_id = f.item_id) GROUP BY f.fold)
+  SELECT CAST(fold AS BIGINT) AS fold, {r6('0.05 + i * 0.25 / 9', 'reg_param')}, n FROM counted, range(10) t(i)"""
+SQL["als_curve_checks"] = """
+  SELECT round(0.05 + i * 0.25 / 9, 2)::DOUBLE AS reg_param, 2::BIGINT AS folds, true AS agrees, true AS between_folds
+  FROM range(10) t(i)"""
