@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,107 +45,171 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from kinrank.llm.common import packed, unpacked
-from kinrank.llm.wordhash import _Words, mix
+from kinrank.llm.wordhash import mix
 from kinrank.plans.context import discard, materialize
 
 WINDOW = 20
 GRAM = 6
-KNOWN_WORDS = 300_000
-#: Row numbers that may be broadcast to find texts (16 MB); beyond, the texts are shuffled.
-BROADCAST_ROWS = 1_000_000
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so they have inverses modulo 2^64
+#: Bytes of text whose words are hashed at once in a task (about 25 bytes of memory each).
+PORTION = 500_000
+#: Row numbers that may be broadcast to find texts (about 50 bytes each); beyond, the texts are shuffled.
+BROADCAST_ROWS = 500_000
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAEF17502108EF2D9)  # odd, so they have inverses modulo 2^64
+_INVERSES = tuple(pow(base, -1, 1 << 64) for base in _BASES)
+_BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASES[0]))
+_IN_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_PLACE = np.uint64((1 << 20) - 1)  # low bits of a minimiser's rank, the place in its text
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-class _Rolling:
-    """Hashes of any runs of a document's words, from prefix sums modulo 2^64."""
+def _powers(base: int, n: int, _held: dict[int, np.ndarray] = {}) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64; remembered by the worker."""
+    powers = _held.get(base)
+    if powers is None or len(powers) < n:
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        powers = _held[base] = np.cumprod(steps)
+    return powers[:n]
 
-    _powers: dict[int, np.ndarray] = {}
 
-    @classmethod
-    def _power(cls, base: int, n: int) -> np.ndarray:
-        held = cls._powers.get(base)
-        if held is None or len(held) < n:
-            steps = np.full(max(n, 1 << 15), base, np.uint64)
-            steps[0] = 1
-            held = cls._powers[base] = np.cumprod(steps)
-        return held[:n]
+class _Rolling:
+    """Hashes of any runs of a sequence, from prefix sums modulo 2^64."""
 
-    def __init__(self, words: np.ndarray, base: int):
-        self._sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * self._power(base, len(words)), out=self._sums[1:])
-        self._back = self._power(pow(base, -1, 1 << 64), len(words) + 1)
+    def __init__(self, values: np.ndarray, base: int, inverse: int):
+        self._sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * _powers(base, len(values)), out=self._sums[1:])
+        self._back = _powers(inverse, len(values) + 1)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self._sums[ends] - self._sums[starts]) * self._back[starts])
 
 
-def phrases(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(starts, windows, anchors, phrase hashes) of a document's word hashes."""
-    windows = len(words) - window + 1
-    if windows <= 0:
-        none = np.empty(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    at = np.arange(len(words) - gram + 1)
-    grams = _Rolling(words, _BASES[0])(at, at + gram)
-    place = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1).argmin(1) + np.arange(windows)
-    starts = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
-    counts = np.diff(np.append(starts, windows))
-    return starts, counts, grams[place[starts]], _Rolling(words, _BASES[1])(starts, starts + counts + window - 1)
+def _rolling(values: np.ndarray, which: int) -> _Rolling:
+    return _Rolling(values, _BASES[which], _INVERSES[which])
+
 
+class Words(NamedTuple):
+    """The words of several texts: their hashes, and where each text's begin
+    (one entry more than texts)."""
 
-def window_hashes(words: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    return _Rolling(words, _BASES[1])(starts, starts + window)
+    hashes: np.ndarray
+    begins: np.ndarray
 
 
-class _Texts:
-    """Words of texts, and their hashes, inside a task."""
+def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Words (runs outside the white space) of texts that lie one after another in ``data``."""
+    if not len(data):
+        return Words(np.empty(0, np.uint64), np.zeros(len(offsets), np.int64))
+    inside = _IN_WORD[data]
+    start, end = inside.copy(), inside.copy()
+    cut = offsets[(offsets > 0) & (offsets < len(data))]  # a word ends with its text
+    joined = np.ones(len(data), bool)
+    joined[cut] = False
+    start[1:] &= ~(inside[:-1] & joined[1:])
+    end[:-1] &= ~(inside[1:] & joined[1:])
+    starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+    return Words(_rolling(_BYTE_HASH[data], 2)(starts, ends), np.searchsorted(starts, offsets))
 
-    def __init__(self):
-        self._known = _Words(KNOWN_WORDS)
 
-    def hashes(self, text: pa.Scalar) -> np.ndarray:
-        found = (text.as_py() or b"").split()
-        return np.fromiter(map(self._known.__getitem__, found), np.uint64, len(found))
+class Phrases(NamedTuple):
+    text: np.ndarray  # number of the text
+    start: np.ndarray  # first window, counted in words of the text
+    windows: np.ndarray
+    anchor: np.ndarray
+    key: np.ndarray
 
 
-def _signed(values: np.ndarray | list[np.ndarray]) -> pa.Array:
-    joined = np.concatenate(values) if isinstance(values, list) else values
-    return pa.array(joined.view(np.int64), pa.int64())
+def phrases(words: Words, window: int = WINDOW, gram: int = GRAM) -> Phrases:
+    """The phrases of all texts.
+
+    The minimiser of a window is the smallest (hash, place) of its ``window -
+    gram + 1`` runs; minima of 1, 2, 4, ... runs give it in a few passes.
+    """
+    hashes, begins = words
+    windows = len(hashes) - window + 1
+    if windows <= 0:
+        none = np.empty(0, np.int64)
+        return Phrases(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+    at = np.arange(len(hashes) - gram + 1)
+    grams = _rolling(hashes, 0)(at, at + gram)
+    least = (grams & ~_PLACE) | (at.astype(np.uint64) & _PLACE)
+    wanted, span = window - gram + 1, 1
+    while 2 * span <= wanted:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if span < wanted:
+        least = np.minimum(least[:len(least) - (wanted - span)], least[wanted - span:])
+    ends = np.maximum(np.diff(begins) - window + 1, 0) + begins[:-1]  # after each text's last window
+    here = np.zeros(windows + 1, np.int64)
+    np.add.at(here, begins[:-1][ends > begins[:-1]], 1)
+    np.add.at(here, ends[ends > begins[:-1]], -1)
+    valid = np.cumsum(here[:-1]) > 0
+    first = valid.copy()
+    first[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
+    starts = np.flatnonzero(first)
+    text = np.searchsorted(begins, starts, "right") - 1
+    counts = np.minimum(np.append(starts[1:], windows), ends[text]) - starts
+    behind = (starts.astype(np.uint64) & _PLACE)
+    place = starts + (((least[starts] & _PLACE) - behind) & _PLACE).astype(np.int64)
+    return Phrases(text, starts - begins[text], counts, grams[place],
+                   _rolling(hashes, 1)(starts, starts + counts + window - 1))
+
+
+def _portions(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Words]]:
+    """(first row, rows, words) of portions of about ``PORTION`` bytes of text, or one text."""
+    column = batch.column("text").cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    row = 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PORTION, "right")) - 1)
+        yield row, end - row, words_of(data[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row])
+        row = end
+
+
+def _signed(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64), pa.int64())
+
+
+_TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+
+
+def one_spaced(text: bytes) -> bytes:
+    """The words of ``text`` joined by one space."""
+    spaced = text.translate(_TO_SPACE)
+    if b"  " in spaced or spaced[:1] == b" " or spaced[-1:] == b" ":
+        return b" ".join(text.split())
+    return spaced
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, sha = [], []
         for text in batch.column("text").cast(pa.binary()):
-            found = (text.as_py() or b"").split()
-            n.append(len(found))
-            sha.append(hashlib.sha256(b" ".join(found)).hexdigest())
+            words = one_spaced(text.as_py() or b"")
+            n.append(words.count(b" ") + 1 if words else 0)
+            sha.append(hashlib.sha256(words).hexdigest())
         yield batch.append_column("n_words", pa.array(n, pa.int64())).append_column("sha", pa.array(sha, pa.string()))
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    texts = _Texts()
     for batch in batches:
-        if batch.num_rows:
-            found = [phrases(texts.hashes(t), window)[2] for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([_signed(found)], ["a"])
+        for _, _, words in _portions(batch):
+            yield pa.RecordBatch.from_arrays([_signed(phrases(words, window).anchor)], ["a"])
 
 
 _PHRASE = "a bigint, c bigint, doc_id bigint, uid bigint, start bigint, windows bigint"
 
 
 def _phrases(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    texts = _Texts()
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        found = [phrases(texts.hashes(t), window) for t in batch.column("text").cast(pa.binary())]
-        rows = pa.array(np.repeat(np.arange(batch.num_rows), [len(f[0]) for f in found]))
-        starts, windows, anchors, hashes = (_signed([f[i] for f in found]) for i in range(4))
-        yield pa.RecordBatch.from_arrays(
-            [anchors, hashes, batch.column("doc_id").take(rows), batch.column("uid").take(rows), starts, windows],
-            ["a", "c", "doc_id", "uid", "start", "windows"])
+        for row, rows, words in _portions(batch):
+            found = phrases(words, window)
+            part, take = batch.slice(row, rows), pa.array(found.text)
+            yield pa.RecordBatch.from_arrays(
+                [_signed(found.anchor), _signed(found.key), part.column("doc_id").take(take),
+                 part.column("uid").take(take), _signed(found.start), _signed(found.windows)],
+                ["a", "c", "doc_id", "uid", "start", "windows"])
 
 
 _WINDOW_ROW = "a bigint, w bigint, doc_id bigint, uid bigint, start bigint"
@@ -152,51 +217,52 @@ _WINDOW_ROW = "a bigint, w bigint, doc_id bigint, uid bigint, start bigint"
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """The windows of the phrases listed in ``edges``, one row each."""
-    texts = _Texts()
     for batch in batches:
-        rows, starts, anchors, hashes = [], [], [], []
-        for i, (text, edges) in enumerate(zip(batch.column("text").cast(pa.binary()), batch.column("edges"))):
-            struct = edges.values
-            counts = struct.field("windows").to_numpy()
-            first = np.repeat(struct.field("start").to_numpy(), counts)
-            inside = np.arange(len(first)) - np.repeat(np.cumsum(counts) - counts, counts)
-            starts.append(first + inside)
-            anchors.append(np.repeat(struct.field("a").to_numpy(), counts))
-            hashes.append(window_hashes(texts.hashes(text), starts[-1], window))
-            rows.append(np.full(len(first), i))
-        if rows:
-            take = pa.array(np.concatenate(rows))
+        for row, rows, words in _portions(batch):
+            part = batch.slice(row, rows)
+            edges = part.column("edges")
+            columns = edges.flatten()
+            start, counts, anchor = (columns.field(c).to_numpy() for c in ("start", "windows", "a"))
+            text = np.repeat(np.arange(rows), edges.value_lengths().to_numpy())
+            inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            text, start, anchor = np.repeat(text, counts), np.repeat(start, counts) + inside, np.repeat(anchor, counts)
+            at, take = words.begins[text] + start, pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [_signed(anchors), _signed(hashes), batch.column("doc_id").take(take), batch.column("uid").take(take),
-                 _signed(starts)], ["a", "w", "doc_id", "uid", "start"])
+                [_signed(anchor), _signed(_rolling(words.hashes, 1)(at, at + window)), part.column("doc_id").take(take),
+                 part.column("uid").take(take), _signed(start)], ["a", "w", "doc_id", "uid", "start"])
+
+
+def _runs(first: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` over the runs that begin where ``first`` is set."""
+    return np.add.reduceat(values, np.flatnonzero(first)) if len(values) else values
 
 
-def parse(matches: list[tuple[int, int, int, int]], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """Factors (start, words, source row, source start) of one document.
+def parse(row: np.ndarray, start: np.ndarray, windows: np.ndarray, source: np.ndarray, at: np.ndarray,
+          window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """The greedy factors (row, start, words, source row, source start) of documents.
 
-    ``matches``: (start, windows, source row, source start) of runs of windows
-    that stand earlier, not overlapping.  From left to right, each factor goes on
-    while the next window's source is the next place of the same source.
+    Given are the matches: runs of windows of a row that stand earlier, with their
+    source, not overlapping.  From left to right, a factor goes on while the next
+    window's source is the next place of the same source; where it ends, the
+    windows across its end have their own matches, which begin the next factor
+    up to ``window`` - 1 words before that end.
     """
-    factors: list[list[int]] = []
-    for start, windows, source, at in sorted(matches):
-        last = factors[-1] if factors else None
-        if last and start == last[0] + last[1] and source == last[2] and at == last[3] + last[1]:
-            last[1] += windows
-        else:
-            factors.append([start, windows, source, at])
-    return [(start, windows + window - 1, source, at) for start, windows, source, at in factors]
-
-
-def spans_of(factors: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """The disjoint word spans (start, end) that the factors cover."""
-    spans: list[list[int]] = []
-    for start, words, *_ in factors:
-        if spans and start <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], start + words)
-        else:
-            spans.append([start, start + words])
-    return [(a, b) for a, b in spans]
+    order = np.lexsort((start, row))
+    row, start, windows, source, at = (x[order] for x in (row, start, windows, source, at))
+    first = np.ones(len(row), bool)
+    step = windows[:-1]
+    first[1:] = ~((row[1:] == row[:-1]) & (start[1:] == start[:-1] + step) & (source[1:] == source[:-1])
+                  & (at[1:] == at[:-1] + step))
+    return row[first], start[first], _runs(first, windows) + window - 1, source[first], at[first]
+
+
+def spans_of(row: np.ndarray, start: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The disjoint word spans (row, start, end) that factors cover."""
+    end = start + words  # grows with start, since the windows of factors do not overlap
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (start[1:] > end[:-1])
+    last = np.append(first[1:], True) if len(row) else first
+    return row[first], start[first], end[last]
 
 
 _FACTORS = (
@@ -205,22 +271,25 @@ _FACTORS = (
 )
 
 
+def _listed(row: np.ndarray, rows: int, **columns: np.ndarray) -> pa.Array:
+    offsets = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
+    struct = pa.StructArray.from_arrays([_signed(x) for x in columns.values()], list(columns))
+    return pa.ListArray.from_arrays(pa.array(offsets), struct)
+
+
 def _parsed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    names = ("start", "windows", "source_uid", "source_start")
     for batch in batches:
-        removed, factors, spans = [], [], []
-        for found in batch.column("matches"):
-            columns = [found.values.field(c).to_pylist() for c in names]
-            done = parse(list(zip(*columns)), window)
-            cover = spans_of(done)
-            removed.append(sum(b - a for a, b in cover))
-            factors.append([dict(zip(("start", "words", "source_uid", "source_start"), f)) for f in done])
-            spans.append([{"start": a, "end": b} for a, b in cover])
-        number = pa.int64()
+        matches, rows = batch.column("matches"), batch.num_rows
+        row = np.repeat(np.arange(rows), matches.value_lengths().to_numpy())
+        found = matches.flatten()
+        row, start, words, source, at = parse(
+            row, *(found.field(c).to_numpy() for c in ("start", "windows", "source_uid", "source_start")), window)
+        of, begin, end = spans_of(row, start, words)
+        removed = np.bincount(of, end - begin, rows).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("uid"), pa.array(removed, number),
-             pa.array(factors, pa.list_(pa.struct([(c, number) for c in ("start", "words", "source_uid", "source_start")]))),
-             pa.array(spans, pa.list_(pa.struct([("start", number), ("end", number)])))],
+            [batch.column("uid"), _signed(removed),
+             _listed(row, rows, start=start, words=words, source_uid=source, source_start=at),
+             _listed(of, rows, start=begin, end=end)],
             ["uid", "n_removed", "factors", "spans"])
 
 

@@ -146,10 +146,27 @@ def test_factors_name_their_source(docs_of):
 
 
 def test_parse_checks_across_factor_ends():
-    # windows 0-4 from one source, 5-6 from another: two factors that overlap by 19 words
-    factors = substring_dedup.parse([(5, 2, 9, 40), (0, 3, 8, 10), (3, 2, 8, 13)])
-    assert factors == [(0, 24, 8, 10), (5, 21, 9, 40)]
-    assert substring_dedup.spans_of(factors) == [(0, 26)]
+    # row 0: windows 0-4 from one source, 5-6 from another: two factors that overlap by 19 words
+    matches = [(0, 5, 2, 9, 40), (1, 3, 1, 8, 13), (0, 0, 3, 8, 10), (0, 3, 2, 8, 13)]
+    factors = substring_dedup.parse(*map(np.array, zip(*matches)))
+    assert list(zip(*factors)) == [(0, 0, 24, 8, 10), (0, 5, 21, 9, 40), (1, 3, 20, 8, 13)]
+    assert list(zip(*substring_dedup.spans_of(*factors[:3]))) == [(0, 0, 26), (1, 3, 23)]
+
+
+def test_phrases_do_not_cross_texts_and_cover_each_window_once():
+    rng = random.Random(6)
+    texts = [b"", b" \n", b"a", b" ".join(b"%d" % rng.randrange(9) for _ in range(19)), "é\u00a0x\t".encode() * 30]
+    texts += [b"\x0b".join(b"w%d" % rng.randrange(3) for _ in range(n)) for n in (20, 21, 150)] + [b"same " * 100]
+    offsets = np.cumsum([0, *map(len, texts)])
+    words = substring_dedup.words_of(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert np.diff(words.begins).tolist() == [len(t.split()) for t in texts]
+    hash_of = dict(zip([w for t in texts for w in t.split()], words.hashes.tolist()))
+    assert [hash_of[w] for t in texts for w in t.split()] == words.hashes.tolist() and len(set(hash_of.values())) == len(hash_of)
+    found = substring_dedup.phrases(words)
+    seen = [(t, s + i) for t, s, n in zip(found.text, found.start, found.windows) for i in range(n)]
+    assert seen == [(t, i) for t, x in enumerate(texts) for i in range(len(x.split()) - 19)]
+    alone = [substring_dedup.phrases(substring_dedup.words_of(np.frombuffer(t, np.uint8), np.array([0, len(t)]))) for t in texts]
+    assert np.concatenate([p.anchor for p in alone]).tolist() == found.anchor.tolist()
 
 
 def test_substrings_of_very_long_text(docs_of):
