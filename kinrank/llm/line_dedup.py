@@ -1,29 +1,32 @@
 """Line dedup by content-defined chunks of lines.
 
-A line's hash and the one before it feed a rolling hash; where its first hex
-digit is below ``CUT``, a chunk ends.  Boundaries depend on two lines only, so
-they shift with the content: a passage inserted elsewhere is cut alike after
-its first boundary.  Chunks of two lines or more that occur more than once in
-the corpus keep their first occurrence, in (doc_id, position) order; the other
-occurrences are removed after comparing bytes.
-
-Chunk hashes (128 bits) are counted first, by partial aggregates over (row,
-place, hash) without texts; only chunks with a repeated hash get their text
-again.  There, grouping and joining by (hash, text) is the byte comparison.  A hot chunk costs one row per task in
-the aggregates, and the join back has one unique side, which AQE can split.
-
-``assess`` is that rule, as the SQL of the registered query defines it.  It
-misses most short passages: one needs two boundaries inside itself.
-``passages`` and ``clean`` miss none: every pair of neighbouring lines that
-occurred before, in the same order, loses both its lines, so a repeated run of
-two lines or more goes whole wherever it is cut.  The first occurrence of
-every line stays.  Pairs of two blank lines are no passage.
+A rolling hash over the hashes of two neighbouring lines stands at every line.
+A chunk is a run of lines whose rolling hashes all occur more than once in the
+corpus; its boundaries lie where a rolling hash occurs once only.  So they
+depend on the content alone and shift with it: a passage is cut out alike
+wherever it stands, however short (two lines) and whatever stands around it.
+(Boundaries picked by the value of a rolling hash, at one line in four, cut
+most short passages in two or miss them; these boundaries miss none.)
+
+A chunk's lines go where they occurred before: a pair of neighbouring lines
+that is not the first of its kind, in (doc_id, row, line) order, loses both
+lines, but for lines that belong to the first occurrence of a repeated pair.
+Those are protected, so every repeated run of lines stays in one place, also
+where chunks overlap in chains.  Pairs of two blank lines are no passage.
+
+Rolling hashes (128 bits) are counted first, by partial aggregates without
+texts.  The texts of the repeated pairs follow: the smallest and the largest
+text of a hash are compared byte by byte, and a hash that stands for several
+texts removes nothing.  A hot passage costs one row per task in the
+aggregates, and the join back has one unique side, which AQE can split.  Texts
+are found by broadcast row numbers or hashes while these are few, by a shuffle
+beyond.
 
 Only DataFrame functions are used.  Defined results: a null text stays null
 and has no lines; an empty text is one empty line; rows are separate documents
-even if equal (later ones lose the repeated chunks; ties of doc_id go by the
-order in which the rows were written); null ids come first; an empty table
-gives an empty result.
+even if equal (later ones lose what repeats; ties of doc_id go by the order in
+which the rows were written); null ids come first; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -34,116 +37,97 @@ from pyspark.sql import functions as F
 from kinrank.llm.common import NOT_WHITE, lines, packed, row_key, unpacked
 from kinrank.plans.context import discard, materialize
 
-CUT = "4"  # of 16 first digits: an end after one line in four
 MIN_LINES = 2
+#: Row numbers or hashes that may be broadcast to find texts (about 50 bytes each).
+BROADCAST_ROWS = 500_000
 
 
-def _chunked(docs: DataFrame) -> DataFrame:
-    """``docs`` plus ``lines`` and ``chunks``: array of (idx, start, len), 1-based."""
-    hashed = docs.withColumn("lines", lines(F.col("text"))).withColumn(
-        "_h", F.transform("lines", lambda x: F.md5(x.cast("binary"))))
-    size = F.size("lines")
-    rolling = lambda i: F.md5(F.concat(F.coalesce(F.get("_h", i - 2), F.lit("")), F.get("_h", i - 1)).cast("binary"))
-    ends = F.filter(
-        F.sequence(F.lit(1), size), lambda i: (F.substring(rolling(i), 1, 1) < CUT) | (i == size))
-    marked = hashed.withColumn("_ends", F.when(F.col("text").isNotNull(), ends).otherwise(F.array().cast("array<int>")))
-    before = lambda k: F.coalesce(F.get("_ends", k - 1), F.lit(0))
-    chunks = F.transform("_ends", lambda e, k: F.struct(
-        k.alias("idx"), (before(k) + 1).alias("start"), (e - before(k)).alias("len")))
-    return marked.withColumn("chunks", chunks).drop("_h", "_ends")
+def _pairs(rows: DataFrame, with_text: bool = False) -> DataFrame:
+    """(uid, doc_id, idx, k1, k2) of neighbouring lines, ``idx`` (1-based) that of
+    the first, the rolling hash as ``k1`` and ``k2``; their ``pair`` of lines if asked for."""
+    hashed = rows.filter("text is not null").withColumn("lines", lines(F.col("text"))).withColumn(
+        "h", F.transform("lines", lambda x: F.struct(*row_key(x), x.rlike(NOT_WHITE).alias("wordy"))))
+    at = lambda i: (F.get("h", i - 1), F.get("h", i))
+    numbers = F.when(F.size("h") > 1, F.sequence(F.lit(1), F.size("h") - 1))
+    wordy = F.filter(numbers, lambda i: at(i)[0]["wordy"] | at(i)[1]["wordy"])
 
+    def pair(i: Column) -> Column:
+        a, b = at(i)
+        fields = [i.alias("idx"), *row_key(a["k1"], a["k2"], b["k1"], b["k2"])]
+        if with_text:
+            fields.append(F.concat_ws("\n", F.get("lines", i - 1), F.get("lines", i)).alias("pair"))
+        return F.struct(*fields)
 
-def _joined(start: str, length: str):
-    return F.array_join(F.slice("lines", F.col(start), F.col(length)), "\n")
+    return hashed.select("uid", "doc_id", F.explode(F.transform(wordy, pair)).alias("p")).select("uid", "doc_id", "p.*")
 
 
-def _pieces(rows: DataFrame) -> DataFrame:
-    """(uid, doc_id, idx, len, chunk) of the chunks of ``MIN_LINES`` lines or more."""
-    each = rows.withColumn("lines", lines(F.col("text"))).select(
-        "uid", "doc_id", "lines", F.explode("chunks").alias("c")).filter(F.col("c.len") >= MIN_LINES)
-    return each.select("uid", "doc_id", F.col("c.idx").alias("idx"), F.col("c.len").alias("len"),
-                       _joined("c.start", "c.len").alias("chunk"))
+def _few(df: DataFrame) -> bool:
+    return df.count() <= BROADCAST_ROWS
 
 
-def assess(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: ``row`` (its columns but ``text``),
-    ``doc_id``, ``text``, ``clean_text``, ``n_lines``, ``n_chunks``,
-    ``removed_chunks`` and ``removed_lines``.  Runs jobs when called."""
-    base = docs.select(packed(docs, "text"), "doc_id", "text")
-    rows = materialize(_chunked(base).drop("lines").withColumn("uid", F.monotonically_increasing_id()))
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(uid, later, firsts): line numbers of the repeated pairs of a row that are
+    not the first of their kind, and of those that are.  A row's own pairs bound the lists."""
     keys = ["k1", "k2"]
-    places = materialize(_pieces(rows).select("uid", "idx", *row_key(F.col("chunk"))))
-    again = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys)
-    repeated = places.join(again, keys, "left_semi").groupBy("uid").agg(F.collect_list("idx").alias("repeated"))
-    suspects = rows.join(repeated, "uid").withColumn("chunks", F.transform("repeated", lambda i: F.get("chunks", i)))
-    found = materialize(_pieces(suspects).select("*", *row_key(F.col("chunk"))))
-    discard(places)
-    keepers = found.groupBy("k1", "k2", "chunk").agg(F.min(F.struct("doc_id", "uid", "idx")).alias("first"))
+    places = materialize(_pairs(rows))
     place = F.struct("doc_id", "uid", "idx")
-    removed = (
-        found.join(keepers, ["k1", "k2", "chunk"]).filter(~place.eqNullSafe(F.col("first")))
-        .groupBy("uid").agg(F.collect_set("idx").alias("gone"), F.sum("len").alias("removed_lines"))
-    )
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    joined = rows.join(removed, "uid", "left").withColumn("lines", lines(F.col("text"))).withColumn("gone", gone)
-    kept = F.flatten(F.transform(
-        F.filter("chunks", lambda c: ~F.array_contains("gone", c["idx"])),
-        lambda c: F.slice("lines", c["start"], c["len"]),
-    ))
-    return joined.select(
-        "row", "doc_id", "text", F.when(F.col("text").isNotNull(), F.array_join(kept, "\n")).alias("clean_text"),
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_lines"),
-        F.size("chunks").cast("long").alias("n_chunks"), F.size("gone").cast("long").alias("removed_chunks"),
-        F.coalesce("removed_lines", F.lit(0)).cast("long").alias("removed_lines"),
-    )
-
-
-def _pairs(rows: DataFrame, numbers: Column | None = None) -> DataFrame:
-    """(uid, doc_id, idx, pair) of neighbouring lines, ``idx`` (1-based) that
-    of the first; of all lines or those with the ``numbers``."""
-    if numbers is None:
-        numbers = F.when(F.size("lines") > 1, F.sequence(F.lit(1), F.size("lines") - 1))
-    pairs = F.transform(numbers, lambda i: F.struct(
-        i.alias("idx"), F.concat_ws("\n", F.get("lines", i - 1), F.get("lines", i)).alias("pair")))
-    return rows.withColumn("lines", lines(F.col("text"))).filter("text is not null").select(
-        "uid", "doc_id", F.explode(pairs).alias("p")).select(
-        "uid", "doc_id", "p.idx", "p.pair").filter(F.col("pair").rlike(NOT_WHITE))
+    again = materialize(places.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+                        .filter("n > 1").select(*keys, "first"))
+    wanted = again.select(*keys)
+    texts = _pairs(rows, with_text=True).join(F.broadcast(wanted) if _few(again) else wanted, keys)
+    several = materialize(
+        texts.groupBy(*keys).agg(F.min("pair").alias("lo"), F.max("pair").alias("hi")).filter("lo <> hi").select(*keys))
+    sure = again.join(several, keys, "left_anti")
+    is_first = place.eqNullSafe(F.col("first"))
+    found = materialize(places.join(sure, keys).select("uid", "idx", is_first.alias("is_first")).groupBy("uid").agg(
+        F.collect_list(F.when(~F.col("is_first"), F.col("idx"))).alias("later"),
+        F.collect_list(F.when(F.col("is_first"), F.col("idx"))).alias("firsts")))
+    discard(places, again, several)
+    return found
+
+
+def _runs(numbers: Column) -> Column:
+    """How many runs of consecutive values ``numbers`` has."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("last"))
+    total = F.aggregate(F.array_sort(numbers), start, lambda acc, x: F.struct(
+        (acc["n"] + F.when(x == acc["last"] + 1, 0).otherwise(1)).alias("n"), x.alias("last")))
+    return total["n"]
 
 
-def passages(docs: DataFrame) -> DataFrame:
+def assess(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``row`` (its columns but ``text``),
-    ``doc_id``, ``text``, ``clean_text``, ``n_lines`` and ``removed_lines``:
-    every repeated run of ``MIN_LINES`` lines or more keeps its first
-    occurrence only.  Runs jobs when called."""
-    base = docs.select(packed(docs, "text"), "doc_id", "text")
+    ``doc_id``, ``text``, ``clean_text``, ``n_lines``, ``n_chunks`` (repeated chunks),
+    ``removed_chunks`` and ``removed_lines``.  Runs jobs when called."""
+    base = docs.select(packed(docs, "text"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialize(base.withColumn("uid", F.monotonically_increasing_id()))
-    keys = ["k1", "k2"]
-    places = materialize(_pairs(rows).select("uid", "idx", *row_key(F.col("pair"))))
-    again = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys)
-    repeated = places.join(again, keys, "left_semi").groupBy("uid").agg(F.collect_set("idx").alias("repeated"))
-    suspects = rows.select("uid", "doc_id", "text").join(repeated, "uid")
-    wanted = _pairs(suspects, F.col("repeated"))
-    found = materialize(wanted.select("uid", "doc_id", "idx", "pair", *row_key(F.col("pair"))))
-    discard(places)
-    place = F.struct("doc_id", "uid", "idx")
-    keepers = found.groupBy(*keys, "pair").agg(F.min(place).alias("first"))
-    later = found.join(keepers, [*keys, "pair"]).filter(~place.eqNullSafe(F.col("first")))
-    gone = later.groupBy("uid").agg(F.collect_set("idx").alias("gone"))
-    joined = rows.join(gone, "uid", "left").withColumn("lines", lines(F.col("text"))).withColumn(
-        "gone", F.coalesce("gone", F.array().cast("array<int>")))
-    # the line with 0-based number i is in the pairs i and i + 1; array_except is a hash lookup, so long texts stay linear
-    numbers = F.array_except(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"),
-                             F.transform("gone", lambda i: i - 1))
-    kept = F.transform(numbers, lambda i: F.get("lines", i))
-    kept = F.when(F.size("gone") > 0, kept).otherwise(F.col("lines"))
-    n_lines = F.when(F.col("text").isNotNull(), F.size("lines")).otherwise(F.lit(0))
-    left = F.when(F.col("text").isNotNull(), F.size(kept)).otherwise(F.lit(0))
-    return joined.select(
-        "row", "doc_id", "text", F.when(F.col("text").isNotNull(), F.array_join(kept, "\n")).alias("clean_text"),
-        n_lines.cast("long").alias("n_lines"), (n_lines - left).cast("long").alias("removed_lines"),
+    found = _repeated(rows.select("uid", "doc_id", "text"))
+    both = lambda c: F.array_union(c, F.transform(c, lambda i: i + 1))
+    gone = F.array_except(both(F.col("later")), both(F.col("firsts")))
+    marks = found.select("uid", gone.alias("gone"), _runs(F.concat("later", "firsts")).alias("n_chunks"))
+    if _few(found):
+        ids = F.broadcast(found.select("uid"))
+        none = [F.array().cast("array<int>").alias("gone"), F.lit(0).cast("long").alias("n_chunks")]
+        joined = rows.join(ids, "uid", "left_semi").join(marks, "uid").unionByName(
+            rows.join(ids, "uid", "left_anti").select("*", *none))
+    else:
+        joined = rows.join(marks, "uid", "left").withColumn(
+            "gone", F.coalesce("gone", F.array().cast("array<int>"))).withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
+    each = lines(F.col("text"))
+    numbers = F.array_except(F.sequence(F.lit(1), F.size(each)), "gone")
+    kept = joined.withColumn("lines", each).withColumn("left", F.transform(numbers, lambda i: F.get("lines", i - 1)))
+    return kept.select(
+        "row", "doc_id", "text",
+        F.when((F.size("gone") == 0) | F.col("text").isNull(), F.col("text")).otherwise(F.array_join("left", "\n")).alias("clean_text"),
+        F.when(F.col("text").isNotNull(), F.size("lines")).otherwise(0).cast("long").alias("n_lines"),
+        F.col("n_chunks").cast("long").alias("n_chunks"), _runs(F.col("gone")).alias("removed_chunks"),
+        F.size("gone").cast("long").alias("removed_lines"),
     )
 
 
+#: The name under which the rule for all repeated passages was known before it became the only one.
+passages = assess
+
+
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` with all repeated passages removed, columns as given."""
-    return unpacked(passages(docs), docs, text=F.col("clean_text"))
+    return unpacked(assess(docs), docs, text=F.col("clean_text"))

@@ -99,24 +99,32 @@ from r
 
 SQL["op10_line_dedup"] = r"""
 with d as (select row_number() over (order by doc_id) as uid, doc_id, string_split(text, chr(10)) as lines from documents),
-l as (select uid, doc_id, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as i, len(lines) as n from d),
-h as (select *, md5(line) as h from l),
-e as (
-  select *, substr(md5(coalesce(lag(h) over (partition by uid order by i), '') || h), 1, 1) < '4' or i = n as last
-  from h),
-k as (
-  select *, coalesce(sum(last::int) over (partition by uid order by i rows between unbounded preceding and 1 preceding), 0) as idx
-  from e),
-c as (
-  select uid, doc_id, idx, count(*) as len, string_agg(line, chr(10) order by i) as chunk from k group by uid, doc_id, idx),
+l as (select uid, doc_id, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as i from d),
+p as (
+  select uid, doc_id, i, line || chr(10) || next as pair
+  from (select *, lead(line) over (partition by uid order by i) as next from l) t
+  where next is not null and regexp_matches(line || next, '[^\x20\x09-\x0D]')),
 r as (
-  select *, case when len >= 2 then row_number() over (partition by len >= 2, chunk order by doc_id nulls first, uid, idx)
-            else 1 end as seen from c)
-select d.doc_id, coalesce(len(any_value(d.lines)), 0)::bigint as n_lines, count(idx)::bigint as n_chunks,
-       count(*) filter (where seen > 1)::bigint as removed_chunks,
-       coalesce(sum(r.len) filter (where seen > 1), 0)::bigint as removed_lines,
-       sha256(coalesce(string_agg(chunk, chr(10) order by idx) filter (where seen = 1), '')) as clean_sha256
-from d left join r on r.uid = d.uid group by d.uid, d.doc_id
+  select uid, i, seen from (
+    select uid, i, row_number() over (partition by pair order by doc_id nulls first, uid, i) as seen,
+           count(*) over (partition by pair) as n from p) t
+  where n > 1),
+gone as (
+  select uid, unnest([i, i + 1]) as i from r where seen > 1
+  except select uid, unnest([i, i + 1]) as i from r where seen = 1),
+chunks as (
+  select uid, count(*) as n from (select uid, i - lag(i) over (partition by uid order by i) as step from r) t
+  where step is null or step > 1 group by uid),
+cuts as (
+  select uid, count(*) as n from (select uid, i - lag(i) over (partition by uid order by i) as step from gone) t
+  where step is null or step > 1 group by uid),
+k as (
+  select l.uid, count(g.i) as removed, string_agg(line, chr(10) order by l.i) filter (where g.i is null) as clean
+  from l left join gone g on g.uid = l.uid and g.i = l.i group by l.uid)
+select d.doc_id, coalesce(len(d.lines), 0)::bigint as n_lines, coalesce(chunks.n, 0)::bigint as n_chunks,
+       coalesce(cuts.n, 0)::bigint as removed_chunks, coalesce(k.removed, 0)::bigint as removed_lines,
+       sha256(coalesce(k.clean, '')) as clean_sha256
+from d left join k on k.uid = d.uid left join chunks on chunks.uid = d.uid left join cuts on cuts.uid = d.uid
 """
 
 SQL["op11_filter_audit"] = rf"""

@@ -62,16 +62,49 @@ def test_line_dedup_awkward_rows(docs_of):
 
 
 def brute_passages(rows):
-    """Texts without the lines of pairs of lines that occurred before."""
-    seen, out = set(), {}
+    """Texts without the lines of pairs of lines that occurred before, but for the
+    lines of the first occurrence of a pair that occurs again."""
+    places = {}
     for key, text in sorted(rows):
-        lines, gone = text.split("\n"), set()
+        lines = text.split("\n")
         for i, pair in enumerate(zip(lines, lines[1:])):
             if "".join(pair).strip():
-                gone |= {i, i + 1} if pair in seen else set()
-                seen.add(pair)
-        out[key] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-    return out
+                places.setdefault(pair, []).append((key, i))
+    gone = {(k, j) for found in places.values() for k, i in found[1:] for j in (i, i + 1)}
+    safe = {(found[0][0], j) for found in places.values() if len(found) > 1 for j in (found[0][1], found[0][1] + 1)}
+    return {key: "\n".join(x for i, x in enumerate(text.split("\n")) if (key, i) not in gone - safe) for key, text in rows}
+
+
+def maximal_runs(rows):
+    """Every run of two lines or more that stands at several places, with its places,
+    found by comparing runs of all lengths (independent of pairs)."""
+    found = {}
+    for key, text in rows:
+        lines = text.split("\n")
+        for i in range(len(lines)):
+            for j in range(i + 2, len(lines) + 1):
+                if "".join(lines[i:j]).strip():
+                    found.setdefault(tuple(lines[i:j]), []).append((key, i))
+    return {run: places for run, places in found.items() if len(places) > 1}
+
+
+def test_passages_in_chains_stay_once(docs_of):
+    rows = [(1, "w\nx"), (2, "w\nx\ny"), (3, "x\ny")]
+    got = {r.doc_id: r.clean_text for r in line_dedup.assess(docs_of(rows)).collect()}
+    assert got == {1: "w\nx", 2: "x\ny", 3: ""}
+
+
+def test_no_repeated_run_is_lost_or_stays_twice(docs_of):
+    rng = random.Random(8)
+    rows = [(i, "\n".join(rng.choice("abcdefghij") + rng.choice("xyz") for _ in range(rng.randrange(1, 12)))) for i in range(80)]
+    got = {r.doc_id: r for r in line_dedup.assess(docs_of(rows)).collect()}
+    assert {k: r.clean_text for k, r in got.items()} == brute_passages(rows)
+    kept = {k: r.clean_text.split("\n") for k, r in got.items()}
+    for run, places in maximal_runs(rows).items():
+        for pair in zip(run, run[1:]):
+            # every pair of its lines still stands somewhere
+            assert any(pair in zip(x, x[1:]) for x in kept.values()), (run, places)
+    assert sum(map(len, kept.values())) < sum(len(t.split("\n")) for _, t in rows)
 
 
 def test_short_passages_go_whole_like_brute_force(docs_of):
