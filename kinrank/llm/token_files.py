@@ -5,7 +5,8 @@ One file holds consecutive documents in doc_id order:
     frame 0 | frame 1 | ... | skippable frame: documents | skippable frame: seek table
 
 * A frame is a complete zstandard frame of token ids (little-endian unsigned
-  16 or 32 bit) of one or more whole documents, about ``FRAME_IDS`` ids.
+  16 or 32 bit) of whole documents: as many as reach ``FRAME_IDS`` ids.  At 1, the
+  default, a frame is one document, and reading one decompresses nothing else.
 * The seek table follows the public zstandard seekable format: for every
   frame its compressed size, decompressed size and checksum (the low 32 bits
   of XXH64 of the decompressed bytes), then the number of frames, a
@@ -34,15 +35,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinrank.plans.context import partition_count
 
-FRAME_IDS = 1 << 19
+FRAME_IDS = 1
 LEVEL = 3
-PORTION_CHARS = 2_000_000
+#: Bytes of text that are encoded at once in a task.
+PORTION = 8_000_000
 # Fixed values of the public zstandard seekable format.
 SKIPPABLE_SEEK = 0x184D2A5E
 SKIPPABLE_DOCS = 0x184D2A5D
@@ -54,66 +57,140 @@ _MANIFEST = "file string, part int, docs bigint, ids bigint"
 _READ = "doc_id bigint, part int, position bigint, before bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-_TWO_SPACES = re.compile(r"\s\s")
+#: Two characters of white space, as ``str.isspace`` has it, in RE2's syntax.
+_TWO_WHITE = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+              "{2}")
+_LONE_SPACE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    A space between two other non-space characters always starts a new piece
-    of the tokenizer's own splitting, so a text without runs of white space
-    is the sequence of its pieces, and each different piece is encoded once
-    per worker: new pieces of a batch go through the tokenizer together, one
-    a line (a line break before a space is always a token of its own).  Texts
-    with runs of white space are encoded whole.
+    The tokenizer's own splitting starts a new piece at each space, and puts each
+    line break on its own, where these stand between two characters other than white
+    space.  So a text is the sequence of its pieces, cut there, and each different
+    piece is encoded once per worker: new ones of a portion go through the tokenizer
+    together, one a line.  Where white space meets white space, the words around it
+    stay one piece.
+
+    Pieces are remembered in two generations.  New ones enter the young one,
+    which starts anew when full; a young piece that a later portion meets again
+    moves to the old one.  So the many words that occur once in a while never
+    push out those that come back, and memory is bounded by both limits.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, young: int = 300_000, old: int = 600_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
-        self._limit = limit
-        self._line = self._ids(["\n"])[0]
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._limits = young, old
+        self._line = np.frombuffer(self._ids(["\n"])[0], "<u4")[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces, each with the space before it."""
-        known = self._known
-        if len(known) + len(pieces) > self._limit:
-            known.clear()
-        plain = [x for x in pieces if x.split() == [x]]
-        ids = np.frombuffer(self._ids(["\n".join([" " + x for x in plain])])[0], "<u4")
-        ends = np.flatnonzero(ids == np.frombuffer(self._line, "<u4")[0])
+    def _coded(self, pieces: list[str]) -> list[bytes]:
+        """The ids of new pieces, each with the white space before it."""
+        plain = [x for x in pieces if x.split() == [x.removeprefix("\n")]]
+        ids = np.frombuffer(self._ids(["\n".join([x[1:] if x[0] == "\n" else " " + x for x in plain])])[0], "<u4")
+        ends = np.flatnonzero(ids == self._line)
+        coded = {}
         if len(plain) and len(ends) == len(plain) - 1:
-            starts = [0, *(ends + 1).tolist()]
-            for piece, start, end in zip(plain, starts, [*ends.tolist(), len(ids)]):
-                known[piece] = ids[start:end].tobytes()
-            rest = [x for x in pieces if x not in known]
-        else:
-            rest = list(pieces)
-        for piece, coded in zip(rest, self._ids([" " + x for x in rest])):
-            known[piece] = coded
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if _TWO_SPACES.search(text) else text.split(" ") for text in texts]
-        fresh = set().union(*[x[1:] for x in split if x]) - self._known.keys()
+            raw, cuts = ids.tobytes(), (4 * ends).tolist()
+            starts, line = [0, *[end + 4 for end in cuts]], self._line.tobytes()
+            for piece, start, end in zip(plain, starts, [*cuts, len(raw)]):
+                coded[piece] = line + raw[start:end] if piece[0] == "\n" else raw[start:end]
+        rest = [x for x in pieces if x not in coded]
+        coded |= zip(rest, self._ids([x if x[:1] == "\n" else " " + x for x in rest]))
+        return [coded[x] for x in pieces]
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different ``pieces``, from memory as far as it goes."""
+        old, young = self._old, self._young
+        known = list(map(old.get, pieces))
+        again, fresh = [], []
+        for i, ids in enumerate(known):
+            if ids is None:
+                ids = known[i] = young.pop(pieces[i], None)
+                (fresh if ids is None else again).append(i)
+        if len(old) + len(again) > self._limits[1]:
+            old.clear()
+        old |= ((pieces[i], known[i]) for i in again)
         if fresh:
-            if len(self._known) + len(fresh) > self._limit:
-                fresh = set().union(*[x[1:] for x in split if x])
-            self._learn(fresh)
-        firsts = iter(self._ids([text if x is None else x[0] for text, x in zip(texts, split)]))
-        ids_of = self._known.__getitem__
-        return [next(firsts) if x is None else next(firsts) + b"".join(map(ids_of, x[1:])) for x in split]
+            new = [pieces[i] for i in fresh]
+            coded = self._coded(new)
+            if len(young) + len(new) > self._limits[0]:
+                young.clear()
+            young |= zip(new, coded)
+            for i, ids in zip(fresh, coded):
+                known[i] = ids
+        return known
+
+    def __call__(self, texts: pa.Array, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, ``end_id`` after each, and where each text's begin
+        (one entry more than texts)."""
+        # A line break before each text makes its first word a piece like others; its id makes room for the end id.
+        led = pc.binary_join_element_wise("\n", texts, "")
+        uneven = np.flatnonzero(pc.match_substring_regex(led, _TWO_WHITE).to_numpy(zero_copy_only=False)).tolist()
+        split = pc.split_pattern(pc.replace_substring(led, "\n", " \n"), " ")
+        if uneven:
+            lists = split.to_pylist()
+            for i in uneven:
+                lists[i] = ["", *_pieces(texts[i].as_py())]
+            split = pa.array(lists, split.type)
+        column = split.flatten().dictionary_encode()
+        # The first of a text is what stands before its line break: nothing.
+        begins = split.offsets.to_numpy() - split.offsets[0].as_py()
+        pieces = column.dictionary.to_pylist()
+        known = self._known(pieces)
+        flat = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(sizes) - sizes
+        index = column.indices.to_numpy()
+        counts = sizes[index]
+        counts[begins[:-1]] = 0
+        for i in uneven:  # the first piece as it stands, without white space before it
+            counts[begins[i] + 1] = 0
+        total = np.concatenate([[0], np.cumsum(counts)])
+        ids = flat[np.repeat(starts[index] - total[:-1], counts) + np.arange(total[-1])]
+        offsets = total[begins]
+        if not uneven:
+            out = np.empty(len(ids), "<u4")
+            out[:-1] = ids[1:]
+            out[offsets[1:] - 1] = end_id
+            return out, offsets
+        end, parts, odd = np.array([end_id], "<u4"), [], set(uneven)
+        for i in range(len(texts)):
+            own = ids[offsets[i]:offsets[i + 1]]
+            if i in odd:
+                first = self._ids([pieces[index[begins[i] + 1]]])[0]
+                parts.append(np.concatenate([np.frombuffer(first, "<u4"), own, end]))
+            else:
+                parts.append(np.concatenate([own[1:], end]))
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+
+def _pieces(text: str) -> list[str]:
+    """``text`` cut at each space or line break that stands between two characters
+    other than white space; a line break stays with the piece after it."""
+    return [x.removeprefix(" ") if i else x for i, x in enumerate(_LONE_SPACE.split(text))]
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme of the file system that Spark takes it to be on,
+    so that workers and Spark's own writers mean the same place."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", full)
 
 
 def _filesystem(folder: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
+    return fs.FileSystem.from_uri(folder)
 
 
 def _skippable(magic: int, body: bytes) -> bytes:
@@ -132,7 +209,7 @@ class FrameWriter:
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self._docs.append((doc_id or 0, doc_id is None, len(self._frames), len(ids)))
-        self._open.append(ids.astype(self._dtype).tobytes())
+        self._open.append(ids.astype(self._dtype, copy=False).tobytes())
         self._open_ids += len(ids)
         if self._open_ids >= FRAME_IDS:
             self._flush()
@@ -215,34 +292,30 @@ def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """(doc_ids, texts), about ``PORTION_CHARS`` characters at a time."""
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """(doc_ids, texts) of about ``PORTION`` bytes of text, or one text."""
     for batch in batches:
-        doc_ids, texts, size = [], [], 0
-        for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-            doc_ids.append(doc_id.as_py())
-            texts.append(text.as_py())
-            size += len(texts[-1])
-            if size >= PORTION_CHARS:
-                yield doc_ids, texts
-                doc_ids, texts, size = [], [], 0
-        if texts:
-            yield doc_ids, texts
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
+        row = 0
+        while row < len(ends):
+            before = int(ends[row - 1]) if row else 0
+            stop = max(row + 1, int(np.searchsorted(ends, before + PORTION, "right")))
+            part = batch.slice(row, stop - row)
+            yield part.column("doc_id").to_pylist(), part.column("text")
+            row = stop
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, dtype: str | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into files under ``folder``, which all
     executors reach; returns the manifest (file, part, docs, ids), written
     beside them.  Runs the job when called."""
-    spark = docs.sparkSession
+    spark, folder = docs.sparkSession, qualified(docs.sparkSession, folder)
     width = dtype or id_type(_vocabulary(tokenizer))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     order = [F.col("doc_id"), F.col("h"), F.col("text")]
     dealt = slim.withColumn("h", F.xxhash64("text")).repartitionByRange(
         partition_count(spark), "doc_id", "h").sortWithinPartitions(*order)
 
-    end = np.array([end_id], "<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         system, root = _filesystem(folder)
@@ -254,10 +327,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, dtype:
                 coder = _encoder(tokenizer)
                 sink = system.open_output_stream(draft)
                 writer = FrameWriter(sink, width)
-            for doc_id, coded in zip(doc_ids, coder(texts)):
-                ids = np.frombuffer(coded + end, "<u4")
-                writer.add(doc_id, ids)
-                n_docs, n_ids = n_docs + 1, n_ids + len(ids)
+            ids, offsets = coder(texts, end_id)
+            ids, cuts = ids.astype(width), offsets.tolist()
+            for doc_id, start, stop in zip(doc_ids, cuts, cuts[1:]):
+                writer.add(doc_id, ids[start:stop])
+            n_docs, n_ids = n_docs + len(texts), n_ids + len(ids)
         if writer is not None:
             writer.close()
             sink.close()
@@ -289,6 +363,7 @@ def _vocabulary(path: str) -> int:
 def read(spark: SparkSession, folder: str, dtype: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read from the
     files: frames are decompressed and their checksums verified."""
+    folder = qualified(spark, folder)
     manifest = spark.read.parquet(f"{folder}/manifest")
     # one row per file: the running total is over the list of files only
     offset = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
