@@ -65,23 +65,18 @@ twice as (select uid, i from (select uid, i, count(*) over (partition by uid, wi
 rep as (
   select uid, count(distinct p) as n from (select uid, unnest(range(i, i + 5)) as p from twice) t group by uid),
 l as (
-  select uid, host, line from (select uid, host, unnest(string_split(text, chr(10))) as line from d) t
+  select uid, host, line, i
+  from (select uid, host, unnest(string_split(text, chr(10))) as line,
+               unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from d) t
   where regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup as (select uid, count(*) - count(distinct line) as n from l group by uid),
 norm as (
-  select uid, host, trim(regexp_replace({_LOWER.format('line')}, '{_WHITE}', ' ', 'g'), ' ') as line from l),
-h as (select uid, host, substr(md5(line), 1, 15) as h, len(string_split(line, ' ')) as n from norm),
-low as (
-  select uid, min(h) filter (where r = 1) as m1, min(h) filter (where r = 2) as m2
-  from (select uid, h, row_number() over (partition by uid order by h) as r from (select distinct uid, h from h) x) y
-  group by uid),
-seen as (
-  select distinct host, h, case when h <> m1 then m1 else coalesce(m2, m1) end as context
-  from h join low using (uid)),
-hosts as (select host, count(distinct uid) as n from l group by host),
+  select uid, host, i, trim(regexp_replace({_LOWER.format('line')}, '{_WHITE}', ' ', 'g'), ' ') as line from l),
+h as (select uid, host, i, substr(md5(line), 1, 15) as h, len(string_split(line, ' ')) as n from norm),
+page as (select uid, string_agg(h, ' ' order by i) as context from h group by uid),
 often as (
-  select s.host, s.h from seen s join hosts t on t.host is not distinct from s.host
-  group by s.host, s.h, t.n having count(*) > greatest(20.0, 0.02 * t.n)),
+  select host, h from (select distinct host, h, context from h join page using (uid)) t
+  group by host, h having count(*) > 20),
 gone as (
   select uid, sum(n) as n from h join often o on o.host is not distinct from h.host and o.h = h.h group by uid),
 f as (

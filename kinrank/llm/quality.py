@@ -5,13 +5,11 @@
 2. Lines are normalised (ASCII white space trimmed and folded, A-Z lowered)
    and hashed.  For every (host, line) the distinct documents are counted.
    A copy of a document is no further evidence that a line is boilerplate,
-   so documents whose normalised lines are all equal count as one.  With
-   ``by_line`` (the rule of the registered query's SQL) documents count as one
-   when their smallest *other* line hash is equal: near copies share it unless
-   that very line was edited, but so do different pages that share two lines.
+   so documents whose normalised lines are all equal count as one.
 3. Lines found in more than ``max(min_docs, share * documents of the host)``
-   distinct documents are removed; a document left with less than
-   ``min_left`` of its words is rejected.
+   distinct documents are removed (``share`` is 0 unless given: a share would
+   spare the lines of a hot host); a document left with less than ``min_left`` of
+   its words is rejected.
 
 Only DataFrame functions are used.  A hot line or host costs one counter per
 map task: the first count is a partial aggregate over all lines, and only
@@ -38,7 +36,7 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PCT = 20
 MIN_DOCS = 20
-SHARE = 0.02
+SHARE = 0.0
 MIN_LEFT = 0.25
 #: A table of lines up to this many rows (16 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -108,19 +106,12 @@ def base_figures(docs: DataFrame) -> DataFrame:
     )
 
 
-def _host_lines(rows: DataFrame, by_line: bool = False) -> DataFrame:
+def _host_lines(rows: DataFrame) -> DataFrame:
     """One row per line with words: (uid, host, line, n words, context);
     ``context`` tells distinct documents apart."""
-    if not by_line:
-        text = F.xxhash64(F.transform("lines", lambda x: x["h"])).alias("context")
-        each = rows.select("uid", F.xxhash64("host").alias("host"), text, F.explode("lines").alias("x"))
-        return each.select("uid", "host", F.col("x.h").alias("line"), F.col("x.n").alias("n"), "context")
-    order = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["h"])))
-    got = rows.select("uid", F.xxhash64("host").alias("host"), "lines", F.slice(order, 1, 2).alias("low"))
-    flat = got.select("uid", "host", "low", F.explode("lines").alias("x"))
-    first, second = F.get("low", F.lit(0)), F.get("low", F.lit(1))
-    context = F.when(F.col("x.h") != first, first).otherwise(F.coalesce(second, first))
-    return flat.select("uid", "host", F.col("x.h").alias("line"), F.col("x.n").alias("n"), context.alias("context"))
+    text = F.xxhash64(F.transform("lines", lambda x: x["h"])).alias("context")
+    each = rows.select("uid", F.xxhash64("host").alias("host"), text, F.explode("lines").alias("x"))
+    return each.select("uid", "host", F.col("x.h").alias("line"), F.col("x.n").alias("n"), "context")
 
 
 def _matching(rows: DataFrame, wanted: DataFrame, rows_wanted: int) -> DataFrame:
@@ -144,7 +135,7 @@ def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHA
 
 
 def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE,
-           min_left: float = MIN_LEFT, keep_text: bool = True, by_line: bool = False) -> DataFrame:
+           min_left: float = MIN_LEFT, keep_text: bool = True) -> DataFrame:
     """One row per row of ``docs``: ``row`` (its columns but ``text``),
     ``text`` (null unless ``keep_text``), the base figures, ``removed_words``
     (in frequent lines), ``boilerplate`` (their hashes) and ``kept``.
@@ -155,7 +146,7 @@ def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, shar
     named = docs.select(packed(docs, "text"), F.col(host).alias("host"), "text")
     figures = base_figures(named).withColumn("uid", F.monotonically_increasing_id())
     rows = materialize(figures if keep_text else figures.withColumn("text", F.lit(None).cast("string")))
-    found = _host_lines(rows, by_line)
+    found = _host_lines(rows)
     frequent = frequent_lines(found, min_docs, share)
     removed = _matching(found, frequent, frequent.count()).groupBy("uid").agg(
         F.sum("n").alias("removed_words"), F.collect_set("line").alias("boilerplate")
@@ -176,8 +167,7 @@ def without_lines(text: Column, hashes: Column) -> Column:
 
 def clean(docs: DataFrame, host: str = "source") -> DataFrame:
     """Kept documents without their boilerplate lines, columns as given
-    (``n_chars``, if there, is that of the new text).  The limit is ``MIN_DOCS``
-    distinct documents for every host: a share would spare the lines of a hot one."""
-    fine = assess(docs, host, share=0.0).filter("kept")
+    (``n_chars``, if there, is that of the new text)."""
+    fine = assess(docs, host).filter("kept")
     fine = fine.withColumn("text", without_lines(F.col("text"), F.col("boilerplate")))
     return unpacked(fine, docs, text=F.col("text"), n_chars=F.length("text").cast("long"))
