@@ -31,7 +31,11 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
-    scratch = tempfile.mkdtemp(prefix="kinrank-bench-")
+    with tempfile.TemporaryDirectory(prefix="kinrank-bench-", ignore_cleanup_errors=True) as scratch:
+        run(sf_dir, cpus, names, scratch)
+
+
+def run(sf_dir: str, cpus: int, names: list[str], scratch: str) -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("kinrank-bench")

@@ -249,7 +249,8 @@ def _scored(model: NeighborModel, pairs: DataFrame, sums: DataFrame):
 
 
 def predict(model: NeighborModel, pairs: DataFrame, n: int) -> DataFrame:
-    """NB10 + NB13: ``pairs`` plus a ``prediction`` column; only the asked pairs are scored."""
+    """NB10 + NB13: ``pairs`` plus a ``prediction`` column; only the asked pairs are
+    scored.  Adds up the rows to come (one job) when called."""
     contributions = _contributions(model, pairs.select(USER, ITEM).distinct(), n)
     sums = contributions.groupBy(USER, ITEM).agg(F.sum("_c").alias("_s"))
     out, prediction, working = _scored(model, pairs, sums)

@@ -35,15 +35,10 @@ def con():
     return c
 
 
-# The sample-size experiments rebuild the whole pipeline three times; they
-# are compared at sf0.01 by tools/compare.py instead.
-FAST = [n for n in E.oracle_sql() if n not in ("sample_size_sweep", "summary_at_size", "run_summary_metrics")]
-
-
 NO_PAIRS = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", list(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
