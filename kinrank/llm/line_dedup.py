@@ -19,8 +19,7 @@ texts.  The texts of the repeated pairs follow: the smallest and the largest
 text of a hash are compared byte by byte, and a hash that stands for several
 texts removes nothing.  A hot passage costs one row per task in the
 aggregates, and the join back has one unique side, which AQE can split.  Texts
-are found by broadcast row numbers or hashes while these are few, by a shuffle
-beyond.
+are found by broadcast row numbers while these are few, by a shuffle beyond.
 
 Only DataFrame functions are used.  Defined results: a null text stays null
 and has no lines; an empty text is one empty line; rows are separate documents
@@ -38,31 +37,32 @@ from kinrank.llm.common import NOT_WHITE, lines, packed, row_key, unpacked
 from kinrank.plans.context import discard, materialize
 
 MIN_LINES = 2
-#: Row numbers or hashes that may be broadcast to find texts (about 50 bytes each).
+#: Row numbers that may be broadcast to find texts (about 50 bytes each).
 BROADCAST_ROWS = 500_000
 
 
-def _pairs(rows: DataFrame, with_text: bool = False) -> DataFrame:
+def _pairs(rows: DataFrame) -> DataFrame:
     """(uid, doc_id, idx, k1, k2) of neighbouring lines, ``idx`` (1-based) that of
-    the first, the rolling hash as ``k1`` and ``k2``; their ``pair`` of lines if asked for."""
-    hashed = rows.filter("text is not null").withColumn("lines", lines(F.col("text"))).withColumn(
-        "h", F.transform("lines", lambda x: F.struct(*row_key(x), x.rlike(NOT_WHITE).alias("wordy"))))
+    the first, the rolling hash as ``k1`` and ``k2``."""
+    hashed = rows.filter("text is not null").select("uid", "doc_id", F.transform(
+        lines(F.col("text")), lambda x: F.struct(*row_key(x), x.rlike(NOT_WHITE).alias("wordy"))).alias("h"))
     at = lambda i: (F.get("h", i - 1), F.get("h", i))
     numbers = F.when(F.size("h") > 1, F.sequence(F.lit(1), F.size("h") - 1))
     wordy = F.filter(numbers, lambda i: at(i)[0]["wordy"] | at(i)[1]["wordy"])
 
     def pair(i: Column) -> Column:
         a, b = at(i)
-        fields = [i.alias("idx"), *row_key(a["k1"], a["k2"], b["k1"], b["k2"])]
-        if with_text:
-            fields.append(F.concat_ws("\n", F.get("lines", i - 1), F.get("lines", i)).alias("pair"))
-        return F.struct(*fields)
+        return F.struct(i.alias("idx"), *row_key(a["k1"], a["k2"], b["k1"], b["k2"]))
 
     return hashed.select("uid", "doc_id", F.explode(F.transform(wordy, pair)).alias("p")).select("uid", "doc_id", "p.*")
 
 
-def _few(df: DataFrame) -> bool:
-    return df.count() <= BROADCAST_ROWS
+def _with_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (one row a uid) with the row's columns.  The join is a shuffle at
+    every size; while row numbers are few, they keep other texts out of it."""
+    if wanted.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(wanted.select("uid")), "uid", "left_semi")
+    return rows.join(wanted.hint("merge"), "uid")
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
@@ -71,18 +71,19 @@ def _repeated(rows: DataFrame) -> DataFrame:
     keys = ["k1", "k2"]
     places = materialize(_pairs(rows))
     place = F.struct("doc_id", "uid", "idx")
-    again = materialize(places.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-                        .filter("n > 1").select(*keys, "first"))
-    wanted = again.select(*keys)
-    texts = _pairs(rows, with_text=True).join(F.broadcast(wanted) if _few(again) else wanted, keys)
+    again = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
+    is_first = place.eqNullSafe(F.col("first"))
+    marked = materialize(places.join(again.hint("merge"), keys).select("uid", "idx", *keys, is_first.alias("is_first")))
+    wanted = materialize(marked.groupBy("uid").agg(F.collect_list(F.struct("idx", *keys)).alias("pairs")))
+    text = F.concat_ws("\n", F.get("lines", F.col("p.idx") - 1), F.get("lines", F.col("p.idx")))
+    texts = _with_texts(rows.select("uid", "text"), wanted).select(
+        lines(F.col("text")).alias("lines"), F.explode("pairs").alias("p")).select("p.k1", "p.k2", text.alias("pair"))
     several = materialize(
         texts.groupBy(*keys).agg(F.min("pair").alias("lo"), F.max("pair").alias("hi")).filter("lo <> hi").select(*keys))
-    sure = again.join(several, keys, "left_anti")
-    is_first = place.eqNullSafe(F.col("first"))
-    found = materialize(places.join(sure, keys).select("uid", "idx", is_first.alias("is_first")).groupBy("uid").agg(
+    found = materialize(marked.join(several, keys, "left_anti").groupBy("uid").agg(
         F.collect_list(F.when(~F.col("is_first"), F.col("idx"))).alias("later"),
         F.collect_list(F.when(F.col("is_first"), F.col("idx"))).alias("firsts")))
-    discard(places, again, several)
+    discard(places, marked, wanted, several)
     return found
 
 
@@ -100,17 +101,16 @@ def assess(docs: DataFrame) -> DataFrame:
     ``removed_chunks`` and ``removed_lines``.  Runs jobs when called."""
     base = docs.select(packed(docs, "text"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialize(base.withColumn("uid", F.monotonically_increasing_id()))
-    found = _repeated(rows.select("uid", "doc_id", "text"))
+    found = _repeated(rows)
     both = lambda c: F.array_union(c, F.transform(c, lambda i: i + 1))
     gone = F.array_except(both(F.col("later")), both(F.col("firsts")))
     marks = found.select("uid", gone.alias("gone"), _runs(F.concat("later", "firsts")).alias("n_chunks"))
-    if _few(found):
-        ids = F.broadcast(found.select("uid"))
-        none = [F.array().cast("array<int>").alias("gone"), F.lit(0).cast("long").alias("n_chunks")]
-        joined = rows.join(ids, "uid", "left_semi").join(marks, "uid").unionByName(
-            rows.join(ids, "uid", "left_anti").select("*", *none))
+    none = [F.array().cast("array<int>").alias("gone"), F.lit(0).cast("long").alias("n_chunks")]
+    if found.count() <= BROADCAST_ROWS:
+        others = rows.join(F.broadcast(found.select("uid")), "uid", "left_anti")
+        joined = _with_texts(rows, marks).unionByName(others.select("*", *none))
     else:
-        joined = rows.join(marks, "uid", "left").withColumn(
+        joined = rows.join(marks.hint("merge"), "uid", "left").withColumn(
             "gone", F.coalesce("gone", F.array().cast("array<int>"))).withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
     each = lines(F.col("text"))
     numbers = F.array_except(F.sequence(F.lit(1), F.size(each)), "gone")

@@ -137,3 +137,17 @@ def test_hot_host_loses_its_boilerplate_with_production_parameters(docs_of):
     rows = [(i, ("share this page\n" if i < 25 else "") + body(i), "hot") for i in range(1500)]
     clean = {r.doc_id: r.text for r in quality.clean(docs_of(rows)).collect()}
     assert clean == {i: body(i) for i in range(1500)}
+
+
+def test_line_dedup_is_the_same_with_shuffled_lookups(docs_of, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, "\n".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randrange(1, 10)))) for i in range(60)]
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    got = {r.doc_id: r.clean_text for r in line_dedup.assess(docs_of(rows)).collect()}
+    assert got == brute_passages(rows)
+
+
+def test_a_hash_of_several_texts_removes_nothing(docs_of, monkeypatch):
+    monkeypatch.setattr(line_dedup, "row_key", lambda *_: [F.lit(i).cast("long").alias(f"k{i}") for i in (1, 2)])
+    rows = [(1, "a\nb"), (2, "a\nb"), (3, "c\nd")]
+    assert {r.doc_id: r.clean_text for r in line_dedup.assess(docs_of(rows)).collect()} == dict(rows)
