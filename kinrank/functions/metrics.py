@@ -81,6 +81,17 @@ def coverage(recs: DataFrame, frame: DataFrame, item: str = ITEM, rec_item: str
     )
 
 
+def bitmap_coverage(recs: DataFrame, frame: DataFrame, number: str, item: str = ITEM) -> DataFrame:
+    """MT4 for recommendations that carry their items' dense numbers (1, 2, ...): the
+    distinct items are bits in bitmaps of 32,768 items each, a partial aggregate
+    that sends one bitmap per task and range of items, however long the lists are."""
+    bits = recs.groupBy(F.bitmap_bucket_number(number).alias("_range")).agg(
+        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(number))).alias("_n"))
+    seen = frame.select(item).distinct().agg(F.count(F.lit(1)).alias("_all"))
+    return bits.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n")).select(
+        (F.col("_n").cast("double") / seen.scalar()).alias("coverage"))
+
+
 def cut_ranking(ranked: DataFrame, k: int, rank: str = "rank") -> DataFrame:
     """MT6: first ``k`` of a long-form ranking."""
     return ranked.filter(F.col(rank) <= k)

@@ -146,7 +146,17 @@ def fit(train: DataFrame, max_neighbors: int = 100, symmetric: bool = False,
     centered = materialize(center(train, means))
     top = materialize_bucketed(blocked_top_neighbors(centered, max_neighbors, symmetric, blocks), "i")
     rated = materialize_bucketed(neighbor_ratings(centered), "_v")
-    return NeighborModel(means, centered, top, materialize(train.select(ITEM).distinct()), rated)
+    return NeighborModel(means, centered, top, catalogue_of(train), rated)
+
+
+def catalogue_of(train: DataFrame) -> DataFrame:
+    """``(item_id, _d)``: the items of ``train``, numbered by id from the largest."""
+    return materialize(global_row_number(train.select(ITEM).distinct(), [F.col(ITEM).desc()], name="_d"))
+
+
+def _positions(model: NeighborModel) -> DataFrame:
+    """The numbered catalogue, also of a model put together without the numbers."""
+    return model.catalogue if "_d" in model.catalogue.columns else catalogue_of(model.catalogue)
 
 
 #: The name under which the written fit was known.
@@ -235,7 +245,7 @@ def _scored(model: NeighborModel, pairs: DataFrame, sums: DataFrame):
     but with an id up to the largest one, ``GAP_USER_RATING`` (such a user counts
     as padded with one low rating); null for items outside the catalogue.
     """
-    known = model.catalogue.withColumn("_known", F.lit(True))
+    known = model.catalogue.select(ITEM, F.lit(True).alias("_known"))
     out = pairs.join(model.means, USER, "left").join(sums, [USER, ITEM], "left").join(known, ITEM, "left")
     padded = F.when(F.col(USER).between(F.lit(1), F.col("_top_id")), F.lit(GAP_USER_RATING))
     # One row of one value; a literal in every task's plan.
@@ -274,26 +284,31 @@ def recommend(model: NeighborModel, users: DataFrame, n: int, k: int) -> DataFra
     The join of neighbour lists with ratings multiplies rows: it is spread by
     its measured output, hub neighbours over several tasks.
     """
+    return _recommended(model, users, n, k).drop("_d")
+
+
+def _recommended(model: NeighborModel, users: DataFrame, n: int, k: int) -> DataFrame:
+    """``recommend`` with ``_d``, the item's number in the catalogue."""
     who = users.select(USER).distinct().join(model.means, USER)
     lists = who.select(USER).join(_active(model, n), USER)
     rated = _rated(model)
     loads = measure(lists, rated, "_v")
     parts = max(partition_count(users.sparkSession), loads.partitions)
+    # One row per item (AQE broadcasts it when its measured size allows, else a shuffle join on item).
+    positions = _positions(model)
     # Read twice below (scores, positions), so written once.
     cand = materialize(
         split_join(lists, rated, ["_v"], "_v", loads)
         .groupBy(USER, ITEM)
         .agg(F.sum(F.col("_sim") * F.col("_x")).alias("_s"))
+        .join(positions, ITEM)
     )
     scored = cand.join(model.means, USER).select(
-        USER, ITEM, (F.col("user_mean") + F.col("_s")).alias("score")
+        USER, ITEM, (F.col("user_mean") + F.col("_s")).alias("score"), "_d"
     )
-    # Catalogue numbered by id desc: one row per item (AQE broadcasts it
-    # when its measured size allows, else a shuffle join on item).
-    positions = global_row_number(model.catalogue, [F.col(ITEM).desc()], name="_d")
     by_position = Window.partitionBy(USER).orderBy("_d")
     near = (
-        cand.select(USER, ITEM).join(positions, ITEM).select(USER, "_d")
+        cand.select(USER, "_d")
         .withColumn("_r", F.row_number().over(by_position))
         .filter(F.col("_d") - F.col("_r") < k)
     )
@@ -305,12 +320,12 @@ def recommend(model: NeighborModel, users: DataFrame, n: int, k: int) -> DataFra
         .repartition(parts, USER)
         .select(USER, "user_mean", F.explode(free).alias("_d"))
         .join(positions, "_d")
-        .select(USER, ITEM, F.col("user_mean").alias("score"))
+        .select(USER, ITEM, F.col("user_mean").alias("score"), "_d")
     )
     ranked = top_k_per_group(
         scored.unionByName(fill), [USER], [tie_key("score").desc(), F.col(ITEM).desc()], k
     )
-    return ranked.select(USER, F.col("rank").cast("int"), ITEM, "score")
+    return ranked.select(USER, F.col("rank").cast("int"), ITEM, "score", "_d")
 
 
 def rmse_report(predictions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -351,17 +366,18 @@ def precision_by_user(predictions: DataFrame, k: int, group=(USER,), pred: str =
 
 def coverage(model: NeighborModel, frame: DataFrame, n: int, k: int) -> DataFrame:
     """NB16: distinct items recommended to the frame's users over the
-    distinct items of the frame."""
-    recs = recommend(model, frame.select(USER).distinct(), n, k)
-    return metrics.coverage(recs, frame)
+    distinct items of the frame.  The lists' items are bits of their catalogue
+    numbers, merged inside the tasks: a task sends bitmaps, not its lists."""
+    recs = _recommended(model, frame.select(USER).distinct(), n, k)
+    return metrics.bitmap_coverage(recs, frame, "_d")
 
 
 def coverages(model: NeighborModel, frames: Mapping[str, DataFrame], n: int, k: int) -> dict[str, DataFrame]:
     """NB16 for several frames: the lists of all their users are made once."""
     users = reduce(DataFrame.unionByName, [f.select(USER) for f in frames.values()]).distinct()
-    recs = materialize(recommend(model, users, n, k).select(USER, ITEM))
+    recs = materialize(_recommended(model, users, n, k).select(USER, "_d"))
     return {
-        name: metrics.coverage(recs.join(f.select(USER).distinct(), USER, "left_semi"), f)
+        name: metrics.bitmap_coverage(recs.join(f.select(USER).distinct(), USER, "left_semi"), f, "_d")
         for name, f in frames.items()
     }
 

@@ -219,3 +219,14 @@ def test_coverages_share_the_lists(spark):
     both = neighbors.coverages(model, {"all": ratings, "part": part}, 5, 3)
     assert both["all"].first()[0] == neighbors.coverage(model, ratings, 5, 3).first()[0]
     assert both["part"].first()[0] == neighbors.coverage(model, part, 5, 3).first()[0]
+
+
+def test_bitmap_coverage_counts_distinct_items(spark):
+    """Numbers across several bitmaps, repeated in many lists."""
+    recs = spark.range(300_000).select((F.col("id") % 70_001 + 1).alias("number"), F.col("id").alias("user_id"))
+    frame = spark.range(0, 90_000).select((F.col("id") % 80_000).alias("item_id"))
+    out = metrics.bitmap_coverage(recs, frame, "number")
+    assert out.first()["coverage"] == 70_001 / 80_000
+    plan = plan_of(out)
+    assert "partial_bitmap_construct_agg" in plan
+    assert metrics.bitmap_coverage(recs.filter("false"), frame, "number").first()["coverage"] == 0.0
