@@ -5,7 +5,8 @@ All others are judged by gradient-boosted trees (Spark ML) on features of the
 url alone: lengths, depth, digit ratio, entropy, counts of parameters, hyphens
 and labels, and statistics of the host's suffix (its last two labels): how
 often it occurs over all urls and its smoothed rate of blocked labels over
-all labelled urls.
+all labelled urls.  Fitted rows get the rate of the folds they are not in, so
+that no label is in its own feature.
 
 The trees are fitted on at most about ``TRAIN_ROWS`` labelled urls, picked by
 a hash of the url; scoring covers every url.  Everything runs as DataFrame
@@ -38,6 +39,9 @@ TREES = 10
 DEPTH = 4
 THRESHOLD = 0.5
 SEED = 7
+#: Folds of the labelled urls for the rates of fitted rows, and labels' weight of the overall share.
+FOLDS = 5
+SMOOTH = 10
 FEATURES = ("url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "n_params", "n_hyphens",
             "n_labels", "secure", "suffix_log", "suffix_rate")
 
@@ -84,21 +88,36 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(SEED + 1), url), F.lit(FOLDS)).cast("int")
+
+
 def _suffixes(pages: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """(suffix, suffix_log) over all ``pages``, (suffix, suffix_rate) over all
-    labelled urls ``known``, smoothed by their share of blocked labels, and it."""
+    """(suffix, suffix_log) over all ``pages``; (suffix, fold, blocked, urls) counts of
+    all labelled urls ``known``; and their share of blocked labels."""
     counts = pages.groupBy("suffix").agg(F.log2(1.0 + F.count(F.lit(1))).alias("suffix_log"))
     share = known.agg(F.avg("label")).first()[0] or 0.0
-    each = known.select("label", F.substring_index(host_of(F.col("url")), ".", -2).alias("suffix"))
-    rates = each.groupBy("suffix").agg(
-        ((F.sum("label") + 10 * share) / (F.count(F.lit(1)) + 10)).alias("suffix_rate"))
-    return counts, materialize(rates), share
+    each = known.select("label", F.substring_index(host_of(F.col("url")), ".", -2).alias("suffix"), _fold(F.col("url")).alias("fold"))
+    labels = each.groupBy("suffix", "fold").agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("urls"))
+    return counts, materialize(labels), share
+
 
+def _with_suffixes(features: DataFrame, counts: DataFrame, labels: DataFrame, share: float,
+                   out_of_fold: bool = False) -> DataFrame:
+    """``features`` plus the statistics of their suffixes: ``suffix_rate``, the share
+    of blocked labels, smoothed by the overall one.
 
-def _with_suffixes(features: DataFrame, counts: DataFrame, rates: DataFrame, share: float) -> DataFrame:
-    """``features`` plus the statistics of their suffixes."""
-    found = features.join(counts, "suffix", "left").join(rates, "suffix", "left")
-    return found.fillna({"suffix_log": 0.0, "suffix_rate": share})
+    ``out_of_fold``: for the rows that are fitted, the rate of the other folds, so
+    that no row's own label (nor that of an equal url) is in its feature."""
+    totals = labels.groupBy("suffix").agg(F.sum("blocked").alias("blocked"), F.sum("urls").alias("urls"))
+    found = features.join(counts, "suffix", "left").join(totals, "suffix", "left")
+    blocked, urls = F.coalesce("blocked", F.lit(0.0)), F.coalesce("urls", F.lit(0))
+    if out_of_fold:
+        own = labels.withColumnsRenamed({"blocked": "own_blocked", "urls": "own_urls"})
+        found = found.withColumn("fold", _fold(F.col("url"))).join(own, ["suffix", "fold"], "left")
+        blocked, urls = blocked - F.coalesce("own_blocked", F.lit(0.0)), urls - F.coalesce("own_urls", F.lit(0))
+    rate = (blocked + SMOOTH * share) / (urls + SMOOTH)
+    return found.withColumn("suffix_rate", rate).fillna({"suffix_log": 0.0})
 
 
 def judge(urls: DataFrame, labelled: DataFrame, rules: Sequence[Rule], key: str = "page_id",
@@ -115,7 +134,7 @@ def judge(urls: DataFrame, labelled: DataFrame, rules: Sequence[Rule], key: str
     fitted = known
     if size > train_rows:
         fitted = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "url"), F.lit(size)) < train_rows)
-    training = materialize(_with_suffixes(lexical(split(fitted)), *suffixes))
+    training = materialize(_with_suffixes(lexical(split(fitted)), *suffixes, out_of_fold=True))
     scored = _score(_with_suffixes(pages, *suffixes), training, suffixes[2])
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("score") >= THRESHOLD, "block").otherwise("allow")
