@@ -439,7 +439,10 @@ def sweep(model: NeighborModel, frame: DataFrame, max_n: int, k: int) -> DataFra
     out, prediction, working = _curves(model, rows, max_n)
     out = materialize(out)
     err = _error_curve(out, prediction, max_n)
-    preds = _numbered(out, max_n, USER, ITEM, RATING, *working).withColumn("prediction", prediction(F.col("_s")))
+    # Few bytes become many rows here: spread by what comes out, not by the size of the files.
+    tasks = max(partition_count(frame.sparkSession), out.count() * max_n // ROWS_PER_TASK)
+    preds = _numbered(out.repartition(tasks), max_n, USER, ITEM, RATING, *working).withColumn(
+        "prediction", prediction(F.col("_s")))
     truth = top_k_per_group(rows, [USER], truth_order(), k).select(USER, ITEM)
     guess = top_k_per_group(preds, ["n", USER], pred_order(), k).select("n", USER, ITEM)
     hits = guess.join(truth, [USER, ITEM]).groupBy("n").agg(F.count(F.lit(1)).alias("_h"))

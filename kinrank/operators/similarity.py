@@ -155,7 +155,9 @@ def partial_top_lists(centered: DataFrame, k: int, symmetric: bool = False,
     ).select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
              (F.col("own") > F.col("other")).alias("second"), "user", "item", "x")
     groups = count * (count + 1) // 2
-    spread = dealt.repartition(max(partition_count(spark), groups // 4), "p", "q")
+    # Groups fall on partitions by hash; more partitions than groups keep few of them together.
+    tasks = min(2 * groups, max(4 * partition_count(spark), groups // 4))
+    spread = dealt.repartition(tasks, "p", "q")
     return spread.groupBy("p", "q").applyInArrow(
         lambda table: _pair_of_blocks(table, k, symmetric), "i bigint, j bigint, value double")
 
