@@ -54,3 +54,18 @@ def test_unknown_ids_are_dropped(spark, tiny):
     fitted = als.fit(tiny, rank=2, max_iter=2)
     asked = spark.createDataFrame([(1, 10, 5.0), (99, 10, 5.0), (2**40, 10, 5.0)], tiny.schema)
     assert [r.user_id for r in als.predict(fitted, asked).collect()] == [1]
+
+
+def test_blocks_follow_the_ratings_not_the_shuffle_partitions():
+    assert als.block_count(2_400_000, 200) == 10
+    assert als.block_count(144_000_000, 200) == 15
+    assert als.block_count(144_000_000, 4) == 4 and als.block_count(0, 200) == 10
+
+
+def test_a_fit_of_few_ratings_has_few_blocks(spark, tiny, monkeypatch):
+    asked = []
+    make = als.estimator
+    monkeypatch.setattr(als, "estimator", lambda *args, **named: asked.append(args) or make(*args, **named))
+    monkeypatch.setattr(als, "partition_count", lambda _: 40)
+    als.fit(tiny, rank=2, max_iter=1)
+    assert asked[0][4] == 10

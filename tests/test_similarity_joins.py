@@ -230,3 +230,54 @@ def test_bitmap_coverage_counts_distinct_items(spark):
     plan = plan_of(out)
     assert "partial_bitmap_construct_agg" in plan
     assert metrics.bitmap_coverage(recs.filter("false"), frame, "number").first()["coverage"] == 0.0
+
+
+# ------------------------------------------------------------------ what is sent
+
+
+@pytest.mark.parametrize("hot", [10_000, 5])
+def test_entries_go_only_to_blocks_that_rate_the_item(spark, monkeypatch, hot):
+    """Pairs of users with an item of their own: at most two blocks of 30 are reached."""
+    monkeypatch.setattr(similarity, "HOT_RATERS", hot)
+    rows = [(u, u // 2, 1.0, u % 30) for u in range(200)] + [(900 + u, 500, 1.0, u) for u in range(8)]
+    entries = spark.createDataFrame(rows, "user bigint, item bigint, x double, own int")
+    sent = {(r.item < 500, r["count"]) for r in similarity._dealt(entries, 30, 3).groupBy("item", "user").count().collect()}
+    assert sent == {(True, 2), (False, 8 if hot > 8 else 30)}
+
+
+def test_blocked_top_lists_with_hot_items(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "HOT_RATERS", 20)
+    centered = neighbors.center(random_ratings(spark))
+    want = neighbors.top_neighbors(neighbors.user_similarity(centered), 7)
+    assert listed(similarity.blocked_top_neighbors(centered, 7, blocks=5)) == listed(want)
+
+
+@pytest.mark.parametrize("pack", [2, 1_000])
+def test_recommended_lists_come_from_one_shuffle_of_packed_ratings(spark, monkeypatch, pack):
+    """Every catalogue item scored by hand; nothing but small tables is written on the way."""
+    monkeypatch.setattr(neighbors, "PACK", pack)
+    ratings = random_ratings(spark, users=20, items=12)
+    model = neighbors.fit(ratings)
+    written = []
+    monkeypatch.setattr(neighbors, "materialize", lambda df, *a: written.append(df) or df)
+    got = {}
+    for r in neighbors.recommend(model, ratings, 4, 6).collect():
+        got.setdefault(r.user_id, {})[r.rank] = (r.item_id, round(r.score, 6))
+    assert not written
+    means = {r.user_id: r.user_mean for r in model.means.collect()}
+    items = [r.item_id for r in model.catalogue.collect()]
+    rated = {(r._v, r.item_id): r._x for r in model.rated.collect()}
+    lists = {}
+    for r in model.top.filter("row_number <= 4").collect():
+        lists.setdefault(r.i, []).append((r.j, r.value))
+    for user, mean in means.items():
+        scores = {m: mean + sum(s * rated.get((v, m), 0.0) for v, s in lists.get(user, [])) for m in items}
+        best = sorted(items, key=lambda m: (-round(scores[m], 9), -m))[:6]
+        assert got[user] == {n: (m, round(scores[m], 6)) for n, m in enumerate(best, 1)}
+
+
+def test_large_sides_of_predictions_are_not_broadcast(spark):
+    ratings = random_ratings(spark, users=20, items=8)
+    model = neighbors.fit(ratings)
+    # Only the lookup by (neighbour, item), small here, is left to the planner.
+    assert plan_of(neighbors.predict(model, ratings, 3)).count("BroadcastExchange") <= 1
