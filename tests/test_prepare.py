@@ -109,3 +109,14 @@ def test_csv_end_to_end(spark, tmp_path):
     b = baseline.rmse(baseline.predict(test, baseline.item_stats(train))).first()["rmse"]
     n = metrics.rmse(neighbors.predict(neighbors.fit(train), test, 5)).first()["rmse"]
     assert b > 0 and n > 0
+
+
+def test_singleton_sets_are_written_before_the_joins(spark):
+    from kinrank.operators import prepare
+    from kinrank.plans.context import tables
+
+    rows = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 3), (3, 1)], "user_id bigint, item_id bigint")
+    before = tables(spark)
+    kept = prepare.drop_singletons(rows)
+    assert len(tables(spark) - before) == 2
+    assert sorted((r.user_id, r.item_id) for r in kept.collect()) == [(1, 1), (3, 1)]
