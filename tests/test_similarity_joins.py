@@ -281,3 +281,63 @@ def test_large_sides_of_predictions_are_not_broadcast(spark):
     model = neighbors.fit(ratings)
     # Only the lookup by (neighbour, item), small here, is left to the planner.
     assert plan_of(neighbors.predict(model, ratings, 3)).count("BroadcastExchange") <= 1
+
+
+@pytest.mark.parametrize("symmetric", [False, True])
+def test_pairs_give_the_lists_of_the_blocks(spark, symmetric):
+    rows = random_ratings(spark, seed=21)
+    odd = spark.createDataFrame([(3, 1000, 2.0), (4, 2000, 1.0), (5, None, 1.0), (2**40, 1000, 5.0), (2**40, 7, 1.0)],
+                                "user_id bigint, item_id bigint, rating double")
+    centered = neighbors.center(rows.unionByName(odd))
+    load = similarity.pair_load(centered)
+    assert load.high == 2**40
+    got = similarity.pair_top_lists(centered, load, 7, symmetric)
+    assert listed(got) == listed(similarity.blocked_top_neighbors(centered, 7, symmetric, blocks=4))
+
+
+def test_pairs_or_blocks_by_what_they_send(spark, monkeypatch):
+    centered = neighbors.center(random_ratings(spark))
+    asked = []
+    real = similarity.pair_top_lists
+    monkeypatch.setattr(similarity, "pair_top_lists", lambda *a: asked.append(a) or real(*a))
+    pairs = listed(similarity.blocked_top_neighbors(centered, 7))
+    assert len(asked) == 1
+    monkeypatch.setattr(similarity, "PAIR_RATERS", 10)
+    assert listed(similarity.blocked_top_neighbors(centered, 7)) == pairs and len(asked) == 1
+    one_block = similarity.PairLoad(entries=10_000, pairs=10_000_000, most=3_000, low=1, high=9)
+    monkeypatch.setattr(similarity, "PAIR_RATERS", 5_000)
+    assert not similarity._by_pairs(one_block, 1, False, 2)
+
+
+def test_a_task_of_the_pair_table_adds_up_a_bounded_number_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PAIRS_PER_TASK", 200)
+    centered = neighbors.center(random_ratings(spark))
+    load = similarity.pair_load(centered)
+    sums = neighbors.user_similarity(centered)
+    assert sums.rdd.getNumPartitions() == -(-load.pairs // 200) > 4
+    plain = neighbors.user_similarity(centered, salt_buckets=1)
+    as_map = lambda df: {(r.i, r.j): round(r.value, 9) for r in df.collect()}
+    assert as_map(sums) == as_map(plain)
+
+
+def test_asked_items_travel_packed(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "PACK", 2)
+    rows = random_ratings(spark, seed=5)
+    model = neighbors.fit(rows)
+    keys = rows.select("user_id", "item_id").distinct()
+    got = {(r.user_id, r.item_id, r._r): round(r._c, 9) for r in neighbors._contributions(model, keys, 5).collect()}
+    plain = keys.join(neighbors._active(model, 5), "user_id").join(neighbors._rated(model), ["_v", "item_id"])
+    want = {(r.user_id, r.item_id, r._r): round(r._sim * r._x, 9) for r in plain.collect()}
+    assert got == want and len(got) > 100
+    packs = neighbors._asked_packs(keys)
+    assert packs.agg(F.max(F.size("_asks"))).first()[0] == 2
+
+
+def test_sweep_cuts_where_the_user_lies(spark, monkeypatch):
+    rows = random_ratings(spark, seed=6)
+    model = neighbors.fit(rows)
+    at_home = {r.n: (r.rmse, r.precision) for r in neighbors.sweep(model, rows, 4, 3).collect()}
+    monkeypatch.setattr(neighbors, "ROWS_PER_TASK", 1)
+    on_the_way = {r.n: (r.rmse, r.precision) for r in neighbors.sweep(model, rows, 4, 3).collect()}
+    assert at_home.keys() == {1, 2, 3, 4}
+    assert all(at_home[n] == pytest.approx(on_the_way[n]) for n in at_home)
