@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from kinrank import ITEM, RATING, USER
 from kinrank.functions.columns import split_hash, tie_key
+from kinrank.functions.joins import ROWS_PER_TASK
 from kinrank.functions.ranking import global_row_number, group_row_number, top_k_per_group
 from kinrank.operators.prepare import drop_time
 from kinrank.plans.context import discard, materialize, partition_count
@@ -234,12 +235,20 @@ def rankings(scored: DataFrame, pred: str = "predicted_rating", k: int | None =
     ``(user_id, item_id, pred_rank, truth_rank)``.
 
     With ``k`` (MT6) only items in either top-k survive, the other rank
-    being null when beyond k; without ``k`` both full rankings, numbered
-    without a per-user task: the rows are numbered by rating, and that numbered
-    table, which carries the truth rank, is numbered once more by prediction.
+    being null when beyond k; without ``k`` both full rankings.  The scored rows
+    are then written once and cross one shuffle, to where their user's two orders are
+    numbered.  Where a user has more than ``ROWS_PER_TASK`` rows, all are numbered
+    without a per-user task: by rating, and that numbered table, which carries the
+    truth rank, once more by prediction.
     """
     rows = scored.select(USER, ITEM, RATING, pred)
     if k is None:
+        rows = materialize(rows.filter(F.col(USER).isNotNull()))
+        longest = rows.groupBy(USER).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_n")).first()["_n"] or 0
+        if longest <= ROWS_PER_TASK:
+            by_truth = top_k_per_group(rows, [USER], truth_order(), None, name="truth_rank")
+            both = top_k_per_group(by_truth, [USER], PRED_ORDER(pred), None, name="pred_rank")
+            return both.select(USER, ITEM, "pred_rank", "truth_rank")
         by_truth = group_row_number(rows, [USER], truth_order(), name="truth_rank")
         both = group_row_number(by_truth, [USER], PRED_ORDER(pred), name="pred_rank")
         return both.select(USER, ITEM, "pred_rank", "truth_rank")

@@ -158,3 +158,17 @@ def test_rankings_number_one_table_twice(spark):
         pred = sorted(range(12), key=lambda i: (-((u + i) % 4), -i))
         truth = sorted(range(12), key=lambda i: (-((u * i) % 5), -i))
         assert [got[u, i] for i in range(12)] == [(pred.index(i) + 1, truth.index(i) + 1) for i in range(12)]
+
+
+def test_rankings_write_once_and_cross_one_shuffle(spark, monkeypatch):
+    scored = spark.createDataFrame(
+        [(u, i, float((u * i) % 5), float((u + i) % 4)) for u in range(1, 6) for i in range(9)] + [(None, 1, 1.0, 1.0)],
+        "user_id bigint, item_id bigint, rating double, predicted_rating double")
+    monkeypatch.setattr(als, "group_row_number", None)
+    ranks = als.rankings(scored)
+    plan = ranks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan and "Join" not in plan
+    at_home = rows_of(ranks)
+    monkeypatch.undo()
+    monkeypatch.setattr(als, "ROWS_PER_TASK", 3)  # every user is too long for one task
+    assert rows_of(als.rankings(scored)) == at_home and len(at_home) == 45
