@@ -32,3 +32,12 @@ def test_tables_can_be_dropped(spark):
     assert context.drop_tables(spark, made) == 1
     assert context.tables(spark) == before
     assert not any(os.path.exists(path.removeprefix("file:")) for path in made) and two is not None
+
+
+def test_few_rows_take_few_partitions_and_many_all(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: "200")
+    few = 2 * spark.sparkContext.defaultParallelism
+    assert context.partition_count(spark) == 200
+    assert context.partition_count(spark, 0) == few
+    assert context.partition_count(spark, 3_000_000) == 30
+    assert context.partition_count(spark, 10**9) == 200

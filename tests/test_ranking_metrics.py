@@ -59,3 +59,16 @@ def test_list_precision_counts_missing_users(spark):
     pred = spark.createDataFrame([(1, 2), (1, 3)], "user_id bigint, item_id bigint")
     got = {r.user_id: r.precision for r in metrics.list_precision(truth, pred, 2).collect()}
     assert got == {1: 0.5, 2: 0.0}
+
+
+def test_a_small_table_is_numbered_without_empty_ranges(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
+        numbered = global_row_number(df, [F.col("v")])
+        files = len(numbered.inputFiles())
+        got = {r.v: r.rn for r in numbered.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {v: v + 1 for v in range(1000)}
+    assert files < 64

@@ -172,3 +172,31 @@ def test_rankings_write_once_and_cross_one_shuffle(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(als, "ROWS_PER_TASK", 3)  # every user is too long for one task
     assert rows_of(als.rankings(scored)) == at_home and len(at_home) == 45
+
+
+def test_steps_run_side_by_side_and_a_failure_comes_out(spark):
+    from threading import Barrier
+
+    from kinrank.plans.context import together
+
+    both = Barrier(2, timeout=60)  # passes only while both wait
+
+    def step(value):
+        both.wait()
+        return value
+
+    assert together(spark, {"a": lambda: step(1), "b": lambda: step(2)}) == {"a": 1, "b": 2}
+    assert together(spark, {}) == {}
+    with pytest.raises(ZeroDivisionError):
+        together(spark, {"a": lambda: 1 // 0})
+
+
+def test_steps_of_a_study_run_side_by_side(spark, monkeypatch):
+    asked = []
+    make = experiments.together
+    monkeypatch.setattr(experiments, "together", lambda s, steps: asked.append(set(steps)) or make(s, steps))
+    train = planted(spark).select("user_id", "item_id", "rating")
+    kinds = experiments.neighbor_results(train, train, 3, 2, 2, 3)
+    assert asked == [{"train", "test", "covered", "curve"}]
+    assert set(kinds) == {"rmse_user", "rmse_item", "precision_user", "curve", "summary"}
+    assert kinds["summary"].first().rmse_train == pytest.approx(kinds["summary"].first().rmse_test)
