@@ -79,7 +79,7 @@ class Encoder:
     push out those that come back, and memory is bounded by both limits.
     """
 
-    def __init__(self, path: str, young: int = 300_000, old: int = 600_000):
+    def __init__(self, path: str, young: int = 100_000, old: int = 400_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)

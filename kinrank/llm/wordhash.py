@@ -30,7 +30,7 @@ class WordHasher:
     ``\\x20 \\x09-\\x0D`` only, which is the word rule of the operators.
     """
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         self._known = _Words(limit)
 
     def __call__(self, text: str | None) -> np.ndarray:
