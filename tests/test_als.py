@@ -69,3 +69,29 @@ def test_a_fit_of_few_ratings_has_few_blocks(spark, tiny, monkeypatch):
     monkeypatch.setattr(als, "partition_count", lambda _: 40)
     als.fit(tiny, rank=2, max_iter=1)
     assert asked[0][4] == 10
+
+
+def test_models_score_by_hash_joins_and_equal_the_plain_model(spark, planted):
+    """Rows are sorted for no join, and every value is the library model's own."""
+    from pyspark.ml.recommendation import ALSModel
+
+    fitted = als.fit(planted.filter("item_id < 15 or user_id < 20"), rank=3, max_iter=2)
+    asked = als.encode(planted.unionByName(planted.limit(3)).withColumn("user_id", F.col("user_id") + 5), fitted.codec)
+    plain = ALSModel._transform(fitted.model, asked)
+    for hashed in (False, True):
+        ours = als.score(fitted.model, asked, hashed)
+        assert sorted(map(str, ours.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+    plan = ours._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+def test_a_search_gives_back_the_disk_of_its_fits(spark, planted, monkeypatch):
+    """Of some 130 shuffles of six fits and scorings, those of finished fits go while the search runs."""
+    from kinrank.plans import context
+
+    monkeypatch.setattr(context, "RECLAIM_EVERY", 0.0, raising=False)
+    shuffles = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before = shuffles.size()
+    als.fold_table(planted, [2], [8], [0.05, 0.1, 0.2], num_folds=2, parallelism=1)
+    left = shuffles.size() - before
+    assert left < 75, left
