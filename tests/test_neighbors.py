@@ -167,3 +167,31 @@ def test_similarity_in_range_and_i_lt_j(spark):
     sim = neighbors.user_similarity(neighbors.center(train))
     bad = sim.filter((sim.i >= sim.j) | (sim.value > 1 + 1e-9) | (sim.value < -1 - 1e-9)).count()
     assert bad == 0 and sim.count() > 0
+
+
+def test_candidates_of_packed_lists_equal_brute_force():
+    """Users across batches, several packs of a position, a null rating, ties, users of few candidates."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, k, rows = np.random.default_rng(4), 3, []
+    for user in (1, 2, 5, 9):
+        for _ in range(user % 5 + 1):
+            ds = sorted(rng.choice(30, rng.integers(1, 12), replace=False).tolist())
+            xs = [None if rng.random() < 0.2 else round(float(rng.integers(1, 4)), 1) for _ in ds]
+            rows.append((user, user / 2, 0.5, [d + 1 for d in ds], xs))
+    kinds = [pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 4]), kinds)], names=list("umsdx"))
+        for i in range(0, len(rows), 4)]
+    got = {r["user_id"]: r for b in neighbors._candidates(iter(batches), k) for r in b.to_pylist()}
+    assert sorted(got) == [1, 2, 5, 9]
+    for user, row in got.items():
+        sums = {}
+        for _, mean, sim, ds, xs in (r for r in rows if r[0] == user):
+            for d, x in zip(ds, xs):
+                sums.setdefault(d, []).extend([] if x is None else [sim * x])
+        scores = {d: mean + sum(v) if v else None for d, v in sums.items()}
+        assert row["_taken"] == [d for r, d in enumerate(sorted(scores), 1) if d - r < k]
+        order = sorted(scores, key=lambda d: (scores[d] is None, -(scores[d] or 0.0), d))[:k]
+        assert [(x["_d"], x["score"]) for x in row["_best"]] == [(d, pytest.approx(scores[d]) if scores[d] is not None else None) for d in order]
